@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, simhash
+from . import bpe, hilbert, langid, ordermh, packing, quality, simhash
 from .common import held_out, table
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    sharded = hilbert.shard_documents(docs, n_shards=40)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = langid.fit(docs.select("doc_id", "text", "lang"))
@@ -39,8 +45,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(JSON_VOCABULARY))
 
 
+def op9_ordermh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ordermh.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), ordermh.as_text(F.col("fingerprint")).alias("fingerprint"), ordermh.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        ordermh.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), ordermh.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op6_langid, op7_simhash, op8_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_hilbert, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
