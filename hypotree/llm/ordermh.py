@@ -1,12 +1,11 @@
 """Order MinHash fingerprints, sensitive to edit distance, with DataFrame functions only.
 
 The k-mers are those of a text's UTF-8 bytes. Each is numbered by its occurrence, and each (k-mer, occurrence) gets a
-rank by hash; a later occurrence ranks above the earlier ones. The hash also deals the k-mers to `sketches` cells. In
-each cell the `tuple_size` smallest ranks are selected, put back into text order, and hashed together; the cells' hashes
-are the fingerprint. Two texts with a small edit distance share most k-mers in the same order, so most cells agree.
+hash of its own: a cell, of 64, and a rank. In each cell the `tuple_size` smallest ranks are selected, put back into text
+order, and hashed together; the cells' hashes are the fingerprint. Two texts with a small edit distance share most k-mers in the same order, so most cells agree.
 
-Long texts are first thinned to the k-mers below a hash limit. Where that leaves a cell without a full and certain
-choice (as in texts that repeat themselves), all k-mers are used, so the result never depends on the limit.
+Of a long text only pairs below a limit of rank are sorted by cell. Where that leaves a cell without a full choice, all
+pairs are, so the result never depends on the limit.
 
 Defined results: null text is empty; an empty text has the empty fingerprint, which equals itself only; a text shorter
 than a k-mer is one k-mer; places beyond 2^23 bytes count as the same place; repeated rows each get a row.
@@ -14,6 +13,8 @@ than a k-mer is one k-mer; places beyond 2^23 bytes count as the same place; rep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,54 +27,70 @@ HASH = RANK + CELL
 TOP = (1 << PLACE) - 1
 
 
-def _before(items: Column, i: Column, n: int, shift: int) -> Column:
-    return F.shiftright(F.get(items, i - n), shift)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once; a bound binary value is also not copied at each use, as a column's is."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hash_at(items: str, i: Column) -> Column:
+    """The hash of the k-mer at index i of sorted k-mers; null outside."""
+    return F.shiftright(F.get(items, i), PLACE)
+
+
+def _element(hashed: Column, place: Column) -> Column:
+    """(cell, rank, place) in a long, from the hash of a k-mer or of its later occurrence."""
+    return F.shiftleft(hashed.bitwiseAND((1 << CELL) - 1), RANK + PLACE).bitwiseOR(F.shiftleft(F.shiftright(hashed, CELL), PLACE)).bitwiseOR(place.bitwiseAND(TOP))
+
+
+def _cell(x: Column) -> Column:
+    return F.shiftright(x, RANK + PLACE)
 
 
-def _selected(df: DataFrame, kmers: Column, to: str, tuple_size: int) -> DataFrame:
-    """Column `to`: of kmers (hash and place in a long) the smallest of each cell, as (cell, rank, place) in a long."""
-    df = df.withColumn("_s", F.sort_array(kmers))
-    hash_of = lambda x: F.shiftright(x, PLACE)
-    # occurrences from tuple_size on can't be among the smallest of their cell
-    df = df.withColumn("_s", F.filter("_s", lambda x, i: ~_before(F.col("_s"), i, tuple_size, PLACE).eqNullSafe(hash_of(x))))
+def _smallest(df: DataFrame, limit: Column, to: str, tuple_size: int) -> DataFrame:
+    """Column `to`: of the sorted k-mers _s the smallest (k-mer, occurrence) pairs of each cell, of those below the limit."""
+    first = F.filter("_s", lambda x, i: (x < limit) & F.coalesce(x - F.get("_s", i - 1) > TOP, F.lit(True)))
+    first = F.when(limit == 0, F.array().cast("array<bigint>")).otherwise(first)
+    df = df.withColumn("_first", F.transform(first, lambda x: _element(F.shiftright(x, PLACE), x)))
+    # later occurrences: runs of _later, each numbered from 1
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_later"), F.lit(1)) - 1), lambda i: (F.size("_later") > 0) & ~_hash_at("_later", i - 1).eqNullSafe(_hash_at("_later", i)))
+    df = df.withColumn("_starts", F.when(limit == 0, F.array().cast("array<int>")).otherwise(starts))
 
-    def ranked(x: Column, i: Column) -> Column:
-        h = hash_of(x)
-        rank = F.shiftright(h, CELL)
-        for k in range(1, tuple_size):  # each further occurrence adds a step of its own
-            rank = rank + F.when(_before(F.col("_s"), i, k, PLACE).eqNullSafe(h), F.shiftrightunsigned(F.xxhash64(h, F.lit(k)), 64 - RANK + 1)).otherwise(F.lit(0))
-        rank = F.least(rank, F.lit((1 << RANK) - 1))
-        return F.shiftleft(h.bitwiseAND((1 << CELL) - 1), RANK + PLACE).bitwiseOR(F.shiftleft(rank, PLACE)).bitwiseOR(x.bitwiseAND(TOP))
+    def numbered(begin: Column, run: Column) -> Column:
+        end = F.coalesce(F.get("_starts", run + 1), F.size("_later")) - 1
+        return F.transform(F.sequence(begin, end), lambda i: _element(F.shiftrightunsigned(F.xxhash64(_hash_at("_later", i), i - begin + 1), 64 - HASH), F.get("_later", i)))
 
-    df = df.withColumn("_r", F.transform("_s", ranked)).withColumn("_r", F.sort_array("_r"))
-    return df.withColumn(to, F.filter("_r", lambda x, i: ~_before(F.col("_r"), i, tuple_size, RANK + PLACE).eqNullSafe(F.shiftright(x, RANK + PLACE)))).drop("_s", "_r")
+    low = F.shiftright(limit, CELL)
+    df = df.withColumn("_more", F.filter(F.flatten(F.transform("_starts", numbered)), lambda x: x.bitwiseAND((1 << (RANK + PLACE)) - 1) < low))
+    df = df.withColumn("_all", F.sort_array(F.concat("_first", "_more")))
+    return df.withColumn(to, F.filter("_all", lambda x, i: ~_cell(F.get("_all", i - tuple_size)).eqNullSafe(_cell(x)))).drop("_first", "_starts", "_more", "_all")
 
 
-def with_fingerprint(df: DataFrame, text: Column, to: str, *, k: int = 24, tuple_size: int = 2, thin: int = 768) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: Column, to: str, *, k: int = 12, tuple_size: int = 2, thin: int = 768) -> DataFrame:
     """df with the fingerprint of text in column `to`: an array of ints, each a cell's number and 25 bits of its hash."""
-    cells = 1 << CELL
+    top = (1 << (HASH + PLACE)) - 1
     df = df.withColumn("_b", F.coalesce(text, F.lit("")).cast("binary"))
     size = F.octet_length("_b")
-    count = F.greatest(size - (k - 1), F.lit(1))
-    kmer = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substr("_b", i, F.lit(k))), 64 - HASH), PLACE).bitwiseOR(F.least(i, F.lit(TOP)).cast("long"))
-    df = df.withColumn("_k", F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), count), kmer))).drop("_b")
-    limit = F.when(F.size("_k") <= thin, F.lit((1 << (HASH + PLACE)) - 1)).otherwise(F.shiftleft((F.lit(float(thin << HASH)) / F.size("_k")).cast("long"), PLACE))
-    df = df.withColumn("_limit", limit)
-    df = _selected(df, F.filter("_k", lambda x: x < F.col("_limit")), "_t", tuple_size)
-    top_rank = F.shiftright("_limit", PLACE + CELL)
-    whole = (F.size("_k") <= thin) | ((F.size("_t") == cells * tuple_size) & F.forall("_t", lambda x: F.shiftright(x, PLACE).bitwiseAND((1 << RANK) - 1) < top_rank))
-    df = df.withColumn("_whole", whole)
-    df = _selected(df, F.when(F.col("_whole"), F.array().cast("array<bigint>")).otherwise(F.col("_k")), "_u", tuple_size)
+    places = F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1)))
+
+    def kmers(b: Column) -> Column:
+        return F.transform(places, lambda i: F.xxhash64(F.substr(b, i, F.lit(k))).bitwiseAND(top - TOP).bitwiseOR(F.least(i, F.lit(TOP)).cast("long")))
+
+    df = df.withColumn("_s", F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(_let(F.col("_b"), kmers)))).drop("_b")
+    df = df.withColumn("_later", F.filter("_s", lambda x, i: x - F.get("_s", i - 1) <= TOP))  # next to the same hash
+    df = df.withColumn("_limit", F.when(F.size("_s") <= thin, F.lit(top)).otherwise(F.shiftleft((F.lit(float(thin << RANK)) / F.size("_s")).cast("long"), CELL + PLACE)))
+    df = _smallest(df, F.col("_limit"), "_t", tuple_size)
+    df = df.withColumn("_whole", (F.size("_s") <= thin) | (F.size("_t") == tuple_size << CELL))
+    df = df.withColumn("_top", F.when(F.col("_whole"), F.lit(0)).otherwise(F.lit(top)))
+    df = _smallest(df, F.col("_top"), "_u", tuple_size)
     df = df.withColumn("_t", F.when(F.col("_whole"), F.col("_t")).otherwise(F.col("_u")))
-    cell_of = lambda x: F.shiftright(x, RANK + PLACE)
 
     def sketch(x: Column, i: Column) -> Column:
-        own = F.filter(F.slice("_t", i + 1, tuple_size), lambda y: cell_of(y) == cell_of(x))
+        own = F.filter(F.slice("_t", i + 1, tuple_size), lambda y: _cell(y) == _cell(x))
         in_order = F.sort_array(F.transform(own, lambda y: F.shiftleft(y.bitwiseAND(TOP), RANK).bitwiseOR(F.shiftright(y, PLACE).bitwiseAND((1 << RANK) - 1))))
         hashed = F.shiftrightunsigned(F.xxhash64(F.transform(in_order, lambda y: y.bitwiseAND((1 << RANK) - 1))), 64 - 25)
-        return F.when(~_before(F.col("_t"), i, 1, RANK + PLACE).eqNullSafe(cell_of(x)), F.shiftleft(cell_of(x), 25).bitwiseOR(hashed).cast("int"))
+        return F.when(~_cell(F.get("_t", i - 1)).eqNullSafe(_cell(x)), F.shiftleft(_cell(x), 25).bitwiseOR(hashed).cast("int"))
 
-    return df.withColumn(to, F.array_compact(F.transform("_t", sketch))).drop("_k", "_limit", "_whole", "_u", "_t")
+    return df.withColumn(to, F.array_compact(F.transform("_t", sketch))).drop("_s", "_later", "_limit", "_top", "_whole", "_u", "_t")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, langid, ordermh, packing, quality, simhash
+from . import bpe, hilbert, langid, ordermh, packing, quality, simhash, topk, warc
 from .common import held_out, table
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +28,15 @@ def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = langid.fit(docs.select("doc_id", "text", "lang"))
@@ -58,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_hilbert, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_hilbert, op3_topk, op4_warc, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
