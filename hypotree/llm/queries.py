@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, langid, ordermh, packing, quality, simhash, topk, warc
+from . import bpe, chunkstore, hilbert, langid, ordermh, packing, quality, simhash, topk, warc
 from .common import held_out, table
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
@@ -37,6 +37,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_chunkstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = chunkstore.write(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(JSON_VOCABULARY))
+    if not chunkstore.verify_manifest(store).isEmpty():
+        raise ValueError("the manifest doesn't match the recipes")
+    return chunkstore.read(store).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = langid.fit(docs.select("doc_id", "text", "lang"))
@@ -67,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_hilbert, op3_topk, op4_warc, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_hilbert, op3_topk, op4_warc, op5_chunkstore, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
