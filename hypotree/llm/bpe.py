@@ -150,7 +150,7 @@ def loaded(path: str) -> tuple[Vocabulary, StretchEncoder]:
     """The Python worker's tables and cache for a rank file."""
     if path not in _LOADED:
         found = Vocabulary.load(path)
-        _LOADED[path] = found, StretchEncoder(found.encode_words)
+        _LOADED[path] = found, StretchEncoder(found.encode_words, max_entries=300_000)
     return _LOADED[path]
 
 
@@ -183,7 +183,24 @@ def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids", to: str = "decod
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, ranks: str, *, text: str = "text") -> DataFrame:
+    """docs with ids and decoded in place of the text: encode() and decode() in one pass, so that a task needs one Python worker."""
+    kept = [c for c in docs.columns if c != text]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, encoder = loaded(ranks)
+        for batch in slices(batches, text):
+            ids, sizes = encoder.encode([x or "" for x in batch.column(text).to_pylist()])
+            raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes).tolist()
+            column = pa.array([raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)], pa.binary())
+            decoded = [vocabulary.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in column.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column, pa.array(decoded, pa.binary())], [*kept, "ids", "decoded"])
+
+    return docs.select(*kept, text).mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, ranks: str) -> DataFrame:
     """Per document (doc_id, text): the number of ids, and SHA-256 of the ids and of the bytes decoded from them."""
-    found = decode(encode(docs.select("doc_id", "text"), ranks), ranks)
+    found = round_trip(docs.select("doc_id", "text"), ranks)
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
