@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field as dc_field
 
@@ -112,19 +111,20 @@ class Model:
 
 def word_vectors(texts: list[str], dim: int, nonzero: int, max_words: int, min_count: int, window: int) -> Model:
     """Random indexing: a word's vector is the damped sum of its neighbours' index vectors, scaled to 1, plus its own index vector."""
-    found = [TOKEN.findall(t) for t in texts]
-    counts = Counter(x for one in found for x in one)
-    kept = sorted((w for w, c in counts.items() if c >= min_count), key=lambda w: (-counts[w], w))[:max_words]
-    rare = sorted({shape(w) for w in counts})
+    codes: dict[str, int] = {}
+    coded = [np.array([codes.setdefault(w, len(codes)) for w in TOKEN.findall(t)], np.int32) for t in texts]
+    times = np.bincount(np.concatenate([np.zeros(0, np.int32), *coded]), minlength=len(codes))
+    kept = sorted((w for w, c in codes.items() if times[c] >= min_count), key=lambda w: (-times[codes[w]], w))[:max_words]
+    rare = sorted({shape(w) for w in codes})
     words = {w: i + 1 for i, w in enumerate([*kept, *rare])}
     index = np.stack([np.zeros(dim, np.float32), *(index_vector(w, dim, nonzero) for w in words)])
     context = np.zeros_like(index)
-    get = words.get
-    rows = [np.array([get(w) or get(shape(w), 0) for w in one], np.int64) for one in found]
+    row_of = np.array([words.get(w) or words[shape(w)] for w in codes] or [0], np.int64)
+    rows = [row_of[one] for one in coded]
     for lag in range(1, window + 1):
         pairs = np.concatenate([np.zeros(0, np.int64), *(r[:-lag] * len(index) + r[lag:] for r in rows if len(r) > lag)])
-        pair, times = np.unique(pairs, return_counts=True)
-        left, right, weight = pair // len(index), pair % len(index), np.log1p(times).astype(np.float32)[:, None]
+        pair, met = np.unique(pairs, return_counts=True)
+        left, right, weight = pair // len(index), pair % len(index), np.log1p(met).astype(np.float32)[:, None]
         for at in range(0, len(pair), 1 << 16):
             cut = slice(at, at + (1 << 16))
             np.add.at(context, left[cut], weight[cut] * index[right[cut]])
@@ -166,7 +166,7 @@ def train(model: Model, pooled: np.ndarray, labels: np.ndarray, hidden: int, epo
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", per_label: int = 2500, max_bytes: int = 32_768,
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", per_label: int = 2000, max_bytes: int = 32_768,
         dim: int = 96, nonzero: int = 8, max_words: int = 20_000, min_count: int = 3, window: int = 2, hidden: int = 48, epochs: int = 40, seed: int = 7) -> Model:
     """Fits on a bounded sample: of each label value about per_label rows, those with the smallest hashes of their id.
 
@@ -181,14 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     texts = docs.where(F.octet_length(text) <= max_bytes).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     sample = texts.join(F.broadcast(chosen), "_key").select("_key", "_text", "_label").toArrow().sort_by([("_key", "ascending"), ("_text", "ascending")])
     told, truth = sample["_text"].to_pylist(), np.array(sample["_label"].to_pylist(), np.int64)
+    del sample
     model = word_vectors(told, dim, nonzero, max_words, min_count, window)
-    return train(model, model.pool(told), truth, hidden, epochs, seed)
+    pooled = np.concatenate([np.zeros((0, dim + 2 + len(LAGS)), np.float32), *(model.pool(told[i : i + 200]) for i in range(0, len(told), 200))])
+    return train(model, pooled, truth, hidden, epochs, seed)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     coded = _Rows(model.words)
     for batch in slices(batches, text):
-        coded = _Rows(model.words) if len(coded) > 500_000 else coded
+        coded = _Rows(model.words) if len(coded) > 150_000 else coded
         yield batch, model.scores(model.pool([x or "" for x in batch.column(text).to_pylist()], coded))
 
 
