@@ -22,6 +22,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +42,17 @@ def gear(seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def cut_points(ids: np.ndarray, bounds: np.ndarray, numbers: np.ndarray, *, window: int = 16, bits: int = 8, least: int = 32, most: int = 2048) -> list[list[int]]:
+def cut_points(ids: np.ndarray, bounds: np.ndarray, numbers: np.ndarray, *, window: int = 16, bits: int = 9, least: int = 64, most: int = 4096) -> list[list[int]]:
     """For each document, ids[bounds[i]:bounds[i + 1]], where its chunks end, counted from the start of the document.
 
     A chunk ends after an id whose hash over the last `window` ids of the document has `bits` zero bits, if the chunk
-    has `least` ids by then, or at `most` ids, or with the document.
+    has `least` ids by then, or at `most` ids, or with the document. window: a power of two.
     """
     own = numbers[ids & 0xFFFF]
-    hashed = np.zeros(len(ids), np.uint64)
-    for k in range(window):
-        hashed[k:] += own[: len(own) - k] * np.uint64(0x9E3779B97F4A7C15 ** (k + 1) & (1 << 64) - 1)
+    hashed, span = own.copy(), 1
+    while span < window:  # the polynomial over 2 * span ids from two over span ids
+        hashed[span:] = hashed[span:] + hashed[:-span] * np.uint64(pow(0x9E3779B97F4A7C15, span, 1 << 64))
+        span *= 2
     hits = np.flatnonzero(hashed >> np.uint64(64 - bits) == 0)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -69,15 +71,22 @@ def cut_points(ids: np.ndarray, bounds: np.ndarray, numbers: np.ndarray, *, wind
     return out
 
 
+@lru_cache
+def _zstd() -> tuple:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack_ids(raw: bytes) -> bytes:
-    """32-bit ids as 16-bit ones where they fit (first byte 2), else as they are (first byte 4), deflated."""
+    """32-bit ids as 16-bit ones where they fit (first byte 2), else as they are (first byte 4), compressed."""
     ids = np.frombuffer(raw, "<u4")
     small = len(ids) == 0 or ids.max() < 1 << 16
-    return (b"\2" if small else b"\4") + zlib.compress(ids.astype("<u2").tobytes() if small else raw, 1)
+    return (b"\2" if small else b"\4") + _zstd()[0].compress(ids.astype("<u2").tobytes() if small else raw)
 
 
 def unpack_ids(packed: bytes) -> bytes:
-    raw = zlib.decompress(packed[1:])
+    raw = _zstd()[1].decompress(packed[1:])
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if packed[0] == 2 else raw
 
 

@@ -1,9 +1,9 @@
-"""Token ids of many texts by a byte-level BPE, with caches of the stretches between spaces and of the words in them.
+"""Token ids of many texts by a byte-level BPE, with a cache of the stretches that texts are cut into.
 
-A byte-level BPE with the public split pattern never joins a character that isn't white space with white space after it.
-So a text may be cut before each space that follows such a character, each stretch encoded alone, and the ids joined:
-the result is that of encoding the whole text. A stretch not seen yet is split into words (the pattern's matches), and a
-word not seen yet goes to the model. Stretches and words repeat, so most of them are looked up.
+A byte-level BPE with the public split pattern never joins a character that isn't white space with white space after it,
+nor a letter or digit with a comma or full stop after it. So a text may be cut at those places, each stretch encoded
+alone, and the ids joined: the result is that of encoding the whole text. Most stretches are words, and most are looked
+up; one not seen yet is split by the pattern and goes to the model.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: White space before a space: such texts are cut by CUT, the others by str methods.
-DOUBLE = re.compile(r"\s ")
+#: The cut for texts in which white space stands before a space, or no letter or digit before a comma or full stop.
 CUT = re.compile(r"(?<=\S)(?= )")
+#: Code points below this end: 1 for letters and digits, 2 for white space; all white space is below.
+KINDS = np.array([1 if chr(c).isalpha() or chr(c).isdigit() else 2 if chr(c).isspace() else 0 for c in range(0x3001)], np.uint8)
 #: A stretch that holds no white space but a leading space; these are split many at a time.
 PLAIN = re.compile(r" ?\S+\Z")
 
@@ -62,62 +63,67 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class StretchEncoder:
     """encode(texts): the ids of all texts in one array, and each text's number of ids.
 
-    encode_words: from a list of words, the joined ids and the number of ids of each word. The caches are emptied beyond
+    encode_words: from a list of words, the joined ids and the number of ids of each word. The cache is emptied beyond
     max_entries stretches or max_chars characters; that changes only the speed.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_entries: int = 700_000, max_chars: int = 16_000_000) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_entries: int = 1_000_000, max_chars: int = 20_000_000) -> None:
         import public_tokenizers
         import regex
 
         self.words_of = regex.compile(public_tokenizers.PATTERN).findall
         self.encode_words, self.max_entries, self.max_chars = encode_words, max_entries, max_chars
-        self.stretches, self.words = _Store(), _Store()
+        self.known = _Store()
 
     def _learn(self) -> None:
-        new, self.stretches.pending = self.stretches.pending, []
+        new, self.known.pending = self.known.pending, []
         if not new:
             return
-        first = len(self.stretches) - len(new)
-        plain = [PLAIN.match(x) is not None for x in new]
-        get = self.words.__getitem__
-        many = [x for x, is_plain in zip(new, plain) if is_plain]
-        line_end = get("\n")
-        codes = np.array(list(map(get, self.words_of("\n".join(many)))), np.int64)
-        ends = np.append(np.flatnonzero(codes == line_end), len(codes)) if many else np.zeros(0, np.int64)
+        plain = np.array([PLAIN.match(x) is not None for x in new])
+        own: dict[str, int] = {}
+        line_end = own.setdefault("\n", 0)
+        many = [x for x, is_plain in zip(new, plain.tolist()) if is_plain]
+        codes = np.array([own.setdefault(w, len(own)) for w in self.words_of("\n".join(many))], np.int64)
         counts = np.zeros(len(new), np.int64)
-        counts[plain] = np.diff(ends, prepend=-1) - 1
-        codes = codes[codes != line_end]
+        if many:
+            counts[plain] = np.diff(np.append(np.flatnonzero(codes == line_end), len(codes)), prepend=-1) - 1
         odd_codes: list[int] = []
-        for i in np.flatnonzero(~np.array(plain)).tolist():
-            found = list(map(get, self.words_of(new[i])))
+        for i in np.flatnonzero(~plain).tolist():
+            found = [own.setdefault(w, len(own)) for w in self.words_of(new[i])]
             counts[i] = len(found)
             odd_codes += found
-        fresh, self.words.pending = self.words.pending, []
-        if fresh:
-            self.words.put(np.arange(len(self.words) - len(fresh), len(self.words)), *self.encode_words(fresh))
-        at = first + np.arange(len(new))
-        for chosen, own in ((np.array(plain), codes), (~np.array(plain), np.array(odd_codes, np.int64))):
+        words = _Store()
+        words.update(own)
+        words.put(np.arange(len(own)), *self.encode_words(list(own)))
+        at = len(self.known) - len(new) + np.arange(len(new))
+        for chosen, its in ((plain, codes[codes != line_end]), (~plain, np.array(odd_codes, np.int64))):
             if chosen.any():
-                ids, sizes = self.words.gather(own)
-                self.stretches.put(at[chosen], ids, sums(sizes, counts[chosen]))
+                ids, sizes = words.gather(its)
+                self.known.put(at[chosen], ids, sums(sizes, counts[chosen]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.stretches) > self.max_entries or self.stretches.held > self.max_chars:
-            self.stretches = _Store()
-        if len(self.words) > self.max_entries or self.words.held > self.max_chars:
-            self.words = _Store()
-        get, codes, counts = self.stretches.__getitem__, [], []
-        for text in texts:
-            if "\0" in text or DOUBLE.search(text):
-                parts = CUT.split(text)
-            else:
-                parts = text.replace(" ", "\0 ").split("\0") if text[:1] != " " else (" " + text[1:].replace(" ", "\0 ")).split("\0")
-            codes.extend(map(get, parts))
-            counts.append(len(parts))
+        if len(self.known) > self.max_entries or self.known.held > self.max_chars:
+            self.known = _Store()
+        get, codes = self.known.__getitem__, []
+        for text, is_odd in zip(texts, odd(texts)):
+            parts = CUT.split(text) if is_odd else text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").split("\0")
+            codes.append(np.fromiter(map(get, parts), np.int64, len(parts)))
         self._learn()
-        ids, size = self.stretches.gather(np.array(codes, np.int64))
-        return ids, sums(size, np.array(counts, np.int64))
+        ids, size = self.known.gather(np.concatenate([np.zeros(0, np.int64), *codes]))
+        return ids, sums(size, np.fromiter(map(len, codes), np.int64, len(codes)))
+
+
+def odd(texts: list[str]) -> list[bool]:
+    """For each text whether it must be cut by CUT."""
+    points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = KINDS[np.minimum(points, len(KINDS) - 1)]
+    kinds[points >= len(KINDS)] = 0
+    now, before = points[1:], kinds[:-1]
+    wrong = (now == 32) & (before == 2) | ((now == 44) | (now == 46)) & (before != 1)
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    out = np.zeros(len(texts), bool)
+    out[np.searchsorted(ends, np.flatnonzero(wrong) + 1, "right")] = True
+    return [o or "\0" in t for o, t in zip(out.tolist(), texts)]
 
 
 def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
