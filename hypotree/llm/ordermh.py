@@ -25,6 +25,8 @@ from .common import ordered_rows, write_table
 PLACE, RANK, CELL = 23, 34, 6
 HASH = RANK + CELL
 TOP = (1 << PLACE) - 1
+#: So many k-mers are looked at if no more are below the limit.
+HEAD = 1024
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,9 +50,11 @@ def _cell(x: Column) -> Column:
 
 def _smallest(df: DataFrame, limit: Column, to: str, tuple_size: int) -> DataFrame:
     """Column `to`: of the sorted k-mers _s the smallest (k-mer, occurrence) pairs of each cell, of those below the limit."""
-    first = F.filter("_s", lambda x, i: (x < limit) & F.coalesce(x - F.get("_s", i - 1) > TOP, F.lit(True)))
-    first = F.when(limit == 0, F.array().cast("array<bigint>")).otherwise(first)
-    df = df.withColumn("_first", F.transform(first, lambda x: _element(F.shiftright(x, PLACE), x)))
+    # the k-mers below the limit come first; where not many do, only the beginning is looked at
+    many = F.coalesce(F.get("_s", F.lit(HEAD)) < limit, F.lit(False))
+    df = df.withColumn("_head", F.when(limit == 0, F.array().cast("array<bigint>")).when(many, F.col("_s")).otherwise(F.slice("_s", 1, HEAD)))
+    first = F.filter("_head", lambda x, i: (x < limit) & F.coalesce(x - F.get("_head", i - 1) > TOP, F.lit(True)))
+    df = df.withColumn("_first", F.transform(first, lambda x: _element(F.shiftright(x, PLACE), x))).drop("_head")
     # later occurrences: runs of _later, each numbered from 1
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_later"), F.lit(1)) - 1), lambda i: (F.size("_later") > 0) & ~_hash_at("_later", i - 1).eqNullSafe(_hash_at("_later", i)))
     df = df.withColumn("_starts", F.when(limit == 0, F.array().cast("array<int>")).otherwise(starts))
