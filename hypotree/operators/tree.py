@@ -50,10 +50,10 @@ def frontier(nodes: DataFrame, depth: int = D.DEPTH, branch: int = D.BRANCH) ->
     return joined.where((F.col("depth") < depth) & (F.col("children") < branch)).withColumn("slots", F.lit(branch) - F.col("children"))
 
 
-def expand_level(open_nodes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The best candidates (node_id, event_id, cos) of each frontier node, at most its slots."""
+def expand_level(open_nodes: DataFrame, candidates: DataFrame, branch: int = D.BRANCH) -> DataFrame:
+    """The best candidates (node_id, event_id, cos) of each frontier node, at most its slots, of which it has `branch` at most."""
     best = Window.partitionBy("node_id").orderBy(F.desc("cos"), "event_id")
-    ranked = open_nodes.join(candidates.select("node_id", "event_id", "cos"), "node_id").withColumn("n", F.row_number().over(best)).where("n <= slots")
+    ranked = open_nodes.join(candidates.select("node_id", "event_id", "cos"), "node_id").withColumn("n", F.row_number().over(best)).where((F.col("n") <= branch) & (F.col("n") <= F.col("slots")))
     return ranked.select(F.col("node_id").alias("parent_id"), "theory_id", "event_id", (F.col("depth") + 1).alias("child_depth"), "cos")
 
 
