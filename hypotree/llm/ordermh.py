@@ -130,10 +130,12 @@ def edited_fingerprints(docs: DataFrame, *, share: int = 4, **kw: int) -> DataFr
     order = write_table(next_in_order(sizes, ["doc_id", "h"]), "ordermh-next")
     signed = with_fingerprint(keyed, F.col("text"), "fingerprint", **kw).withColumn("id", F.coalesce("doc_id", F.lit(0)))
     sources = signed if sizes.select("h").distinct().count() == sizes.count() else signed.dropDuplicates(["id", "h"])
-    wanted = order.select(F.coalesce("next_doc_id", F.lit(0)).alias("id"), F.col("next_h").alias("h"), F.coalesce("doc_id", F.lit(0)).alias("to_id"), F.col("h").alias("to_h"), F.expr(f"n_chars div {share}").cast("int").alias("cut"), "n_chars")
+    wanted = order.select(F.coalesce("next_doc_id", F.lit(0)).alias("id"), F.col("next_h").alias("h"), F.coalesce("doc_id", F.lit(0)).alias("to_id"), F.col("h").alias("to_h"), F.expr(f"n_chars div {share}").cast("int").alias("cut"), "n_chars", "doc_id")
     if sources is not signed:  # repeated rows: one lookup serves all of them
         wanted = wanted.dropDuplicates(["to_id", "to_h"])
-    sent = sources.select("id", "h", "text", "fingerprint").join(wanted, ["id", "h"]).select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), "n_chars", "cut", F.substr("text", F.lit(1), F.col("cut")).alias("start"), F.col("fingerprint").alias("next_fingerprint"))
-    both = signed.select("id", "h", "text", "fingerprint", "doc_id").join(sent, ["id", "h"])
+    # both joins read the same columns of the same rows, so that Spark shuffles them once and reads that twice
+    columns = ["id", "h", "text", "fingerprint"]
+    sent = sources.select(*columns).join(wanted, ["id", "h"]).select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), "doc_id", "n_chars", "cut", F.substr("text", F.lit(1), F.col("cut")).alias("start"), F.col("fingerprint").alias("next_fingerprint"))
+    both = signed.select(*columns).join(sent, ["id", "h"])
     both = both.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.col("start")).alias("edited"))
     return with_fingerprint(both, F.col("edited"), "edited_fingerprint", **kw)
