@@ -149,7 +149,7 @@ _QUERIES: dict[str, str] = {
     "worst_lens": "SELECT node_id, lens, severity FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY severity DESC, lens_no) AS k FROM verdicts WHERE severity IS NOT NULL) WHERE k = 1",
     "board_queue": "SELECT node_id, lens_no, lens FROM verdicts WHERE (node_id + lens_no) % 3 = 0",
     "lens_profile": """SELECT theory_id, lens, grouping(theory_id, lens) AS level, count(*) FILTER (WHERE verdict = 'pass') AS n_pass, count(*) FILTER (WHERE verdict = 'concern') AS n_concern, count(*) FILTER (WHERE verdict = 'fail') AS n_fail,
-        count(*) FILTER (WHERE verdict = 'insufficient') AS n_insufficient, round(quantile_cont(severity, 0.25), 6) AS q1, round(quantile_cont(severity, 0.5), 6) AS median, round(quantile_cont(severity, 0.75), 6) AS q3
+        count(*) FILTER (WHERE verdict = 'insufficient') AS n_insufficient, round(quantile_cont(severity, 0.25) + 1e-9, 6) AS q1, round(quantile_cont(severity, 0.5) + 1e-9, 6) AS median, round(quantile_cont(severity, 0.75) + 1e-9, 6) AS q3
         FROM verdicts JOIN nodes n ON n.id = node_id GROUP BY ROLLUP (theory_id, lens)""",
     "custom_lens": """, age AS (SELECT node_id, round(least(1, (epoch_us((SELECT max(observed_at) FROM evidence)) - epoch_us(max(observed_at))) / 3.6e9 / 72), 6) AS severity FROM evidence WHERE stance = 1 GROUP BY node_id)
         SELECT * FROM verdicts UNION ALL SELECT n.id, 8, 'support_staleness', CASE WHEN severity IS NULL THEN 'insufficient' WHEN severity >= 0.5 THEN 'fail' WHEN severity >= 0.1 THEN 'concern' ELSE 'pass' END, severity FROM nodes n LEFT JOIN age ON age.node_id = n.id""",
