@@ -1,4 +1,4 @@
-"""The Shadow Board: dispatch of nodes to lenses, verdicts, aggregation, queue and profile."""
+"""The board: dispatch of nodes to lenses, verdicts, aggregation, queue and profile."""
 
 from __future__ import annotations
 

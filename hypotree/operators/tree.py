@@ -1,4 +1,4 @@
-"""The Theory Tree: roots, depth and paths, frontier, expansion under budgets, pruning, audits and roll-ups."""
+"""Trees of hypotheses: roots, depth and paths, frontier, expansion under budgets, pruning, audits and roll-ups."""
 
 from __future__ import annotations
 
