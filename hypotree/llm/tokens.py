@@ -67,7 +67,7 @@ class StretchEncoder:
     max_entries stretches or max_chars characters; that changes only the speed.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_entries: int = 1_000_000, max_chars: int = 20_000_000) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_entries: int = 600_000, max_chars: int = 12_000_000) -> None:
         import public_tokenizers
         import regex
 
