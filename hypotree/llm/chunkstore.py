@@ -94,7 +94,7 @@ def _made(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Per document a row with its recipe, and per chunk not seen before in the task a row with its payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, numbers, seen = shared_encoder(tokenizer), gear(), set()
+        encoder, numbers, seen = shared_encoder(tokenizer, max_entries=1_000_000, max_chars=20_000_000), gear(), set()
         for batch in slices(batches, "text"):
             ids, sizes = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
             ids = np.insert(ids, np.cumsum(sizes), end_id)

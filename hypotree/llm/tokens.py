@@ -155,8 +155,8 @@ def tokenizer_encoder(path: str, **kw: int) -> StretchEncoder:
 _ENCODERS: dict[str, StretchEncoder] = {}
 
 
-def shared_encoder(path: str) -> StretchEncoder:
-    """The Python worker's encoder for path: its cache lives as long as the worker, over many tasks."""
+def shared_encoder(path: str, **kw: int) -> StretchEncoder:
+    """The Python worker's encoder for path: its cache lives as long as the worker, over many tasks. kw: sizes for a new one."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = tokenizer_encoder(path)
+        _ENCODERS[path] = tokenizer_encoder(path, **kw)
     return _ENCODERS[path]
