@@ -1,4 +1,4 @@
-"""A training-corpus pipeline of four stages: quality classifier, language ID, SimHash near-dedup, best-fit packing.
+"""A training-corpus pipeline of four stages: quality classifier, language ID, near-dedup (SimHash and exact five-word similarity), best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of docs.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hypotree.llm import langid, packing, quality, simhash
+from hypotree.llm import langid, nearcopies, packing, quality
 from hypotree.llm.common import new_path, table
 
 #: Rows below these scores are rejected. A clean document scores near 1 for quality and has one language well ahead.
@@ -29,7 +29,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return nearcopies.keep_first(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
