@@ -64,16 +64,19 @@ class StretchEncoder:
     """encode(texts): the ids of all texts in one array, and each text's number of ids.
 
     encode_words: from a list of words, the joined ids and the number of ids of each word. The cache is emptied beyond
-    max_entries stretches or max_chars characters; that changes only the speed.
+    max_entries stretches or max_chars characters; that changes only the speed. added: strings that are one id wherever
+    they stand (leftmost first, the longest of those at a place); what lies between them is encoded as a text of its own.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_entries: int = 600_000, max_chars: int = 12_000_000) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_entries: int = 600_000, max_chars: int = 12_000_000, added: dict[str, int] | None = None) -> None:
         import public_tokenizers
         import regex
 
         self.words_of = regex.compile(public_tokenizers.PATTERN).findall
         self.encode_words, self.max_entries, self.max_chars = encode_words, max_entries, max_chars
         self.known = _Store()
+        self.added = added or {}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _learn(self) -> None:
         new, self.known.pending = self.known.pending, []
@@ -102,6 +105,15 @@ class StretchEncoder:
                 self.known.put(at[chosen], ids, sums(sizes, counts[chosen]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not any(a in t for a in self.added for t in texts):
+            return self._encode(texts)
+        parts = [self.at_added.split(t) for t in texts]  # every second part is an added string
+        ids, sizes = self._encode([x if k % 2 == 0 else "" for part in parts for k, x in enumerate(part)])
+        single = np.array([k % 2 == 1 for part in parts for k in range(len(part))])
+        own = np.array([self.added[x] for part in parts for x in part[1::2]], ids.dtype)
+        return np.insert(ids, np.cumsum(sizes)[single], own), sums(sizes + single, np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.max_entries or self.known.held > self.max_chars:
             self.known = _Store()
         get, codes = self.known.__getitem__, []
@@ -139,17 +151,18 @@ def byte_letters() -> dict[int, str]:
 
 
 def tokenizer_encoder(path: str, **kw: int) -> StretchEncoder:
-    """An encoder by the tokenizers library and the file at path (a byte-level BPE); special tokens' strings are ordinary text."""
+    """An encoder by the tokenizers library and the file at path (a byte-level BPE); the file's added tokens are one id each."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
-    letters = byte_letters()
+    tokenizer = Tokenizer.from_file(path)
+    model, letters, found = tokenizer.model, byte_letters(), tokenizer.get_added_tokens_decoder()
+    assert not any(x.lstrip or x.rstrip or x.single_word for x in found.values()), "added tokens that depend on what is beside them"
 
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return joined([[x.id for x in model.tokenize(w.encode().decode("latin-1").translate(letters))] for w in words])
 
-    return StretchEncoder(encode_words, **kw)
+    return StretchEncoder(encode_words, added={x.content: i for i, x in found.items()}, **kw)
 
 
 _ENCODERS: dict[str, StretchEncoder] = {}
