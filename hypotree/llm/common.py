@@ -18,9 +18,12 @@ ROW_BITS = 33
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only in local mode, where one machine does all."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="hypotree-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,7 +38,16 @@ def write_table(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def drop_tables(*tables: DataFrame | None) -> None:
+    """Deletes tables of write_table() that nothing reads any more."""
+    for one in tables:
+        if one is not None and (path := one.__dict__.get("_written")):
+            drop_path(one.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -1,19 +1,24 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by an exact join.
 
-Every set is ordered alike: shingles that are frequent in a sample last, else by hash. Two sets as similar as `least`
-share a shingle of their prefixes (the first n - ceil(least * n) + 1 of n), so pairs are looked for among sets that
-share one, and each is verified on the whole sets. The sample changes only the speed. Members of a shingle are kept as a
-list, and equal lists once; a shingle of more than `most` members is dealt to cells, in one of which any two meet.
-
-As groups are asked for, and not pairs, each list's first member is compared with the others to begin with; of the
-other pairs only those are verified that no link joins yet. Shingles are those of simhash.shingle_hashes; a set is named
-by 64 bits of its BLAKE2 digest.
+Every set is ordered alike: shingles that are frequent in a sample last, the most frequent at the end, else by hash. Two
+sets as similar as `least` share a shingle of their prefixes (the first n - ceil(least * n) + 1 of n), so pairs are looked
+for among the sets that share one, and each is verified on the two whole texts. The sample changes only the speed.
+
+Groups are asked for, and not pairs. So each list of sets with a common prefix shingle is first compared with one of its
+members; lists whose members are linked by then are done, the others get another such round, and of what is still open
+every pair of different groups is verified, large lists by cells in one of which any two members meet.
+
+Only hashes of prefixes and the texts of pairs travel: a set is named by 64 bits of its BLAKE2 digest, a text by its
+XXH64, and sets are worked out again where they are compared. Frequent shingles are salted and copies of a set within a
+task count once, so no task gets all rows of a frequent shingle or of a large group of copies.
+
+Defined results: null and empty texts are one set without shingles, and equal; fewer words than a shingle make one shingle
+of all; a group's id is its smallest non-null doc_id; repeated rows each get a row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,138 +27,251 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import field, slices, write_table
+from .common import drop_tables, field, slices, write_table
 
 #: A similarity of 4 / 5, in whole numbers.
 LEAST = (4, 5)
+ROWS = "doc_id long, th long, fp long, sig long, n int, rare array<long>, late array<long>"
+#: Odd multipliers: of a word's hash by its place in the shingle, and of the mixing.
+PLACES, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    return np.unique(np.array(simhash.shingle_hashes(text, words), np.uint64).view(np.int64))
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
-
-def prefix_size(n: int, least: tuple[int, int] = LEAST) -> int:
-    return n - -(-least[0] * n // least[1]) + 1 if n else 0
+        self[word] = found = xxh64_intdigest(word)
+        return found
 
 
-def shingle_sets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """(doc_id, fp, sig, n, shingles): one row for each row of docs, fp that of op7, sig the name of the set of n shingles."""
+def shingle_set(text: bytes, words: int, known: _WordHashes) -> np.ndarray:
+    """The distinct hashes of the runs of so many words, ascending; words as in simhash.shingle_hashes()."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.int64)
+    own = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
+    width = min(words, len(own))
+    total = np.zeros(len(own) - width + 1, np.uint64)
+    for k in range(width):
+        total += own[k : k + len(total)] * np.uint64(pow(PLACES, k + 1, 1 << 64))
+    total = (total ^ (total >> np.uint64(31))) * MIX
+    return np.unique((total ^ (total >> np.uint64(29))).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts = [x or b"" for x in batch.column("text").to_pylist()]
-            fps = np.array([simhash.fingerprint(simhash.shingle_hashes(x, 3)) for x in texts], np.uint64).view(np.int64)
-            sets = [shingle_set(x, words) for x in texts]
-            sigs = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=8).digest() for x in sets), np.int64)
-            sizes = np.array([len(x) for x in sets], np.int32)
-            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array(sigs), pa.array(sizes), held], ["doc_id", "fp", "sig", "n", "shingles"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, sig long, n int, shingles array<long>")
+def prefix_size(n: int, least: tuple[int, int] = LEAST) -> int:
+    return n - -(-least[0] * n // least[1]) + 1 if n else 0
 
 
-def frequent_shingles(sets: DataFrame, *, sample: int = 20_000, times: int = 3, most: int = 100_000) -> np.ndarray:
-    """The shingles that occur in `times` of about `sample` sets, at most `most` of them, ascending."""
-    share = min(1.0, sample / max(1, sets.count()))
-    few = sets.where(F.pmod(F.xxhash64("sig"), F.lit(1_000_000)) < int(share * 1_000_000)).select("sig", F.explode("shingles").alias("h")).distinct()
-    found = few.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") >= times).orderBy(F.desc("times"), "h").limit(most)
-    return np.sort(np.array([r.h for r in found.select("h").collect()], np.int64))
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, th, text): th names the text."""
+    body = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
 
 
-def prefixes(sets: DataFrame, frequent: np.ndarray, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(h, sig, n): the shingles of each set's prefix."""
-    held = sets.sparkSession.sparkContext.broadcast(frequent)
+def frequent_shingles(docs: DataFrame, *, text: str = "text", words: int = 5, sample: int = 20_000, times: int = 3, most: int = 100_000) -> np.ndarray:
+    """The shingles that occur in `times` of about `sample` texts, at most `most` of them, the most frequent last."""
+    share = min(1.0, sample / max(1, docs.count()))
+    few = _named(docs, text, text).where(F.pmod("th", F.lit(1_000_000)) < int(share * 1_000_000)).select("text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = held.value
-        for batch in batches:
-            lists, chosen = batch.column("shingles"), []
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            at = np.minimum(np.searchsorted(last, flat), max(0, len(last) - 1))
-            is_last = last[at] == flat if len(last) else np.zeros(len(flat), bool)
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                one, late = flat[a:b], is_last[a:b]
-                chosen.append(np.concatenate([one[~late], one[late]])[: prefix_size(b - a, least)])
-            sizes = [len(x) for x in chosen]
-            h = np.concatenate([np.zeros(0, np.int64), *chosen])
-            columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("sig", "n")]
-            yield pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, columns)], ["h", "sig", "n"])
-
-    return sets.select("sig", "n", "shingles").mapInArrow(run, "h long, sig long, n int")
-
-
-def shared_lists(keyed: DataFrame, *, most: int = 128) -> DataFrame:
-    """(members): lists of (sig, n) such that any two sets that share a prefix shingle are in one of them."""
-    dealt = keyed.repartition("h").distinct()
-    sizes = dealt.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    shared = write_table(dealt.join(sizes, "h"), "nearcopies-shared")
-    member = F.struct("sig", "n")
-    small = shared.where(F.col("size") <= most).groupBy("h").agg(F.sort_array(F.collect_list(member)).alias("members")).select("members")
-    cells = F.ceil(2 * F.col("size") / most).cast("int")
-    large = shared.where(F.col("size") > most).withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    large = large.groupBy("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.sort_array(F.collect_set(member)).alias("members")).select("members")
-    return write_table(small.union(large).where(F.size("members") > 1).distinct(), "nearcopies-lists")
-
-
-def list_pairs(lists: DataFrame, *, first_only: bool, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(a, b), a < b: pairs of each list whose sizes allow the similarity; first_only: those with the list's first member."""
-    up, down = least
+        known = _WordHashes()
+        for batch in slices(batches, "text"):
+            found = [np.zeros(0, np.int64), *(shingle_set(x, words, known) for x in batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["h"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members in batch.column("members").to_pylist():
-                its = [(m["sig"], m["n"]) for m in members]
-                pairs = ((its[0], x) for x in its[1:]) if first_only else itertools.combinations(its, 2)
-                found = [(a[0], b[0]) for a, b in pairs if up * max(a[1], b[1]) <= down * min(a[1], b[1])]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    found = few.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") >= times)
+    return np.array([r.h for r in found.orderBy(F.desc("times"), "h").limit(most).select("h").collect()][::-1], np.int64)
 
-    return lists.mapInArrow(run, "a long, b long").distinct()
 
+def described(docs: DataFrame, frequent: np.ndarray, *, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
+    """A row for each row of docs: fp as in op7, sig and size of its set, and the set's prefix, frequent shingles apart.
 
-def similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as `least`."""
+    Of rows of one task with the same set only the first has the prefix.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (late, rank), known, seen = held.value, _WordHashes(), set()
+        for batch in slices(batches, "text"):
+            known = _WordHashes() if len(known) > 500_000 else known
+            seen = set() if len(seen) > 500_000 else seen
+            fps, sigs, sizes, parts = [], [], [], ([], [])
+            for x in batch.column("text").to_pylist():
+                fps.append(simhash.fingerprint(simhash.shingle_hashes(x, 3)))
+                one = shingle_set(x, words, known)
+                sig = int.from_bytes(hashlib.blake2b(one.tobytes(), digest_size=8).digest(), "little", signed=True)
+                sigs.append(sig)
+                sizes.append(len(one))
+                size = 0 if sig in seen else prefix_size(len(one), least)
+                seen.add(sig)
+                if len(late) and size:
+                    at = np.minimum(np.searchsorted(late, one), len(late) - 1)
+                    is_late = late[at] == one
+                    first = one[~is_late][:size]
+                    then = one[is_late]
+                    parts[1].append(then[np.argsort(rank[at[is_late]])][: size - len(first)])
+                else:
+                    first = one[:size]
+                    parts[1].append(one[:0])
+                parts[0].append(first)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]).astype(np.int32)), pa.array(np.concatenate(p))) for p in parts]
+            columns = [batch.column("doc_id"), batch.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ROWS.split(", ")])
+
+    return _named(docs, key, text).mapInArrow(run, ROWS)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """From rows (h, salt, sig) sorted so: for each run of one h and salt with two distinct sets or more its members.
+
+    Runs of shingles that aren't salted, with at most `most` members, give one list each, equal lists once in a task;
+    other runs give lists of at most `most` members under their h, also if there is but one set, as other salts may have more.
+    """
+    seen: set[bytes] = set()
+    held = np.zeros((3, 0), np.int64)  # h, salt, sig of the run that may go on
+    broken: set[int] = set()  # the shingle of a run that was given in pieces
+
+    def lists(rows: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
+        h, salt, sig = rows
+        begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]))
+        end = np.append(begin[1:], len(h))
+        for a, b in zip(*(x[(end - begin > 1) | (salt[begin] >= 0)].tolist() for x in (begin, end))):
+            members = np.unique(sig[a:b])
+            if salt[a] < 0 and len(members) <= most and h[a] not in broken:
+                name = members.tobytes()
+                if len(members) > 1 and name not in seen:
+                    if len(seen) > 300_000:
+                        seen.clear()
+                    seen.add(name)
+                    yield None, members
+            else:
+                for at in range(0, len(members), most):
+                    yield int(h[a]), members[at : at + most]
+
+    def out(found: list[tuple[int | None, np.ndarray]]) -> pa.RecordBatch:
+        offsets = pa.array(np.cumsum([0, *(len(m) for _, m in found)]).astype(np.int32))
+        members = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *(m for _, m in found)])))
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), members], ["h", "members"])
+
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("h", "salt", "sig")])], axis=1)
+        if not rows.shape[1]:
+            continue
+        last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+        cut = int(np.argmax(last))
+        if last.all() and rows.shape[1] > 1 << 20:
+            cut, broken = rows.shape[1], {int(rows[0, 0])}
+        if cut:
+            yield out(list(lists(rows[:, :cut])))
+        held = rows[:, cut:]
+    if held.shape[1]:
+        yield out(list(lists(held)))
+
+
+def shared_lists(rows: DataFrame, *, most: int = 128) -> DataFrame:
+    """(list, sig): members of lists such that any two sets that share a prefix shingle are in one of them."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = F.pmod(F.xxhash64("sig"), F.lit(salts)).cast("long")
+    keyed = rows.select(F.explode("rare").alias("h"), F.lit(-1).cast("long").alias("salt"), "sig").union(rows.select(F.explode("late").alias("h"), salted.alias("salt"), "sig"))
+    dealt = keyed.repartition("h", "salt").sortWithinPartitions("h", "salt", "sig")
+    found = write_table(dealt.mapInArrow(lambda it: _runs(it, most), "h long, members array<long>"), "nearcopies-runs")
+    small = found.where("h is null").select(F.xxhash64(F.lit(0), "members").alias("list"), "members").dropDuplicates(["list"])
+    large = found.where("h is not null").select(F.xxhash64(F.lit(1), "h").alias("list"), "members")
+    members = write_table(small.union(large).select("list", F.explode("members").alias("sig")), "nearcopies-members")
+    drop_tables(found)
+    return members
+
+
+def _near_in_size(least: tuple[int, int]):
+    return least[0] * F.greatest("n", "m") <= least[1] * F.least("n", "m")
+
+
+def _open_members(members: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(list, sig, n, root) of the lists with members of several groups."""
+    rooted = members.join(sizes, "sig").join(roots, F.col("sig") == F.col("node"), "left").select("list", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    rooted = write_table(rooted, "nearcopies-rooted")
+    left = rooted.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("list").alias("same"))
+    found = write_table(rooted.join(left, F.col("list") == F.col("same"), "left_semi"), "nearcopies-open")
+    drop_tables(rooted)
+    return found
+
+
+def star_pairs(members: DataFrame, turn: int, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(a, b), a < b: each list's members with one of them, another at every turn, where groups differ and sizes allow it."""
+    order = F.xxhash64("sig", F.lit(turn))
+    chosen = members.groupBy("list").agg(F.min_by(F.struct("sig", "n", "root"), order).alias("rep"))
+    pairs = members.join(chosen, "list").select("sig", "n", "root", F.col("rep.sig").alias("other"), F.col("rep.n").alias("m"), F.col("rep.root").alias("at"))
+    return pairs.where((F.col("root") != F.col("at")) & _near_in_size(least)).select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
+
+
+def all_pairs(members: DataFrame, most: int = 128, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(a, b), a < b: all pairs of a list that are of different groups and near in size; cells split large lists."""
+    cells = members.groupBy("list").agg(F.ceil(2 * F.count("*") / most).cast("int").alias("cells"))
+    own = members.join(cells, "list").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    dealt = dealt.select("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sig", "n", "root")
+    twin = dealt.select("list", "x", "y", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("root").alias("at"))
+    pairs = dealt.withColumnRenamed("sig", "a").join(twin, ["list", "x", "y"])
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("root") != F.col("at")) & _near_in_size(least)).select("a", "b").distinct()
+
+
+def similar(pairs: DataFrame, docs: DataFrame, names: DataFrame, *, text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, few: int = 2_000_000) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is at least `least`; names: (sig, n, th). The list of texts needed is broadcast only up to `few` rows."""
     up, down = least
-    need = write_table(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "nearcopies-need")
-    held = write_table(sets.join(need, "sig", "left_semi").select("sig", "shingles").dropDuplicates(["sig"]), "nearcopies-held")
+    need = write_table(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(names.select("sig", "th"), "sig"), "nearcopies-need")
+    wanted = need.select("th", "sig")
+    wanted = F.broadcast(wanted) if need.count() <= few else wanted.hint("merge")
+    held = write_table(_named(docs, text, text).select("th", "text").join(wanted, "th").select("sig", "text").dropDuplicates(["sig"]), "nearcopies-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known, sets = _WordHashes(), {}
+        for batch in slices(slices(batches, "x"), "y"):
             keep = []
-            x, y = batch.column("x"), batch.column("y")
-            for i in range(batch.num_rows):
-                one, two = x[i].values.to_numpy(), y[i].values.to_numpy()
+            columns = [batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]
+            for a, b, x, y in zip(*columns):
+                if len(sets) > 256 or len(known) > 500_000:
+                    known, sets = _WordHashes(), {}
+                one, two = (sets[k] if k in sets else sets.setdefault(k, shingle_set(t, words, known)) for k, t in ((a, x), (b, y)))
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(down * both >= up * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = held.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), held.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
-    return write_table(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "nearcopies-similar")
+    one, two = held.select(F.col("sig").alias("a"), F.col("text").alias("x")), held.select(F.col("sig").alias("b"), F.col("text").alias("y"))
+    found = write_table(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "nearcopies-similar")
+    drop_tables(need, held)
+    return found
 
 
-def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, most: int = 128, sample: int = 20_000) -> DataFrame:
+def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, most: int = 128, sample: int = 20_000, stars: int = 3) -> DataFrame:
     """(doc_id, component_id), one row for each row of docs: documents linked by near copies, by op7's fingerprints, or both."""
-    rows = write_table(shingle_sets(docs, key=key, text=text, words=words), "nearcopies-sets")
-    covered = write_table(rows.select("fp", "sig").distinct(), "nearcopies-fp")
+    frequent = frequent_shingles(docs, text=text, words=words, sample=sample)
+    rows = write_table(described(docs, frequent, key=key, text=text, words=words, least=least), "nearcopies-rows")
+    names = write_table(rows.groupBy("sig").agg(F.min("n").alias("n"), F.min("th").alias("th")), "nearcopies-names")
+    covered = write_table(rows.select("fp", "sig").distinct(), "nearcopies-covered")
     named = write_table(covered.groupBy("fp").agg(F.min("sig").alias("rep")), "nearcopies-rep")
     near = simhash.links(named.select("fp"))
     a, b = named.select(F.col("fp").alias("a"), F.col("rep").alias("x")), named.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-    edges = near.join(a, "a").join(b, "b").select("x", "y").union(covered.join(named, "fp").select("sig", "rep")).where("x <> y").toDF("a", "b")
-    edges = write_table(edges, "nearcopies-edges")
+    by_bits = near.join(a, "a").join(b, "b").select("x", "y").union(covered.join(named, "fp").select("sig", "rep")).where("x <> y").toDF("a", "b")
+    edges = write_table(by_bits, "nearcopies-edges")
+    drop_tables(covered, named)
 
-    lists = shared_lists(prefixes(rows, frequent_shingles(rows.select("sig", "shingles"), sample=sample), least), most=most)
-    first = write_table(list_pairs(lists, first_only=True, least=least), "nearcopies-first")
-    edges = edges.union(similar(first, rows, least))
-    roots = write_table(simhash.components(edges), "nearcopies-roots")
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = list_pairs(lists, first_only=False, least=least).join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rest = write_table(rest, "nearcopies-rest")
-    if not rest.isEmpty():
-        edges = edges.union(similar(rest, rows, least))
+    left = shared_lists(rows, most=most)
+    for turn in range(stars + 1):
         roots = write_table(simhash.components(edges), "nearcopies-roots")
-
+        still = _open_members(left, names.select("sig", "n"), roots)
+        drop_tables(left)
+        pairs = write_table(star_pairs(still, turn, least) if turn < stars else all_pairs(still, most, least), "nearcopies-pairs")
+        left = still.select("list", "sig")
+        left._written = still._written
+        if not pairs.isEmpty():
+            found = similar(pairs, docs, names, text=text, words=words, least=least)
+            more = write_table(edges.union(found), "nearcopies-edges")
+            drop_tables(edges, found)
+            edges = more
+        drop_tables(pairs, roots)
+    drop_tables(left)
+    roots = write_table(simhash.components(edges), "nearcopies-roots")
+    drop_tables(edges)
     rooted = rows.select("doc_id", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(firsts, "root").select("doc_id", "component_id")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, slices, write_table
+from .common import drop_tables, field, slices, write_table
 
 BITS = 64
 
@@ -133,7 +133,9 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         large = write_table(large, "cc-large")
         least = write_table(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least").select(F.col("a").alias("k"), "m")
         small = large.join(least, large["a"] == least["k"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a > b").distinct()
+        drop_tables(edges)
         edges = write_table(small, "cc")
+        drop_tables(large)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break
