@@ -31,7 +31,9 @@ from .common import drop_tables, field, slices, write_table
 
 #: A similarity of 4 / 5, in whole numbers.
 LEAST = (4, 5)
-ROWS = "doc_id long, th long, fp long, sig long, n int, rare array<long>, late array<long>"
+ROWS = "doc_id long, th long, fp long, sig long, n int, bits binary, rare array<long>, late array<long>"
+#: Bytes of a set's bitmap.
+BITMAP = 256
 #: Odd multipliers: of a word's hash by its place in the shingle, and of the mixing.
 PLACES, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -62,6 +64,12 @@ def prefix_size(n: int, least: tuple[int, int] = LEAST) -> int:
     return n - -(-least[0] * n // least[1]) + 1 if n else 0
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    out = np.zeros(8 * BITMAP, bool)
+    out[hashes & (8 * BITMAP - 1)] = True
+    return np.packbits(out).tobytes()
+
+
 def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, th, text): th names the text."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
@@ -95,13 +103,14 @@ def described(docs: DataFrame, frequent: np.ndarray, *, key: str = "doc_id", tex
         for batch in slices(batches, "text"):
             known = _WordHashes() if len(known) > 500_000 else known
             seen = set() if len(seen) > 500_000 else seen
-            fps, sigs, sizes, parts = [], [], [], ([], [])
+            fps, sigs, sizes, bits, parts = [], [], [], [], ([], [])
             for x in batch.column("text").to_pylist():
                 fps.append(simhash.fingerprint(simhash.shingle_hashes(x, 3)))
                 one = shingle_set(x, words, known)
                 sig = int.from_bytes(hashlib.blake2b(one.tobytes(), digest_size=8).digest(), "little", signed=True)
                 sigs.append(sig)
                 sizes.append(len(one))
+                bits.append(bitmap(one))
                 size = 0 if sig in seen else prefix_size(len(one), least)
                 seen.add(sig)
                 if len(late) and size:
@@ -115,7 +124,7 @@ def described(docs: DataFrame, frequent: np.ndarray, *, key: str = "doc_id", tex
                     parts[1].append(one[:0])
                 parts[0].append(first)
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]).astype(np.int32)), pa.array(np.concatenate(p))) for p in parts]
-            columns = [batch.column("doc_id"), batch.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), *lists]
+            columns = [batch.column("doc_id"), batch.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), *lists]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ROWS.split(", ")])
 
     return _named(docs, key, text).mapInArrow(run, ROWS)
@@ -182,10 +191,6 @@ def shared_lists(rows: DataFrame, *, most: int = 128) -> DataFrame:
     return members
 
 
-def _near_in_size(least: tuple[int, int]):
-    return least[0] * F.greatest("n", "m") <= least[1] * F.least("n", "m")
-
-
 def _open_members(members: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
     """(list, sig, n, root) of the lists with members of several groups."""
     rooted = members.join(sizes, "sig").join(roots, F.col("sig") == F.col("node"), "left").select("list", "sig", "n", F.coalesce("root", "sig").alias("root"))
@@ -201,18 +206,44 @@ def star_pairs(members: DataFrame, turn: int, least: tuple[int, int] = LEAST) ->
     order = F.xxhash64("sig", F.lit(turn))
     chosen = members.groupBy("list").agg(F.min_by(F.struct("sig", "n", "root"), order).alias("rep"))
     pairs = members.join(chosen, "list").select("sig", "n", "root", F.col("rep.sig").alias("other"), F.col("rep.n").alias("m"), F.col("rep.root").alias("at"))
-    return pairs.where((F.col("root") != F.col("at")) & _near_in_size(least)).select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
+    near = least[0] * F.greatest("n", "m") <= least[1] * F.least("n", "m")
+    return pairs.where((F.col("root") != F.col("at")) & near).select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
 
 
-def all_pairs(members: DataFrame, most: int = 128, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(a, b), a < b: all pairs of a list that are of different groups and near in size; cells split large lists."""
-    cells = members.groupBy("list").agg(F.ceil(2 * F.count("*") / most).cast("int").alias("cells"))
-    own = members.join(cells, "list").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int"))
+def all_pairs(members: DataFrame, names: DataFrame, most: int = 1024, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(a, b), a < b: the pairs of a list that are of different groups and whose bitmaps allow the similarity; cells split large lists."""
+    up, down = least
+    cells = members.groupBy("list").agg(F.count("*").alias("size"))
+    own = members.join(cells, "list").withColumn("cells", F.when(F.col("size") <= most, 1).otherwise(F.ceil(2 * F.col("size") / most)).cast("int"))
+    own = own.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int")).join(names.select("sig", "bits"), "sig")
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    dealt = dealt.select("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sig", "n", "root")
-    twin = dealt.select("list", "x", "y", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("root").alias("at"))
-    pairs = dealt.withColumnRenamed("sig", "a").join(twin, ["list", "x", "y"])
-    return pairs.where((F.col("a") < F.col("b")) & (F.col("root") != F.col("at")) & _near_in_size(least)).select("a", "b").distinct()
+    dealt = dealt.select("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sig", "n", "root", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, found = batch.column("members"), [np.zeros((2, 0), np.int64)]
+            flat, ends = column.values, column.offsets.to_numpy().tolist()
+            sig, n, root, own = (flat.field(c).to_numpy() for c in ("sig", "n", "root", "own"))
+            bits = flat.field("bits")
+            crosses = (batch.column("x").to_numpy() != batch.column("y").to_numpy()).tolist()
+            for a, b, cross in zip(ends, ends[1:], crosses):
+                maps = np.frombuffer(b"".join(bits.slice(a, b - a).to_pylist()), np.uint64).reshape(b - a, -1)
+                step = max(1, 4096 // (b - a))  # so many rows against all later ones at a time
+                for at in range(0, b - a, step):
+                    i, j = np.nonzero(np.arange(at, min(at + step, b - a))[:, None] < np.arange(b - a)[None, :])
+                    i += at
+                    p, q = a + i, a + j
+                    ok = (root[p] != root[q]) & (up * np.maximum(n[p], n[q]) <= down * np.minimum(n[p], n[q]))
+                    ok &= (own[p] != own[q]) | (not cross)
+                    i, j, p, q = i[ok], j[ok], p[ok], q[ok]
+                    differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
+                    ok = (down + up) * differ <= (down - up) * (n[p].astype(np.int64) + n[q])
+                    found.append(np.sort(np.stack([sig[p[ok]], sig[q[ok]]]), axis=0))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    lists = dealt.groupBy("list", "x", "y").agg(F.collect_list(F.struct("sig", "n", "root", "own", "bits")).alias("members"))  # about `most` at most
+    return lists.select("x", "y", "members").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, docs: DataFrame, names: DataFrame, *, text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, few: int = 2_000_000) -> DataFrame:
@@ -242,11 +273,11 @@ def similar(pairs: DataFrame, docs: DataFrame, names: DataFrame, *, text: str =
     return found
 
 
-def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, most: int = 128, sample: int = 20_000, stars: int = 3) -> DataFrame:
+def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, most: int = 128, sample: int = 20_000, stars: int = 2) -> DataFrame:
     """(doc_id, component_id), one row for each row of docs: documents linked by near copies, by op7's fingerprints, or both."""
     frequent = frequent_shingles(docs, text=text, words=words, sample=sample)
     rows = write_table(described(docs, frequent, key=key, text=text, words=words, least=least), "nearcopies-rows")
-    names = write_table(rows.groupBy("sig").agg(F.min("n").alias("n"), F.min("th").alias("th")), "nearcopies-names")
+    names = write_table(rows.groupBy("sig").agg(F.min("n").alias("n"), F.min("th").alias("th"), F.first("bits").alias("bits")), "nearcopies-names")
     covered = write_table(rows.select("fp", "sig").distinct(), "nearcopies-covered")
     named = write_table(covered.groupBy("fp").agg(F.min("sig").alias("rep")), "nearcopies-rep")
     near = simhash.links(named.select("fp"))
@@ -260,7 +291,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
         roots = write_table(simhash.components(edges), "nearcopies-roots")
         still = _open_members(left, names.select("sig", "n"), roots)
         drop_tables(left)
-        pairs = write_table(star_pairs(still, turn, least) if turn < stars else all_pairs(still, most, least), "nearcopies-pairs")
+        pairs = write_table(star_pairs(still, turn, least) if turn < stars else all_pairs(still, names, 8 * most, least), "nearcopies-pairs")
         left = still.select("list", "sig")
         left._written = still._written
         if not pairs.isEmpty():
