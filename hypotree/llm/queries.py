@@ -62,9 +62,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ordermh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ordermh.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ordermh.edited_fingerprints(docs, keep=lambda edited: F.sha2(edited.cast("binary"), 256))
     return found.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), ordermh.as_text(F.col("fingerprint")).alias("fingerprint"), ordermh.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.col("edited").alias("edited_sha256"), ordermh.as_text(F.col("fingerprint")).alias("fingerprint"), ordermh.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         ordermh.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), ordermh.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 

@@ -405,26 +405,28 @@ def test_bounds_hold():
 # 9
 
 
-def _order_minhash(text: str, k: int = 12, tuple_size: int = 2) -> dict[int, int]:
+def _order_minhash(text: str, k: int = 12) -> dict[int, int]:
     import xxhash
 
-    raw, place, cells = text.encode(), 23, collections.defaultdict(list)
+    raw, items, cells = text.encode(), [], collections.defaultdict(list)
     if not raw:
         return {}
     seen: collections.Counter = collections.Counter()
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     for at in range(max(1, len(raw) - k + 1)):
-        h = (xxhash.xxh64_intdigest(raw[at : at + k], seed=42) & (2**63 - 1)) >> place
+        h = (xxhash.xxh64_intdigest(raw[at : at + k], seed=42) & (2**63 - 1)) >> 31
         if seen[h]:  # xxhash64(long, int): the first value's hash seeds the second's
             first = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=42)
-            g = xxhash.xxh64_intdigest(seen[h].to_bytes(4, "little"), seed=signed(first) % 2**64) >> 24
+            g = xxhash.xxh64_intdigest(seen[h].to_bytes(4, "little"), seed=signed(first) % 2**64) >> 32
         else:
             g = h
         seen[h] += 1
-        cells[g & 63].append((g >> 6, at + 1))
+        items.append((g, at + 1))
+    for g, at in sorted(items)[:384]:
+        cells[g & 63].append((g >> 6, at))
     out = {}
-    for cell, items in cells.items():
-        ranks = [r for r, _ in sorted(sorted(items)[:tuple_size], key=lambda x: (x[1], x[0]))]
+    for cell, its in cells.items():
+        ranks = [r for r, _ in sorted(sorted(its)[:2], key=lambda x: (x[1], x[0]))]
         seed = 42
         for r in ranks:
             seed = xxhash.xxh64_intdigest(r.to_bytes(8, "little"), seed=seed)
@@ -438,17 +440,30 @@ def test_order_minhash_fingerprint(spark, docs, odd):
         assert {x >> 25: x & (1 << 25) - 1 for x in r.fp} == _order_minhash(r.text or ""), r.doc_id
 
 
-def test_order_minhash_edits(spark, docs, odd, none):
-    for rows in (docs.select("doc_id", "text"), odd.select("doc_id", "text"), none.select("doc_id", "text"), spark.createDataFrame([(3, "only one text here")], "doc_id long, text string")):
-        source = sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda x: (x[0] is not None, x[0]))
-        found = ordermh.edited_fingerprints(rows).collect()
-        assert len(found) == len(source)
-        if len({d for d, _ in source}) < len(source):  # repeated rows: equal ones are each other's next
-            continue
-        by = {r.doc_id: r for r in found}
+def _likeness(a: dict, b: dict) -> float:
+    return sum(a[c] == b[c] for c in a.keys() & b.keys()) / len(a.keys() | b.keys()) if a or b else 1.0
+
+
+def test_order_minhash_query(spark, docs, odd, none, tmp_path):
+    """All columns of the query against brute force, repeated rows and null ids included."""
+    few = docs.select("doc_id", "text").limit(60)
+    again = few.limit(9).union(few.limit(4)).union(spark.createDataFrame([(None, "no id"), (None, "no id"), (None, None), (0, "zero"), (70_000, "short"), (70_001, "\u00e9" * 9)], "doc_id long, text string"))
+    one = spark.createDataFrame([(3, "only one text here")], "doc_id long, text string")
+    for number, rows in enumerate((few, odd.select("doc_id", "text"), again, none.select("doc_id", "text"), one)):
+        rows.write.parquet(str(tmp_path / str(number) / "documents.parquet"))
+        found = queries.op9_ordermh(spark, str(tmp_path / str(number))).collect()
+        source = [(r.doc_id, r.text or "") for r in ordermh.next_in_order(rows.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text")), ["doc_id", "h", "text"]).orderBy(F.asc_nulls_first("doc_id"), "h").collect()]
+        want = []
         for (doc, text), (_, after) in zip(source, source[1:] + source[:1]):
             cut = len(text) // 4
-            assert (by[doc].n_chars, by[doc].edited) == (len(text), text[: len(text) - cut] + after[:cut])
+            edited = text[: len(text) - cut] + after[:cut]
+            a, b, c = map(_order_minhash, (text, edited, after))
+            told = ["".join(f"{cell << 25 | x[cell]:08x}" for cell in sorted(x)) for x in (a, b)]
+            want.append((str(doc), len(text), hashlib.sha256(edited.encode()).hexdigest(), *told, round(_likeness(a, b), 9), round(_likeness(a, c), 9)))
+        assert sorted(want) == sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found), number
+
+
+def test_order_minhash_edits(spark):
     near = queries.op9_ordermh(spark, DIR).where("n_chars > 100").agg(F.avg("near_edited"), F.avg("near_next"), F.min("near_next"), F.max("near_edited")).first()
     assert near[0] > near[1] + 0.2 and near[2] >= 0 and near[3] <= 1
 
