@@ -46,7 +46,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(JSON)
-    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -243,9 +242,15 @@ def test_chunks_find_equal_passages():
 
 def test_damaged_chunk_raises(spark):
     store = chunkstore.write(spark.createDataFrame([(1, "some text " * 50)], "doc_id long, text string"), JSON)
-    store.chunks = store.chunks.withColumn("payload", F.lit(chunkstore.pack_ids(_u32([1, 2, 3]))))
+    good = store.own
+    store.own = good.withColumn("own", F.transform("own", lambda x: x.withField("payload", F.lit(chunkstore.pack_ids(_u32([1, 2, 3]))))))
     with pytest.raises(Exception, match="damaged"):
         chunkstore.read(store).collect()
+    store.own = good.withColumn("own", F.slice("own", 1, 0))
+    with pytest.raises(Exception, match="missing"):
+        chunkstore.read(store).collect()
+    store.own = good.withColumn("digests", F.array_repeat(F.get("digests", F.lit(0)), 2))
+    assert not chunkstore.verify_manifest(store).isEmpty()
 
 
 # 6
