@@ -4,8 +4,8 @@ One bit-sliced Bloom filter serves all languages: a cell holds a mask with a bit
 are the same for all, and the bitwise and of its cells gives every language that (probably) has the n-gram at once.
 Per language, the number of a text's n-grams that it holds, corrected for that language's false positives, decides.
 
-Fitting reads a bounded sample (`per_lang` texts of each language in expectation, of at most `max_bytes`); at most 64
-languages. Prediction reads every whole text.
+Fitting reads a bounded sample (`per_lang` texts of each language in expectation, of at most `max_bytes`, and `budget`
+bytes over all). There is a layer of masks for every 64 languages. Prediction reads every whole text.
 
 Defined results: null text and text without a letter give `und` and score 0; ties go to the first language by name;
 repeated rows each get their own (equal) row; an empty table gives an empty result; without learned languages all is `und`.
@@ -59,7 +59,7 @@ def cells(window: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """langs: the names, bit i of a mask is langs[i]. masks: the cells. false_rate: per language, its fill to the power of the cells read."""
+    """langs: the names; bit i % 64 of layer i // 64 is langs[i]. masks: layers of cells. false_rate: per language, its fill to the power of the cells read."""
 
     langs: list[str]
     masks: np.ndarray
@@ -71,10 +71,9 @@ class Filters:
         if not some or not self.langs:
             return out, scores
         window, n = grams([texts[i] for i in some])
-        bits = len(self.masks).bit_length() - 1
-        at = cells(window, bits)
-        holds = self.masks[at[0]] & self.masks[at[1]] & self.masks[at[2]]
-        hits = np.stack([sums((holds >> i & 1).astype(np.int64), n) for i in range(len(self.langs))])
+        at = cells(window, self.masks.shape[1].bit_length() - 1)
+        holds = [layer[at[0]] & layer[at[1]] & layer[at[2]] for layer in self.masks]
+        hits = np.stack([sums((holds[i // 64] >> (i % 64) & 1).astype(np.int64), n) for i in range(len(self.langs))])
         share = np.clip((hits / np.maximum(n, 1) - self.false_rate[:, None]) / (1 - self.false_rate[:, None]), 0, 1)
         best = share.argmax(0)
         total = share.sum(0)
@@ -86,9 +85,9 @@ class Filters:
 
 def build(texts: list[str], langs: list[str], *, bits: int = 20, min_count: int = 2, rival: float = 0.05) -> Filters:
     """A language gets an n-gram if it has it min_count times and at least `rival` as often, for its size, as the language that has it most."""
-    names = sorted(set(langs))[:64]
+    names = sorted(set(langs))
     kind = np.uint8 if len(names) <= 8 else np.uint64
-    masks = np.zeros(1 << bits, kind)
+    masks = np.zeros((-(-len(names) // 64), 1 << bits), kind)
     counted = []
     for name in names:
         window, _ = grams([t for t, own in zip(texts, langs) if own == name])
@@ -102,26 +101,26 @@ def build(texts: list[str], langs: list[str], *, bits: int = 20, min_count: int
     taken = (rate > 0) & (rate >= rival * rate.max(0))
     for i in range(len(names)):
         for at in cells(every[taken[i]], bits):
-            masks[at] |= kind(1 << i)
-    fill = np.array([np.count_nonzero(masks >> i & 1) for i in range(len(names))]) / len(masks)
+            masks[i // 64, at] |= kind(1 << i % 64)
+    fill = np.array([np.count_nonzero(masks[i // 64] >> (i % 64) & 1) for i in range(len(names))]) / (1 << bits)
     return Filters(names, masks, fill ** len(MULTIPLIERS))
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1200, max_bytes: int = 32_768, **kw: float) -> Filters:
-    """Learns from rows with a language that held_out() leaves, per_lang of each in expectation by the hash of their id."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(64).collect()}
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1200, max_bytes: int = 32_768, budget: int = 64 << 20, **kw: float) -> Filters:
+    """Learns from rows with a language that held_out() leaves, per_lang of each in expectation, and no more than an even share of budget bytes, by the hash of their id and text."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)) & (F.octet_length(text) <= max_bytes))
+    counts = {r["l"]: r for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("b")).collect()}
     if not counts:
         return build([], [])
-    share = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(1)), 11) / float(1 << 53)
-    wanted = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, per_lang / n))])
-    sample = rows.where(F.col(lang).isin(*counts) & (share < wanted[F.col(lang)]) & (F.octet_length(text) <= max_bytes)).select(F.col(text).alias("t"), F.col(lang).alias("l")).toArrow()
+    share = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text), F.lit(1)), 11) / float(1 << 53)
+    wanted = F.create_map(*[F.lit(x) for l, r in sorted(counts.items()) for x in (l, min(1.0, per_lang / r["n"], budget / len(counts) / max(1, r["b"])))])
+    sample = rows.where(share < wanted[F.col(lang)]).select(F.col(text).alias("t"), F.col(lang).alias("l")).toArrow()
     return build(sample["t"].to_pylist(), sample["l"].to_pylist(), **kw)
 
 
 def identify(docs: DataFrame, filters: Filters, *, text: str = "text", to: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its share of the languages' corrected hit rates. The filters are of fixed size."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    """docs with the predicted language and its share of the languages' corrected hit rates, in place of columns of those names. The filters are of fixed size."""
+    sent, docs = docs.sparkSession.sparkContext.broadcast(filters), docs.drop(to, score)
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         dim: int = 96, nonzero: int = 8, max_words: int = 20_000, min_count: int = 3, window: int = 2, hidden: int = 48, epochs: int = 40, seed: int = 7) -> Model:
     """Fits on a bounded sample: of each label value about per_label rows, those with the smallest hashes of their id.
 
-    Only the sample's texts (at most 2 * per_label * max_bytes, a few MB in practice) come to the driver. Rows for which
+    Of rows that repeat an id one text is taken. Only the sample's texts (at most 2 * per_label * max_bytes, a few MB in practice) come to the driver. Rows for which
     held_out() holds and labels other than 0 and 1 take no part.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     share = F.shiftrightunsigned(F.xxhash64("_key"), 11) / float(1 << 53)
     chosen = rows.where(share < F.when(F.col("_label") == 1, per_label / max(1, counts.get(1, 1))).otherwise(per_label / max(1, counts.get(0, 1))))
     texts = docs.where(F.octet_length(text) <= max_bytes).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    sample = texts.join(F.broadcast(chosen), "_key").select("_key", "_text", "_label").toArrow().sort_by([("_key", "ascending"), ("_text", "ascending")])
+    sample = texts.join(F.broadcast(chosen), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text")).toArrow().sort_by([("_key", "ascending"), ("_text", "ascending")])
     told, truth = sample["_text"].to_pylist(), np.array(sample["_label"].to_pylist(), np.int64)
     del sample
     model = word_vectors(told, dim, nonzero, max_words, min_count, window)
@@ -195,8 +195,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Itera
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score") -> DataFrame:
-    """docs with the probability of label 1 in column `to`. The model goes out as one broadcast of bounded size."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """docs with the probability of label 1 in column `to`, in place of a column of that name. The model goes out as one broadcast of bounded size."""
+    sent, docs = docs.sparkSession.sparkContext.broadcast(model), docs.drop(to)
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,8 @@ lists of a query are merged a few at a time, level by level, so no group holds m
 Components are quantised to floor(scale * x). Products run in floats while sums stay exact, else in whole numbers.
 
 Defined results: vectors that are null or hold nulls, NaNs or infinities take no part, nor do rows without an id; vectors of
-different lengths are compared as if zeros followed the shorter; of rows that repeat an id the one with the smallest
-vector stands; ties go to the smaller id; scores beyond a long are cut to its range; no queries give an empty result.
+different lengths are compared as if zeros followed the shorter; rows that repeat an id are candidates and queries of their own, but
+no candidates of a query with their id; ties go to the smaller id; scores beyond a long are cut to its range; no queries give an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LISTS = "query_id long, shard long, top array<struct<less: long, vec_id: long>>"
+LISTS = "query_id long, uid long, shard long, top array<struct<less: long, vec_id: long>>"
 LONG = np.iinfo(np.int64)
 
 
@@ -29,17 +29,14 @@ def finite(vector: Column) -> Column:
 
 
 def _matrix(table: pa.Table, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in ascending order and the quantised vectors, as floats of whole numbers; one row for each id."""
+    """Ids in ascending order and the quantised vectors, as floats of whole numbers."""
     ids = table["id"].to_numpy()
     column = table["v"].combine_chunks()
     sizes = np.asarray(pa.compute.list_value_length(column))
     out = np.zeros((len(ids), int(sizes.max(initial=0))))
     out[np.arange(out.shape[1]) < sizes[:, None]] = np.floor(scale * np.asarray(column.flatten(), np.float64))
-    order = np.lexsort([*out.T[::-1], ids])
-    ids, out = ids[order], out[order]
-    once = np.ones(len(ids), bool)
-    once[1:] = ids[1:] != ids[:-1]
-    return ids[once], out[once]
+    order = np.argsort(ids, kind="stable")
+    return ids[order], out[order]
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,22 +50,24 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[min(max(int(x), LONG.min + 1), LONG.max) for x in row] for row in exact], np.int64).reshape(exact.shape)
 
 
-def _best(scores: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per row the places of its k highest scores, ties to the smaller place, without the place own (-1: none)."""
+def _best(scores: np.ndarray, first: np.ndarray, end: np.ndarray, k: int) -> list[np.ndarray]:
+    """Per row the places of its k highest scores, ties to the smaller place, without the places first to end."""
     out = []
-    for row, me in zip(scores, own.tolist()):
-        if len(row) > k + 1:
-            least = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
+    for row, a, b in zip(scores, first.tolist(), end.tolist()):
+        row[a:b] = LONG.min
+        if len(row) > k:
+            least = np.partition(row, len(row) - k)[len(row) - k]
             at = np.flatnonzero(row > least)
-            at = np.concatenate([at, np.flatnonzero(row == least)[: k + 1]])
+            at = np.concatenate([at, np.flatnonzero(row == least)[:k]])
         else:
             at = np.arange(len(row))
-        at = at[at != me]
+        at = at[row[at] != LONG.min]
         out.append(at[np.lexsort([at, -row[at]])][:k])
     return out
 
 
 def _tile(queries: pa.Table, rows: pa.Table, shard: int, scale: float, k: int) -> pa.Table:
+    queries = queries.sort_by("id")
     query_ids, a = _matrix(queries, scale)
     ids, b = _matrix(rows, scale)
     wide = max(a.shape[1], b.shape[1])
@@ -77,11 +76,10 @@ def _tile(queries: pa.Table, rows: pa.Table, shard: int, scale: float, k: int) -
     for at in range(0, len(query_ids), step):
         part = query_ids[at : at + step]
         scores = _products(a[at : at + step], b)
-        place = np.searchsorted(ids, part)
-        own = np.where((place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == part), place, -1)
-        found += [[{"less": -int(row[i]), "vec_id": int(ids[i])} for i in best] for row, best in zip(scores, _best(scores, own, k))]
+        own = np.searchsorted(ids, part), np.searchsorted(ids, part, "right")
+        found += [[{"less": -int(row[i]), "vec_id": int(ids[i])} for i in best] for row, best in zip(scores, _best(scores, *own, k))]
     kind = pa.list_(pa.struct([("less", pa.int64()), ("vec_id", pa.int64())]))
-    return pa.table({"query_id": pa.array(query_ids, pa.int64()), "shard": pa.array([shard] * len(query_ids), pa.int64()), "top": pa.array(found, kind)})
+    return pa.table({"query_id": pa.array(query_ids, pa.int64()), "uid": queries["uid"], "shard": pa.array([shard] * len(query_ids), pa.int64()), "top": pa.array(found, kind)})
 
 
 def search(corpus: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0, shard_rows: tuple[int, int] = (1024, 65_536), block_rows: tuple[int, int] = (512, 8192), fan_in: int = 8) -> DataFrame:
@@ -93,19 +91,19 @@ def search(corpus: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
     counts = rows.agg(F.count("*"), F.count_if(is_query)).first()
     shards = -(-counts[0] // min(shard_rows[1], max(shard_rows[0], counts[0] // 64))) or 1
     blocks = -(-counts[1] // min(block_rows[1], max(block_rows[0], counts[1] // 16))) or 1
-    named = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("is_query"))
+    named = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("is_query"), F.monotonically_increasing_id().alias("uid"))
     hashed = F.xxhash64("vec_id")
     right = named.select(F.col("vec_id").alias("id"), F.col("vector").alias("v"), F.pmod(hashed, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    left = named.where("is_query").select(F.col("vec_id").alias("id"), F.col("vector").alias("v"), F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    left = named.where("is_query").select(F.col("vec_id").alias("id"), "uid", F.col("vector").alias("v"), F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
 
     def tile(at: tuple, queries: pa.Table, found: pa.Table) -> pa.Table:
         if not queries.num_rows or not found.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "top": pa.array([], pa.list_(pa.struct([("less", pa.int64()), ("vec_id", pa.int64())])))})
+            return pa.table({"query_id": pa.array([], pa.int64()), "uid": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "top": pa.array([], pa.list_(pa.struct([("less", pa.int64()), ("vec_id", pa.int64())])))})
         return _tile(queries, found, at[0].as_py(), scale, k)
 
     lists = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(tile, LISTS)
     while True:  # merges fan_in lists of a query at a time
-        lists = lists.groupBy("query_id", F.floor(F.col("shard") / fan_in).alias("shard")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+        lists = lists.groupBy("query_id", "uid", F.floor(F.col("shard") / fan_in).alias("shard")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
         if shards <= fan_in:
             break
         shards = -(-shards // fan_in)

@@ -92,7 +92,7 @@ def test_quality(spark, odd, none):
     assert all(r.held_out == _held(d) for d, r in found.items())
     assert sum(found[d].predicted == truth[d] for d in held) >= 0.95 * len(held)
     model = quality.fit(docs, labels)
-    scored = quality.score(odd.drop("score"), model).collect()
+    scored = quality.score(odd, model).collect()
     assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
     assert len({r.score for r in scored if r.doc_id == 5}) == 1
     assert quality.score(none, model).isEmpty()
@@ -144,16 +144,17 @@ def test_hilbert_shards(spark, odd, none):
 def test_topk(spark, dim):
     rng = np.random.default_rng(dim)
     rows = [(i, rng.integers(-3, 4, dim).astype(float).tolist()) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * dim), (303, [float("inf")] * dim), (304, [1.0]), (305, []), (20, rows[20][1]), (7, rows[7][1]), (None, rows[0][1]), (360, [1e18] * dim)]
+    rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * dim), (303, [float("inf")] * dim), (304, [1.0]), (305, []), (20, [2.0] * dim), (7, rows[7][1]), (7, [3.0] * dim), (None, rows[0][1]), (360, [1e18] * dim)]
     found = collections.defaultdict(list)
     for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 20 == 0, shard_rows=(32, 32), block_rows=(5, 5), fan_in=2).collect():
         found[r.query_id].append((r.rank, r.vec_id, r.score))
-    whole = {i: [int(np.floor(64 * x)) for x in v] + [0] * (dim - len(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    assert set(found) == {i for i in whole if i % 20 == 0}
-    for q, got in found.items():
-        score = lambda i: min(max(sum(a * b for a, b in zip(whole[q], whole[i])), -(2**63) + 1), 2**63 - 1)
-        best = sorted((-score(i), i) for i in whole if i != q)[:20]
-        assert sorted(got) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    whole = [(i, [int(np.floor(64 * x)) for x in v] + [0] * (dim - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = collections.defaultdict(list)
+    for q, a in whole:
+        if q % 20 == 0:
+            best = sorted((-min(max(sum(x * y for x, y in zip(a, b)), -(2**63) + 1), 2**63 - 1), i) for i, b in whole if i != q)[:20]
+            want[q] += [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert {q: sorted(x) for q, x in found.items()} == {q: sorted(x) for q, x in want.items()}
 
 
 def test_topk_of_nothing(spark):
@@ -261,13 +262,23 @@ def test_langid(spark, odd, none):
     held = [r for r in found if r.held_out]
     assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in found)
     filters = langid.build(["the cat and the dog"] * 3 + ["der hund und die katze"] * 3, ["en"] * 3 + ["de"] * 3)
-    got = langid.identify(odd.drop("score"), filters).collect()
+    got = langid.identify(odd, filters).collect()
     assert len(got) == len(ODD)
     for r in got:
         assert (r.lang_pred == "und") == (not any(map(str.isalpha, r.text or "")))
     assert langid.identify(none, filters).isEmpty()
     assert langid.keep_known(odd, filters).columns == odd.columns
-    assert {r.lang_pred for r in langid.identify(odd.drop("score"), langid.fit(none)).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.identify(odd, langid.fit(none)).collect()} == {"und"}
+
+
+def test_more_languages_than_a_mask_has_bits():
+    rng = np.random.default_rng(4)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(30)] for _ in range(150)]
+    told = [(" ".join(rng.choice(own, 40)), f"l{i:03}") for i, own in enumerate(words) for _ in range(4)]
+    filters = langid.build([t for t, _ in told], [x for _, x in told])
+    assert filters.masks.shape[0] == 3
+    found, _ = filters.predict([" ".join(rng.choice(own, 40)) for own in words])
+    assert found == [f"l{i:03}" for i in range(150)]
 
 
 def test_filters_hold_all_their_ngrams():
@@ -275,7 +286,7 @@ def test_filters_hold_all_their_ngrams():
     filters = langid.build(texts, langs)
     for text, lang in zip(texts, langs):
         window, n = langid.grams([text])
-        held = np.bitwise_and.reduce([filters.masks[c] for c in langid.cells(window, 20)])
+        held = np.bitwise_and.reduce([filters.masks[0, c] for c in langid.cells(window, 20)])
         assert n[0] == len(window) and (held >> filters.langs.index(lang) & 1).all()
     raw = " alpha beta gamma ".encode()
     assert sorted(langid.grams(["Alpha -- beta, GAMMA"])[0].tolist()) == sorted(int.from_bytes(raw[i : i + 4], "little") for i in range(len(raw) - 3))
