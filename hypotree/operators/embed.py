@@ -37,4 +37,4 @@ def unit_length(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         x = np.array(batch["embedding"].tolist(), float).reshape(len(batch), -1)
-        yield pd.DataFrame({"id": batch["id"], "embedding": list(x / np.linalg.norm(x, axis=1, keepdims=True))})
+        yield pd.DataFrame({"id": batch["id"], "embedding": list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))})

@@ -43,6 +43,14 @@ def render_theory_requests(frontier: DataFrame, nodes: DataFrame, evidence: Data
     return joined.select("node_id", prompt.alias("prompt"))
 
 
+def render_refinement_requests(affected: DataFrame, nodes: DataFrame, evidence: DataFrame, events: DataFrame, k: int = D.K) -> DataFrame:
+    """(node_id, prompt) for the root node of each affected theory (id, summary)."""
+    roots = nodes.where("parent_id is null").select(F.col("theory_id").alias("id"), F.col("id").alias("node_id"))
+    joined = affected.select("id", "summary").join(roots, "id").join(_top_titles(evidence, events, k), "node_id", "left")
+    prompt = F.format_string("Theory: %s\nRefine it in the light of the evidence.\nEvidence: %s", "summary", F.coalesce("titles", F.lit("none")))
+    return joined.select("node_id", prompt.alias("prompt"))
+
+
 def parse_verdicts(responses: DataFrame, registry: DataFrame) -> DataFrame:
     """responses (request_id, lens, body) with verdict, severity, rationale and reason; reason is null where the response is accepted."""
     kind = "verdict string, severity double, rationale string, _corrupt string"

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from hypotree import defaults as D
 from hypotree.operators.board import board_summary
-from hypotree.operators.similarity import similar_nodes
+from hypotree.operators.similarity import closest_earlier
 from hypotree.operators.tree import prune
 
 
@@ -30,7 +30,7 @@ def plausibility(nodes: DataFrame, evidence: DataFrame, source_quality: DataFram
 
 def novelty(nodes: DataFrame) -> DataFrame:
     """1 - the highest cos, at least 0, to an earlier node of the theory; 1 for the first."""
-    closest = similar_nodes(nodes, 1e-12, same_theory=True).groupBy(F.col("a").alias("node_id")).agg(F.max("cos").alias("m"))
+    closest = closest_earlier(nodes).select(F.col("a").alias("node_id"), F.col("cos").alias("m"))
     return nodes.select(F.col("id").alias("node_id")).join(closest, "node_id", "left").select("node_id", (1 - F.coalesce("m", F.lit(0.0))).alias("novelty"))
 
 

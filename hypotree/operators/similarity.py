@@ -28,12 +28,13 @@ def with_distances(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _units(table: pa.Table) -> np.ndarray:
-    x = np.array(table["v"].to_pylist(), np.float64).reshape(table.num_rows, -1)
+    flat = table["v"].combine_chunks().flatten()
+    x = np.asarray(flat, np.float64).reshape(table.num_rows, -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def _tiles(left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], block: int) -> DataFrame:
-    """(a, b, cos): left and right are (id, g, v). keep(cos, left groups, right groups): the mask of pairs to give out."""
+def _tiles(left: DataFrame, right: DataFrame, keep: Callable[..., np.ndarray], block: int) -> DataFrame:
+    """(a, b, cos): left and right are (id, g, v). keep(cos, left groups, right groups, left ids, right ids): the mask of pairs to give out."""
     parts = [max(1, -(-df.count() // block)) for df in (left, right)]
     deal = lambda df, own, other, n, m: df.select(F.col("id").alias("id"), F.col("g").alias("g"), F.col("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
     rows, columns = deal(left, "i", "j", *parts), deal(right, "j", "i", parts[1], parts[0])
@@ -42,14 +43,15 @@ def _tiles(left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray, np.nda
         if not a.num_rows or not b.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
         cos = np.round(_units(a) @ _units(b).T, 9)
-        x, y = np.nonzero(keep(cos, np.array(a["g"].to_pylist()), np.array(b["g"].to_pylist())))
+        x, y = np.nonzero(keep(cos, *(t["g"].to_numpy() for t in (a, b)), *(t["id"].to_numpy() for t in (a, b))))
         return pa.table({"a": a["id"].to_numpy()[x], "b": b["id"].to_numpy()[y], "cos": cos[x, y]})
 
     return rows.groupBy("i", "j").cogroup(columns.groupBy("i", "j")).applyInArrow(tile, PAIRS)
 
 
 def _vectors(df: DataFrame, group: str | None = None) -> DataFrame:
-    return df.where("embedding is not null").select("id", (F.col(group) if group else F.lit(0)).cast("long").alias("g"), F.col("embedding").alias("v"))
+    """Vectors that are null or hold nulls take no part."""
+    return df.where("embedding is not null and not exists(embedding, x -> x is null)").select("id", (F.col(group) if group else F.lit(0)).cast("long").alias("g"), F.col("embedding").alias("v"))
 
 
 def _row_best(cos: np.ndarray, k: int) -> np.ndarray:
@@ -61,7 +63,7 @@ def _row_best(cos: np.ndarray, k: int) -> np.ndarray:
 
 def link_evidence(nodes: DataFrame, events: DataFrame, tau: float = D.TAU, block: int = 2048) -> DataFrame:
     """(node_id, event_id, cos, stance, observed_at, source) for |cos| >= tau; cos has nine digits."""
-    pairs = _tiles(_vectors(nodes), _vectors(events), lambda c, g, h: np.abs(c) >= tau, block)
+    pairs = _tiles(_vectors(nodes), _vectors(events), lambda c, *_: np.abs(c) >= tau, block)
     about = events.select(F.col("id").alias("event_id"), "observed_at", "source")
     return pairs.select(F.col("a").alias("node_id"), F.col("b").alias("event_id"), "cos", F.when(F.col("cos") > 0, 1).otherwise(-1).alias("stance")).join(about, "event_id").select("node_id", "event_id", "cos", "stance", "observed_at", "source")
 
@@ -69,7 +71,7 @@ def link_evidence(nodes: DataFrame, events: DataFrame, tau: float = D.TAU, block
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = D.K, *, other_group: str | None = None, block: int = 2048) -> DataFrame:
     """(a, rank, b, cos): for each query the k corpus rows of highest cos, ties to the smaller id; other_group: only rows of another group."""
 
-    def keep(cos: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def keep(cos: np.ndarray, g: np.ndarray, h: np.ndarray, *_: np.ndarray) -> np.ndarray:
         if other_group is None:
             return _row_best(cos, k)
         open_ = g[:, None] != h[None, :]
@@ -80,11 +82,24 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = D.K, *, other_group:
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "rank", "b", "cos")
 
 
-def similar_nodes(nodes: DataFrame, tau: float, *, same_theory: bool = False, block: int = 2048) -> DataFrame:
-    """(a, b, cos): pairs of nodes a < b, or with same_theory b < a within a theory, with cos >= tau."""
+def similar_nodes(nodes: DataFrame, tau: float, *, block: int = 2048) -> DataFrame:
+    """(a, b, cos): pairs of nodes of two theories, a's before b's, with cos >= tau."""
     v = _vectors(nodes, "theory_id")
-    pairs = _tiles(v, v, (lambda c, g, h: (c >= tau) & (g[:, None] == h[None, :])) if same_theory else (lambda c, g, h: (c >= tau) & (g[:, None] < h[None, :])), block)
-    return pairs.where("b < a") if same_theory else pairs
+    return _tiles(v, v, lambda c, g, h, *_: (c >= tau) & (g[:, None] < h[None, :]), block)
+
+
+def closest_earlier(nodes: DataFrame, *, block: int = 2048) -> DataFrame:
+    """(a, cos): the highest cos, above 0, of each node to the nodes of its theory with smaller ids. A tile gives one value a row."""
+
+    def keep(cos: np.ndarray, g: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        open_ = np.where((g[:, None] == h[None, :]) & (b[None, :] < a[:, None]) & (cos > 0), cos, -2.0)
+        out = np.zeros(cos.shape, bool)
+        best = open_.argmax(1)
+        out[np.arange(len(a)), best] = open_[np.arange(len(a)), best] > 0
+        return out
+
+    v = _vectors(nodes, "theory_id")
+    return _tiles(v, v, keep, block).groupBy("a").agg(F.max("cos").alias("cos"))
 
 
 def _between_theories(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

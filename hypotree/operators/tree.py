@@ -21,13 +21,19 @@ def create_theories(root_events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
-    """(id, theory_id, depth, path): path has the ids from the root, padded to 12 digits. Nodes that no root reaches are left out."""
+    """(id, theory_id, depth, path): path has the ids from the root, padded to 20 digits. Nodes that no root reaches are left out.
+
+    A recursive query; the session's limits of its levels and rows, made against queries that never end, are lifted, as
+    every level has other nodes: a node has one parent, so cycles are never reached from a root.
+    """
+    for limit in ("Level", "Row"):
+        nodes.sparkSession.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
     return nodes.sparkSession.sql(
         """
         WITH RECURSIVE walk(id, theory_id, depth, path) AS (
-            SELECT id, theory_id, 0, lpad(CAST(id AS STRING), 12, '0') FROM {nodes} WHERE parent_id IS NULL
+            SELECT id, theory_id, 0, lpad(CAST(id AS STRING), 20, '0') FROM {nodes} WHERE parent_id IS NULL
             UNION ALL
-            SELECT n.id, n.theory_id, w.depth + 1, concat(w.path, '/', lpad(CAST(n.id AS STRING), 12, '0'))
+            SELECT n.id, n.theory_id, w.depth + 1, concat(w.path, '/', lpad(CAST(n.id AS STRING), 20, '0'))
             FROM walk w JOIN {nodes} n ON n.parent_id = w.id)
         SELECT id, theory_id, depth, path FROM walk""",
         nodes=nodes.select("id", "theory_id", "parent_id"),
@@ -103,9 +109,21 @@ def budget_audit(nodes: DataFrame, depth: int = D.DEPTH, branch: int = D.BRANCH)
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
-    """(id, theory_id, path, position): position counts the nodes of a theory in pre-order, siblings by id."""
-    place = F.row_number().over(Window.partitionBy("theory_id").orderBy("path"))
-    return tree_paths(nodes).select("id", "theory_id", "path", place.alias("position"))
+    """(id, theory_id, path, position): position counts the nodes of a theory in pre-order, siblings by id.
+
+    Paths are cut into ranges, so that a large theory lies in many; a range's nodes are counted in it, and of each theory
+    and range only a count meets in one place.
+    """
+    from hypotree.sources.sinks import checkpointed
+
+    paths = tree_paths(nodes).select("id", "theory_id", "path")
+    rows = checkpointed(paths.repartitionByRange("theory_id", "path").withColumn("part", F.spark_partition_id()))
+    sizes = rows.groupBy("theory_id", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("theory_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("theory_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("theory_id", "part").orderBy("path"))
+    placed = rows.withColumn("inside", inside).join(before, ["theory_id", "part"])
+    return placed.select("id", "theory_id", "path", (F.col("inside") + F.col("before")).cast("int").alias("position"))
 
 
 def subtree_rollup(nodes: DataFrame) -> DataFrame:

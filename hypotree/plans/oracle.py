@@ -23,8 +23,8 @@ _TABLES: dict[str, str] = {
     "source_quality": "SELECT w.source, (count(*) FILTER (WHERE quality = 1) + 1) / (count(quality) + 2)::DOUBLE AS r FROM world w LEFT JOIN labels l ON l.doc_id = w.id GROUP BY w.source",
     "priors": "SELECT w.lang, (count(*) FILTER (WHERE quality = 1) + 1) / (count(quality) + 2)::DOUBLE AS p FROM world w LEFT JOIN labels l ON l.doc_id = w.id GROUP BY w.lang",
     "outcomes": "SELECT n.id AS node_id, l.quality AS outcome FROM nodes n JOIN labels l ON l.doc_id = n.id",
-    "walk": """SELECT id, theory_id, 0 AS depth, lpad(CAST(id AS VARCHAR), 12, '0') AS path, [id] AS chain FROM nodes WHERE parent_id IS NULL
-        UNION ALL SELECT n.id, n.theory_id, w.depth + 1, w.path || '/' || lpad(CAST(n.id AS VARCHAR), 12, '0'), list_append(w.chain, n.id) FROM walk w JOIN nodes n ON n.parent_id = w.id""",
+    "walk": """SELECT id, theory_id, 0 AS depth, lpad(CAST(id AS VARCHAR), 20, '0') AS path, [id] AS chain FROM nodes WHERE parent_id IS NULL
+        UNION ALL SELECT n.id, n.theory_id, w.depth + 1, w.path || '/' || lpad(CAST(n.id AS VARCHAR), 20, '0'), list_append(w.chain, n.id) FROM walk w JOIN nodes n ON n.parent_id = w.id""",
     "kept": f"""SELECT x.id FROM (SELECT w.id, unnest(w.chain) AS a FROM walk w) x JOIN nodes n ON n.id = x.a
         GROUP BY x.id HAVING bool_and(n.parent_id IS NULL OR n.score >= {D.PRUNE_FLOOR})""",
     "kids": "SELECT parent_id AS id, count(*) AS n FROM nodes WHERE parent_id IS NOT NULL GROUP BY parent_id",
@@ -99,27 +99,28 @@ def _feed(step: int) -> str:
 _QUERIES: dict[str, str] = {
     "scan_events": "SELECT id, source, title, length(body)::INT AS body_chars, epoch_us(observed_at) AS observed_at, len(embedding)::INT AS dim FROM world",
     "scan_theory_tables": "SELECT t.id, t.summary, (SELECT count(*) FROM nodes n WHERE n.theory_id = t.id) AS n_nodes, (SELECT count(*) FROM verdicts v JOIN nodes n ON n.id = v.node_id WHERE n.theory_id = t.id) AS n_verdicts FROM theories t",
-    "ingest_events": """SELECT id, source, epoch_us(observed_at) AS observed_at FROM world WHERE id % 3 <> 0 UNION ALL
-        SELECT id, source, epoch_us(CASE WHEN id % 4 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE observed_at END) FROM world WHERE id % 2 = 0 AND id % 3 = 0""",
+    "ingest_events": "SELECT id, source, epoch_us(CASE WHEN id % 3 = 0 AND id % 4 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE observed_at END) AS observed_at FROM world",
     "ingest_events_stream": "SELECT event_id AS id, event_type, epoch_us(ts) AS observed_at FROM events",
-    "fk_audit": """SELECT 'theories.root_event_id' AS fk, count(*) AS orphans FROM theories WHERE id <> 4 AND root_event_id NOT IN (SELECT id FROM world WHERE id % 11 <> 0)
-        UNION ALL SELECT 'theory_nodes.theory_id', count(*) FROM nodes WHERE id % 7 <> 0 AND theory_id NOT IN (SELECT id FROM theories WHERE id <> 4)
-        UNION ALL SELECT 'theory_nodes.parent_id', count(*) FROM nodes WHERE id % 7 <> 0 AND parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM nodes WHERE id % 7 <> 0)
-        UNION ALL SELECT 'lens_verdicts.node_id', count(*) FROM nodes CROSS JOIN registry WHERE id NOT IN (SELECT id FROM nodes WHERE id % 7 <> 0)""",
+    "fk_audit": """SELECT 'theories.root_event_id' AS fk, count(*) AS orphans FROM theories WHERE root_event_id NOT IN (SELECT CASE WHEN id % 11 = 0 THEN -id ELSE id END FROM world)
+        UNION ALL SELECT 'theory_nodes.theory_id', count(*) FROM nodes WHERE theory_id NOT IN (SELECT CASE WHEN id = 4 THEN -id ELSE id END FROM theories)
+        UNION ALL SELECT 'theory_nodes.parent_id', count(*) FROM nodes WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT CASE WHEN id % 7 = 0 THEN -id ELSE id END FROM nodes)
+        UNION ALL SELECT 'lens_verdicts.node_id', count(*) FROM nodes CROSS JOIN registry WHERE id NOT IN (SELECT CASE WHEN id % 7 = 0 THEN -id ELSE id END FROM nodes)""",
     "schema_audit": """SELECT 'events' AS table_name, count(*) + count(*) FILTER (WHERE id % 10 = 1) AS n_rows, count(*) FILTER (WHERE id % 10 = 1) AS duplicate_pks,
-        count(*) FILTER (WHERE embedding IS NULL) + count(*) FILTER (WHERE embedding IS NULL AND id % 10 = 1) AS null_vectors, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_dims FROM world
-        UNION ALL SELECT 'theory_nodes', count(*), count(*) - count(DISTINCT id), count(*) FILTER (WHERE embedding IS NULL), count(*) FILTER (WHERE len(embedding) <> 32) FROM nodes""",
+        count(*) FILTER (WHERE embedding IS NULL) + count(*) FILTER (WHERE embedding IS NULL AND id % 10 = 1) AS null_values, count(*) FILTER (WHERE embedding IS NULL) + count(*) FILTER (WHERE embedding IS NULL AND id % 10 = 1) AS null_vectors, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_dims FROM world
+        UNION ALL SELECT 'theory_nodes', count(*), count(*) - count(DISTINCT id), 5 * count(*) - count(theory_id) - count(parent_id) - count(hypothesis) - count(score) - count(embedding), count(*) FILTER (WHERE embedding IS NULL), count(*) FILTER (WHERE len(embedding) <> 32) FROM nodes
+        UNION ALL SELECT 'theories', count(*), count(*) - count(DISTINCT id), 4 * count(*) - count(root_event_id) - count(summary) - count(created_at), 0, 0 FROM theories
+        UNION ALL SELECT 'lens_verdicts', count(*), count(*) - count(DISTINCT (node_id, lens_no)), 3 * count(*) - count(lens) - count(verdict) - count(severity), 0, 0 FROM verdicts""",
     "upsert_latest": "SELECT id AS node_id, round(CASE WHEN id % 3 = 0 THEN 1 - score ELSE score END, 6) AS score, (CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END)::INT AS scored_at FROM nodes",
     "list_events": "SELECT id, source, title, epoch_us(observed_at) AS observed_at FROM world WHERE observed_at >= TIMESTAMP '2024-01-01 06:00:00' ORDER BY world.observed_at DESC, id LIMIT 50",
     "query_theories": "SELECT t.id, t.root_event_id, w.title AS root_title, t.summary, b.confidence FROM theories t JOIN best b ON b.theory_id = t.id LEFT JOIN world w ON w.id = t.root_event_id WHERE b.confidence >= 0.3 AND contains(t.summary, 'e')",
     "active_theories": f"""SELECT t.id, CASE WHEN t.id > 0 THEN b.confidence END AS confidence, (SELECT count(*) FROM nodes n WHERE n.theory_id = t.id) AS n_nodes,
         (SELECT epoch_us(max(e.observed_at)) FROM evidence e JOIN nodes n ON n.id = e.node_id WHERE n.theory_id = t.id) AS newest FROM theories t LEFT JOIN best b ON b.theory_id = t.id WHERE t.id = 0 OR b.confidence IS NULL OR b.confidence >= {D.ACTIVE_FLOOR}""",
-    "theory_detail": "SELECT v.node_id, w.depth, w.path, v.lens_no, v.lens, v.verdict, v.severity FROM walk w JOIN verdicts v ON v.node_id = w.id WHERE w.theory_id = 0",
+    "theory_detail": "SELECT v.node_id, w.depth, w.path, v.lens_no, v.lens, v.verdict, v.severity FROM walk w JOIN verdicts v ON v.node_id = w.id",
     "board_panel": "SELECT node_id, " + ", ".join(f"max(severity) FILTER (WHERE lens_no = {n}) AS {name}" for n, name, *_ in D.LENSES) + " FROM verdicts GROUP BY node_id",
     "event_feed_hourly": "SELECT epoch_us(date_trunc('hour', observed_at)) AS start, source, count(*) AS n FROM world GROUP BY ALL",
     "embed_events": _cells("title || ' ' || body", "world"),
     "embed_nodes": _cells("hypothesis", "nodes"),
-    "reembed_queue": "SELECT id, CASE WHEN id % 3 = 0 THEN 'missing' ELSE 'stale' END AS reason FROM world WHERE id % 3 = 0 OR id % 7 = 0",
+    "reembed_queue": "SELECT id, CASE WHEN id % 3 = 0 THEN 'missing' WHEN id % 7 = 0 THEN 'stale' ELSE 'no_vector' END AS reason FROM world WHERE id % 3 = 0 OR id % 7 = 0 OR embedding IS NULL",
     "embed_udf": "SELECT id, (b - 1)::INT AS bucket, round(embedding[b] / sqrt(list_inner_product(embedding, embedding)), 5) AS value FROM world, (SELECT unnest(range(1, 65)) AS b) WHERE embedding IS NOT NULL",
     "vector_distances": f"""SELECT w.id AS a, n.id AS b, round({_COS.format(a='w.embedding', b='n.embedding')}, 6) AS cos, round(list_inner_product(w.embedding, n.embedding), 6) AS ip, round(list_distance(w.embedding, n.embedding), 6) AS l2
         FROM world w JOIN nodes n ON w.id - w.id % 5 = n.id WHERE w.embedding IS NOT NULL""",
@@ -128,13 +129,13 @@ _QUERIES: dict[str, str] = {
     "link_related_theories": f"SELECT theory_a, theory_b, round(max(cos), 6) AS max_cos, count(*) AS n_pairs FROM pairs WHERE theory_a < theory_b AND cos >= {D.TAU_LINK} GROUP BY ALL",
     "related_theories_topk": f"""SELECT a AS node_id, rank, b AS other_id, round(cos, 6) AS cos FROM (SELECT a, b, cos, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b)::INT AS rank FROM pairs WHERE theory_a <> theory_b) WHERE rank <= {D.K}""",
     "link_evidence": "SELECT node_id, event_id, round(cos, 6) AS cos, stance, epoch_us(observed_at) AS observed_at, source FROM evidence",
-    "create_theories": "SELECT id, id AS root_event_id, title AS summary, NULL::DOUBLE AS confidence, epoch_us(observed_at) AS created_at, id AS root_node_id, 0 AS depth FROM world WHERE id % 25 = 1",
+    "create_theories": "SELECT id, id AS root_event_id, title AS summary, NULL::DOUBLE AS confidence, epoch_us(observed_at) AS created_at, id AS root_node_id, 0 AS depth FROM world",
     "tree_depth": "SELECT id, theory_id, depth FROM walk",
     "tree_frontier": "SELECT node_id, theory_id, depth, children, slots FROM open_nodes",
     "expand_level": """SELECT parent_id, theory_id, event_id, child_depth, round(cos, 6) AS cos FROM (SELECT o.node_id AS parent_id, o.theory_id, e.event_id, o.depth + 1 AS child_depth, e.cos, o.slots,
         row_number() OVER (PARTITION BY o.node_id ORDER BY e.cos DESC, e.event_id) AS k FROM open_nodes o JOIN evidence e USING (node_id) WHERE e.stance = 1) WHERE k <= slots""",
     "prune_tree": "SELECT n.id, n.theory_id, n.score FROM nodes n JOIN kept USING (id)",
-    "budget_audit": """, part AS (SELECT * FROM nodes WHERE id % 17 <> 0 OR parent_id IS NULL),
+    "budget_audit": """, part AS (SELECT id, CASE WHEN id % 17 = 0 AND parent_id IS NOT NULL THEN -1 ELSE parent_id END AS parent_id FROM nodes),
         steps AS (SELECT id, 0 AS depth FROM part WHERE parent_id IS NULL UNION ALL SELECT p.id, s.depth + 1 FROM steps s JOIN part p ON p.parent_id = s.id)
         SELECT 'too_deep' AS kind, id AS node_id FROM steps WHERE depth > 2 UNION ALL SELECT 'too_wide', parent_id FROM part WHERE parent_id IS NOT NULL GROUP BY parent_id HAVING count(*) > 2
         UNION ALL SELECT 'unreachable', id FROM part WHERE id NOT IN (SELECT id FROM steps)""",
@@ -166,11 +167,11 @@ _QUERIES: dict[str, str] = {
     "calibration_scores": """SELECT count(*) AS n, round(avg((confidence - outcome) * (confidence - outcome)), 6) AS brier, round((SELECT sum(n * abs(gap)) / sum(n) FROM bins), 6) AS ece,
         round(1 - avg((confidence - outcome) * (confidence - outcome)) / (avg(outcome) * (1 - avg(outcome))), 6) AS skill FROM joined_outcomes""",
     "new_evidence": "SELECT node_id, event_id, round(cos, 6) AS cos, stance, epoch_us(observed_at) AS observed_at FROM fresh",
-    "affected_theories": "SELECT id, summary FROM theories WHERE id IN (SELECT n.theory_id FROM fresh f JOIN nodes n ON n.id = f.node_id WHERE f.event_id % 5 = 1 AND f.node_id % 2 = 0 AND f.cos > 0.3)",
-    "rescore_merge": "SELECT s.node_id, CASE WHEN n.theory_id <= 2 THEN s.confidence ELSE round(s.plausibility, 6) END AS confidence, CASE WHEN n.theory_id <= 2 THEN 2 ELSE 1 END::BIGINT AS scored_at FROM scores s JOIN nodes n ON n.id = s.node_id",
-    "refine_due": "SELECT id, has_new, overdue FROM (SELECT id, id <> 0 AND id IN (SELECT n.theory_id FROM fresh f JOIN nodes n ON n.id = f.node_id WHERE f.cos > 0.3) AS has_new, id > 2.5 AS overdue FROM theories) WHERE has_new OR overdue",
-    "refine_stream": """SELECT node_id, round(s, 6) AS s, round(c, 6) AS c, round((s + 1) / (s + c + 2), 6) AS plausibility FROM (
-        SELECT node_id, sum(CASE WHEN stance = 1 THEN abs(cos) * r ELSE 0 END) AS s, sum(CASE WHEN stance = -1 THEN abs(cos) * r ELSE 0 END) AS c FROM evidence JOIN source_quality USING (source) GROUP BY node_id)""",
+    "affected_theories": "SELECT id, summary FROM theories WHERE id IN (SELECT n.theory_id FROM fresh f JOIN nodes n ON n.id = f.node_id)",
+    "rescore_merge": """, due AS (SELECT DISTINCT n.theory_id FROM fresh f JOIN nodes n ON n.id = f.node_id)
+        SELECT s.node_id, CASE WHEN d.theory_id IS NOT NULL THEN s.confidence ELSE round(s.plausibility, 6) END AS confidence, CASE WHEN d.theory_id IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS scored_at FROM scores s JOIN nodes n ON n.id = s.node_id LEFT JOIN due d ON d.theory_id = n.theory_id""",
+    "refine_due": "SELECT id, has_new, overdue FROM (SELECT id, id IN (SELECT n.theory_id FROM fresh f JOIN nodes n ON n.id = f.node_id) AS has_new, id > 2.5 AS overdue FROM theories) WHERE has_new OR overdue",
+    "refine_stream": "SELECT node_id, round(resilience, 6) AS resilience, round(plausibility, 6) AS plausibility, round(novelty, 6) AS novelty, confidence FROM scores WHERE node_id IN (SELECT n.id FROM nodes n WHERE n.theory_id IN (SELECT m.theory_id FROM nodes m JOIN evidence e ON e.node_id = m.id))",
     "evidence_state_stream": "SELECT node_id, count(*) FILTER (WHERE stance = 1) AS n_support, count(*) FILTER (WHERE stance = -1) AS n_contra, round(sum(CASE WHEN stance = 1 THEN cos ELSE 0 END), 6) AS s, round(sum(CASE WHEN stance = -1 THEN -cos ELSE 0 END), 6) AS c FROM evidence GROUP BY node_id",
     "feed_stream_windows": _feed(60),
     "feed_stream_sliding": _feed(15),
@@ -182,10 +183,12 @@ _QUERIES: dict[str, str] = {
     "render_lens_requests": """SELECT n.id AS node_id, r.lens, 'Hypothesis: ' || n.hypothesis || chr(10) || 'Question: ' || q.question || chr(10) || 'Evidence: ' || coalesce(t.titles, 'none') AS prompt
         FROM nodes n CROSS JOIN registry r JOIN (VALUES {questions}) AS q(lens, question) ON q.lens = r.lens LEFT JOIN top_titles t ON t.node_id = n.id WHERE (n.id + r.lens_no) % 3 = 0""",
     "render_theory_requests": """SELECT o.node_id, 'Hypothesis: ' || n.hypothesis || chr(10) || 'Propose ' || o.slots || ' refinements.' || chr(10) || 'Evidence: ' || coalesce(t.titles, 'none') AS prompt
-        FROM open_nodes o JOIN nodes n ON n.id = o.node_id LEFT JOIN top_titles t ON t.node_id = o.node_id""",
+        FROM open_nodes o JOIN nodes n ON n.id = o.node_id LEFT JOIN top_titles t ON t.node_id = o.node_id
+        UNION ALL SELECT n.id, 'Theory: ' || h.summary || chr(10) || 'Refine it in the light of the evidence.' || chr(10) || 'Evidence: ' || coalesce(t.titles, 'none')
+        FROM theories h JOIN nodes n ON n.theory_id = h.id AND n.parent_id IS NULL LEFT JOIN top_titles t ON t.node_id = n.id WHERE h.id IN (SELECT m.theory_id FROM fresh f JOIN nodes m ON m.id = f.node_id)""",
     "parse_verdicts": """, told AS (SELECT id, score, CASE WHEN id % 35 = 0 THEN 'astrology' ELSE 'base_rate' END AS lens, CASE WHEN id % 25 = 0 THEN 'bad_json' WHEN id % 35 = 0 THEN 'unknown_lens' WHEN id % 15 = 0 THEN 'unknown_verdict' WHEN id % 10 = 0 THEN 'bad_severity' END AS reason FROM nodes)
         SELECT id AS request_id, lens, CASE WHEN reason IS NULL THEN 'concern' END AS verdict, CASE WHEN reason IS NULL THEN score END AS severity, CASE WHEN reason IS NULL THEN 'seen' END AS rationale, reason FROM told""",
-    "retry_ledger": """, tries AS (SELECT id // 5 AS request_id, (id % 5)::INT AS attempt, id % 9 = 1 AS ok, observed_at AS moment FROM world WHERE NOT ((id // 5) % 2 = 0 AND id % 5 > 2)),
+    "retry_ledger": """, tries AS (SELECT id // 5 + CASE WHEN (id // 5) % 2 = 0 AND id % 5 > 2 THEN 1000000000 ELSE 0 END AS request_id, (id % 5)::INT AS attempt, id % 9 = 1 AS ok, observed_at AS moment FROM world),
         latest AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) AS k FROM tries)
         SELECT request_id, attempt, CASE WHEN ok THEN 'done' WHEN attempt < 4 THEN 'retry' ELSE 'dead' END AS status, CASE WHEN NOT ok AND attempt < 4 THEN epoch_us(moment) + (30000000 * pow(2, attempt - 1))::BIGINT END AS next_at FROM latest WHERE k = 1""",
 }

@@ -6,6 +6,7 @@ Results are rounded to six digits, and times are microseconds since 1970, so tha
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +56,9 @@ def scan_theory_tables(w: World) -> DataFrame:
 @query
 def ingest_events(w: World) -> DataFrame:
     rows = w.events.select("id", "source", "observed_at")
-    incoming = rows.where("id % 2 = 0").withColumn("observed_at", F.when(F.col("id") % 4 != 0, F.col("observed_at")))
-    return S.ingest(rows.where("id % 3 <> 0"), incoming, "2024-02-01 00:00:00")
+    incoming = rows.withColumn("observed_at", F.when(F.col("id") % 4 != 0, F.col("observed_at")))
+    twice = rows.select("id", F.lit("").alias("source"), F.timestamp_micros(F.lit(0)).alias("observed_at"))  # older rows of the same ids
+    return S.ingest(rows.where("id % 3 <> 0"), incoming.union(twice), "2024-02-01 00:00:00")
 
 
 @query
@@ -66,13 +68,19 @@ def ingest_events_stream(w: World) -> DataFrame:
 
 @query
 def fk_audit(w: World) -> DataFrame:
-    return S.fk_audit(w.events.where("id % 11 <> 0"), w.theories.where("id <> 4"), w.nodes.where("id % 7 <> 0"), board.dispatch(w.nodes, w.registry))
+    """Ids turned negative are the defects to be found."""
+    turned = lambda df, rule: df.withColumn("id", F.when(F.expr(rule), -F.col("id")).otherwise(F.col("id")))
+    return S.fk_audit(turned(w.events, "id % 11 = 0"), turned(w.theories, "id = 4"), turned(w.nodes, "id % 7 = 0"), board.dispatch(w.nodes, w.registry))
 
 
 @query
 def schema_audit(w: World) -> DataFrame:
     events = w.events.select("id", "embedding")
-    return S.schema_audit("events", events.union(events.where("id % 10 = 1")), "id", 64).unionByName(S.schema_audit("theory_nodes", w.nodes, "id", 32))
+    nodes = w.nodes.select("id", "theory_id", "parent_id", "hypothesis", "score", "embedding")
+    verdicts = board.run_board(w).select("node_id", "lens_no", "lens", "verdict", "severity")
+    audits = [S.schema_audit("events", events.union(events.where("id % 10 = 1")), ["id"], 64), S.schema_audit("theory_nodes", nodes, ["id"], 32)]
+    audits += [S.schema_audit("theories", w.theories, ["id"]), S.schema_audit("lens_verdicts", verdicts, ["node_id", "lens_no"])]
+    return reduce(DataFrame.unionByName, audits)
 
 
 @query
@@ -105,7 +113,7 @@ def active_theories(w: World) -> DataFrame:
 @query
 def theory_detail(w: World) -> DataFrame:
     verdicts = board.run_board(w).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("lens_no", "lens", "verdict", "severity"))).alias("verdicts"))  # one for each lens
-    detail = tree.tree_paths(w.nodes).where("theory_id = 0").select(F.col("id").alias("node_id"), "depth", "path").join(verdicts, "node_id")
+    detail = tree.tree_paths(w.nodes).select(F.col("id").alias("node_id"), "depth", "path").join(verdicts, "node_id")
     return detail.select("node_id", "depth", "path", F.explode("verdicts").alias("v")).select("node_id", "depth", "path", "v.lens_no", "v.lens", "v.verdict", "v.severity")
 
 
@@ -184,7 +192,7 @@ def link_evidence(w: World) -> DataFrame:
 
 @query
 def create_theories(w: World) -> DataFrame:
-    theories, nodes = tree.create_theories(w.events.where("id % 25 = 1"))
+    theories, nodes = tree.create_theories(w.events)
     return theories.select("id", "root_event_id", "summary", "confidence", "created_at").join(nodes.select(F.col("theory_id").alias("id"), F.col("id").alias("root_node_id"), "depth"), "id")
 
 
@@ -215,7 +223,9 @@ def prune_tree(w: World) -> DataFrame:
 
 @query
 def budget_audit(w: World) -> DataFrame:
-    return tree.budget_audit(w.nodes.where("id % 17 <> 0 or parent_id is null"), depth=2, branch=2)
+    """Nodes moved to a parent that doesn't exist are to be found, with all below them."""
+    moved = F.when((F.col("id") % 17 == 0) & F.col("parent_id").isNotNull(), -1).otherwise(F.col("parent_id"))
+    return tree.budget_audit(w.nodes.withColumn("parent_id", moved), depth=2, branch=2)
 
 
 @query
@@ -334,21 +344,22 @@ def new_evidence(w: World) -> DataFrame:
 
 @query
 def affected_theories(w: World) -> DataFrame:
-    fresh = refine.new_evidence(w.evidence, refine.last_scored(w, D.CUT)).where("event_id % 5 = 1 and node_id % 2 = 0 and cos > 0.3")
+    fresh = refine.new_evidence(w.evidence, refine.last_scored(w, D.CUT))
     return refine.affected_theories(w.theories, w.nodes, fresh).select("id", "summary")
 
 
 @query
 def rescore_merge(w: World) -> DataFrame:
-    """Theories 0 to 2 are scored anew; the rest keeps the plausibility-only score it had."""
+    """Theories with new evidence are scored anew; the rest would keep the plausibility-only score it had."""
     state = scoring.plausibility(w.nodes, w.evidence, w.source_quality).select("node_id", F.round("plausibility", 6).alias("confidence"), F.lit(1).cast("long").alias("scored_at"))
-    return refine.rescore_merge(state, w.nodes, w.evidence, w.source_quality, board.run_board(w), w.registry, w.theories.where("id <= 2"), 2)
+    fresh = refine.new_evidence(w.evidence, refine.last_scored(w, D.CUT))
+    return refine.rescore_merge(state, w, refine.affected_theories(w.theories, w.nodes, fresh), 2)
 
 
 @query
 def refine_due(w: World) -> DataFrame:
     scored = w.theories.select("id", F.timestamp_micros(F.unix_micros(F.lit("2024-01-03 00:00:00").cast("timestamp")) - F.col("id") * 3_600_000_000).alias("scored_at"))
-    fresh = refine.new_evidence(w.evidence, refine.last_scored(w, D.CUT)).where("cos > 0.3").join(w.nodes.where("theory_id <> 0").select(F.col("id").alias("node_id"), "theory_id"), "node_id")
+    fresh = refine.new_evidence(w.evidence, refine.last_scored(w, D.CUT)).join(w.nodes.select(F.col("id").alias("node_id"), "theory_id"), "node_id")
     return refine.refine_due(scored, fresh, "2024-01-03 00:00:00", 2.5)
 
 
@@ -393,7 +404,10 @@ def render_lens_requests(w: World) -> DataFrame:
 
 @query
 def render_theory_requests(w: World) -> DataFrame:
-    return requests.render_theory_requests(tree.frontier(w.nodes), w.nodes, w.evidence, w.events)
+    """Generation for the frontier, refinement for theories with new evidence."""
+    fresh = refine.new_evidence(w.evidence, refine.last_scored(w, D.CUT))
+    made = requests.render_theory_requests(tree.frontier(w.nodes), w.nodes, w.evidence, w.events)
+    return made.union(requests.render_refinement_requests(refine.affected_theories(w.theories, w.nodes, fresh), w.nodes, w.evidence, w.events))
 
 
 @query
@@ -411,9 +425,10 @@ def parse_verdicts(w: World) -> DataFrame:
 
 @query
 def retry_ledger(w: World) -> DataFrame:
-    """Attempts made from the events: event id div 4 is the request, its rows by id are the attempts."""
-    rows = w.events.select(F.expr("id div 5").alias("request_id"), (F.col("id") % 5).cast("int").alias("attempt"), (F.col("id") % 9 == 1).alias("ok"), F.col("observed_at").alias("at"))
-    return requests.retry_ledger(rows.where("not (request_id % 2 = 0 and attempt > 2)"), 30, 4)
+    """Attempts made from the events: event id div 5 is the request, its rows by id are the attempts; late ones of even requests are requests of their own."""
+    request = F.expr("id div 5 + case when (id div 5) % 2 = 0 and id % 5 > 2 then 1000000000 else 0 end")
+    rows = w.events.select(request.alias("request_id"), (F.col("id") % 5).cast("int").alias("attempt"), (F.col("id") % 9 == 1).alias("ok"), F.col("observed_at").alias("at"))
+    return requests.retry_ledger(rows, 30, 4)
 
 
 def queries() -> dict[str, Query]:

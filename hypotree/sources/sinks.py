@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir; a temporary folder only in local mode, where one machine does all."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="hypotree-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,6 +31,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def newest_folder(spark: SparkSession, path: str, below: int) -> str | None:
+    """Of the folders of path that are named by numbers, the complete one of the highest number below the given one."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return None
+    names = [x.getPath().getName() for x in files.listStatus(top)]
+    done = [int(n) for n in names if n.isdigit() and int(n) < below and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return f"{path}/{max(done)}" if done else None
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """Appends events to a table partitioned by day, so that readers of new evidence skip old days."""
     from pyspark.sql import functions as F

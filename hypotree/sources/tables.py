@@ -72,6 +72,12 @@ class World:
         """(source, r): the smoothed share of good ones among its labelled world events."""
         return self._prior("source")
 
+    def narrowed(self, nodes: DataFrame, evidence: DataFrame) -> World:
+        """This world with other nodes and evidence; all else is shared."""
+        found = World(self.spark, self.path)
+        found.__dict__.update(self.__dict__, nodes=nodes, evidence=evidence)
+        return found
+
     @cached_property
     def class_priors(self) -> DataFrame:
         """(lang, p): the same by reference class."""
@@ -89,9 +95,13 @@ def theory_tables(theories: DataFrame, nodes: DataFrame, verdicts: DataFrame) ->
 
 
 def ingest(existing: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
-    """existing and the incoming rows with new ids; a missing time is the ingest time. Repeating an ingest changes nothing."""
+    """existing and the incoming rows with new ids; a missing time is the ingest time. Repeating an ingest changes nothing.
+
+    Of incoming rows that repeat an id the latest stays (then the largest by the other columns).
+    """
     fresh = incoming.withColumn("observed_at", F.coalesce("observed_at", F.lit(now).cast("timestamp"))).join(existing.select("id"), "id", "left_anti")
-    return existing.unionByName(fresh)
+    latest = Window.partitionBy("id").orderBy(F.desc("observed_at"), *[F.desc(c) for c in fresh.columns if c not in ("id", "observed_at")])
+    return existing.unionByName(fresh.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n"))
 
 
 def fk_audit(events: DataFrame, theories: DataFrame, nodes: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -105,15 +115,18 @@ def fk_audit(events: DataFrame, theories: DataFrame, nodes: DataFrame, verdicts:
     return reduce(DataFrame.unionByName, [orphans(*k) for k in keys])
 
 
-def schema_audit(name: str, df: DataFrame, pk: str, dim: int) -> DataFrame:
-    repeated = df.groupBy(pk).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_pks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
-    vectors = df.agg(F.count_if(F.col("embedding").isNull()).alias("null_vectors"), F.count_if(F.size("embedding") != dim).alias("wrong_dims"))
-    return repeated.crossJoin(vectors).select(F.lit(name).alias("table_name"), "n_rows", "duplicate_pks", "null_vectors", "wrong_dims")  # one row each
+def schema_audit(name: str, df: DataFrame, pk: list[str], dim: int | None = None) -> DataFrame:
+    """Repeated keys, nulls outside the key, and with dim the vectors (embedding) that are null or of another length."""
+    repeated = df.groupBy(*pk).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_pks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+    nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns if c not in pk], F.lit(0).cast("long"))
+    vector = [F.count_if(F.col("embedding").isNull()), F.count_if(F.size("embedding") != dim)] if dim else [F.lit(0).cast("long")] * 2
+    others = df.agg(nulls.alias("null_values"), vector[0].alias("null_vectors"), vector[1].alias("wrong_dims"))
+    return repeated.crossJoin(others).select(F.lit(name).alias("table_name"), "n_rows", "duplicate_pks", "null_values", "null_vectors", "wrong_dims")  # one row each
 
 
 def upsert(state: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of the rows of a key the newest by `order` stays."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    """Of the rows of a key the newest by `order` stays; of equally new ones the largest by the other columns."""
+    newest = Window.partitionBy(*keys).orderBy(F.col(order).desc(), *[F.desc(c) for c in state.columns if c not in (*keys, order)])
     return state.unionByName(updates).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
@@ -154,6 +167,7 @@ def copied_texts(events: DataFrame) -> DataFrame:
 
 
 def reembed_queue(rows: DataFrame, index: DataFrame, text: Column) -> DataFrame:
-    """(id, reason): rows that the index (id, text_hash) lacks or holds with another text."""
-    joined = rows.select("id", F.md5(text).alias("now")).join(index.select("id", "text_hash"), "id", "left")
-    return joined.where(~F.col("now").eqNullSafe(F.col("text_hash"))).select("id", F.when(F.col("text_hash").isNull(), "missing").otherwise("stale").alias("reason"))
+    """(id, reason): rows (id, embedding) that the index (id, text_hash) lacks or holds with another text, or that have no vector."""
+    joined = rows.select("id", F.md5(text).alias("now"), F.col("embedding").isNull().alias("bare")).join(index.select("id", "text_hash"), "id", "left")
+    reason = F.when(F.col("text_hash").isNull(), "missing").when(~F.col("now").eqNullSafe(F.col("text_hash")), "stale").when(F.col("bare"), "no_vector")
+    return joined.select("id", reason.alias("reason")).where("reason is not null")

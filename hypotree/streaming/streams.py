@@ -1,19 +1,23 @@
 """Streams: ingest with deduplication, windowed feeds, running evidence state, and refinement per micro-batch.
 
 All run over what is there and end (availableNow); sinks and checkpoints lie in the shared folder. A batch that is run
-again after a failure writes to the same folder of its own, so state depends on batch ids only.
+again after a failure reads the newest complete state before its own number, found in the file system, and writes to the
+same folder of its own, so state depends on batch ids only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hypotree import defaults as D
 from hypotree.operators.similarity import link_evidence
-from hypotree.sources.sinks import new_folder
-from hypotree.sources.tables import World, raw
+from hypotree.operators.refine import affected_theories, rescored
+from hypotree.sources.sinks import new_folder, newest_folder
+from hypotree.sources.tables import World, raw, upsert
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -28,12 +32,23 @@ def _finish(writer) -> None:
     query.awaitTermination()
 
 
-def ingest_stream(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
-    """The table that a deduplicating ingest of the stream leaves."""
-    out = new_folder(spark, "ingest")
-    stream = event_stream(spark, path).withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(["id"])
-    _finish(stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-state"))
-    return spark.read.parquet(out)
+def ingest_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The table that a deduplicating ingest of the stream leaves: each batch adds the rows whose id no earlier batch had.
+
+    There is no watermark, so late rows are kept however late; of a batch's rows that repeat an id the latest stays. Batch
+    n owns the partition batch=n, which a second run of it replaces.
+    """
+    out, stream = new_folder(spark, "ingest"), event_stream(spark, path)
+
+    def add(batch: DataFrame, number: int) -> None:
+        fresh = batch.groupBy("id").agg(F.max_by(F.struct(*batch.columns), F.struct("observed_at", "event_type")).alias("r")).select("r.*")
+        if newest_folder(spark, f"{out}/rows", number):
+            earlier = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(*[f"{out}/rows/{k}" for k in range(number)])
+            fresh = fresh.join(earlier.select("id"), "id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/rows/{number}")
+
+    _finish(stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/state"))
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
 
 
 def feed_windows(spark: SparkSession, path: str, size: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -46,17 +61,17 @@ def feed_windows(spark: SparkSession, path: str, size: str = "1 hour", slide: st
 
 
 class BatchState:
-    """A table that each batch replaces: batch n writes folder n, and the newest complete folder is the state."""
+    """A table that each batch replaces: batch n reads the newest complete folder below n and writes folder n."""
 
     def __init__(self, spark: SparkSession, label: str, schema: T.StructType) -> None:
-        self.spark, self.schema, self.path, self.last = spark, schema, new_folder(spark, label), None
+        self.spark, self.schema, self.path = spark, schema, new_folder(spark, label)
 
-    def read(self) -> DataFrame:
-        return self.spark.createDataFrame([], self.schema) if self.last is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.last}")
+    def read(self, before: int = 1 << 62) -> DataFrame:
+        found = newest_folder(self.spark, self.path, before)
+        return self.spark.createDataFrame([], self.schema) if found is None else self.spark.read.schema(self.schema).parquet(found)
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{batch}")
-        self.last = batch
 
 
 def evidence_state(world: World) -> DataFrame:
@@ -68,28 +83,38 @@ def evidence_state(world: World) -> DataFrame:
     state = BatchState(spark, "evidence-state", sums.schema)
 
     def upsert_batch(batch: DataFrame, number: int) -> None:
-        kept = state.read().join(batch.select("node_id"), "node_id", "left_anti")
+        kept = state.read(number).join(batch.select("node_id"), "node_id", "left_anti")
         state.write(kept.unionByName(batch), number)
 
     _finish(sums.writeStream.outputMode("update").foreachBatch(upsert_batch).option("checkpointLocation", f"{state.path}-state"))
     return state.read()
 
 
-def refine_stream(world: World) -> DataFrame:
-    """(node_id, s, c, plausibility) after all micro-batches: each links its events to the nodes and re-scores the touched nodes.
+def refine_stream(world: World, embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node_id, resilience, plausibility, novelty, confidence) after all micro-batches, as scoring.score_nodes() over all events.
 
-    Events without a vector are embedded by feature hashing only where nodes have vectors of the same kind; here they bring no evidence.
+    Each batch links its events to the nodes and adds that evidence, finds the theories it bears on, scores their nodes
+    anew over all evidence so far, and merges. embedder: gives events (id, title, body) without a vector one, as (id,
+    embedding); without it they bring no evidence.
     """
-    spark = world.spark
-    schema = T.StructType([T.StructField("node_id", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("c", T.DoubleType())])
-    state = BatchState(spark, "refine-state", schema)
+    spark, nodes = world.spark, world.nodes
+    empty = link_evidence(nodes.limit(0), world.events.limit(0), D.TAU)
+    evidence = BatchState(spark, "refine-evidence", empty.schema)
+    kinds = [("node_id", T.LongType()), *((c, T.DoubleType()) for c in ("resilience", "plausibility", "novelty", "confidence")), ("scored_at", T.LongType())]
+    state = BatchState(spark, "refine-state", T.StructType([T.StructField(*k) for k in kinds]))
 
     def refine(batch: DataFrame, number: int) -> None:
         arrived = world.events.join(batch.select("id"), "id", "left_semi")
-        found = link_evidence(world.nodes, arrived, D.TAU).join(world.source_quality, "source")
-        weight = F.abs("cos") * F.col("r")
-        fresh = found.select("node_id", F.when(F.col("stance") == 1, weight).otherwise(0.0).alias("s"), F.when(F.col("stance") == -1, weight).otherwise(0.0).alias("c"))
-        state.write(state.read().unionByName(fresh).groupBy("node_id").agg(F.sum("s").alias("s"), F.sum("c").alias("c")), number)
+        if embedder is not None:
+            made = embedder(arrived.where("embedding is null").select("id", "title", "body")).select("id", F.col("embedding").alias("made"))
+            arrived = arrived.join(made, "id", "left").withColumn("embedding", F.coalesce("embedding", "made")).drop("made")
+        old = evidence.read(number)
+        fresh = link_evidence(nodes, arrived, D.TAU).join(old.select("node_id", "event_id"), ["node_id", "event_id"], "left_anti").select(empty.columns)
+        evidence.write(old.unionByName(fresh), number)
+        every = evidence.read(number + 1)
+        added = every.join(old.select("node_id", "event_id"), ["node_id", "event_id"], "left_anti")
+        scored = rescored(world, every, affected_theories(world.theories, nodes, added))
+        state.write(upsert(state.read(number), scored.withColumn("scored_at", F.lit(number).cast("long")), ["node_id"], "scored_at"), number)
 
     _finish(event_stream(spark, world.path).writeStream.foreachBatch(refine).option("checkpointLocation", f"{state.path}-state"))
-    return state.read().select("node_id", "s", "c", ((F.col("s") + 1) / (F.col("s") + F.col("c") + 2)).alias("plausibility"))
+    return state.read().drop("scored_at")

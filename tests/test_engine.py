@@ -13,6 +13,7 @@ from hypotree.plans import queries
 from hypotree.sources import tables as S
 from hypotree.sources.sinks import write_events
 from hypotree.sources.tables import World
+from hypotree.streaming import streams
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -100,6 +101,47 @@ def test_expansion_keeps_the_budgets(world):
     assert grown.where(f"depth > {D.DEPTH}").isEmpty() and grown.count() > 5
 
 
+def test_deep_trees_and_long_ids(spark):
+    base = 10_000_000_000_000
+    chain = [(base + i, 0, base + i - 1 if i else None, 0.5 if i != 120 else 0.1) for i in range(150)]
+    nodes = _nodes(spark, chain + [(1, 1, None, 0.9), (2, 1, 1, 0.9)])
+    assert tree.tree_depth(nodes).agg(F.max("depth")).first()[0] == 149
+    sizes = {r.id: r["size"] for r in tree.subtree_rollup(nodes).collect()}
+    assert sizes == {base + i: 150 - i for i in range(150)} | {1: 2, 2: 1}
+    assert {r.id for r in tree.prune(nodes).collect()} == {base + i for i in range(120)} | {1, 2}
+    assert {(r.id, r.position) for r in tree.preorder(nodes).collect()} == {(base + i, i + 1) for i in range(150)} | {(1, 1), (2, 2)}
+
+
+def test_rollup_of_grown_trees(world):
+    grown = tree.expand_to_budget(world.nodes.where("parent_id is null"), world.events)
+    nodes = grown.select(F.col("node_id").alias("id"), "theory_id", "parent_id", F.coalesce("cos", F.lit(1.0)).alias("score"))
+    rows = {r.id: r.parent_id for r in nodes.collect()}
+    sizes = {i: 0 for i in rows}
+    for i in rows:
+        while i is not None:
+            sizes[i] += 1
+            i = rows[i]
+    assert {r.id: r["size"] for r in tree.subtree_rollup(nodes).collect()} == sizes
+
+
+def test_a_batch_that_runs_again(spark):
+    state = streams.BatchState(spark, "again", spark.createDataFrame([], "k long, n long").schema)
+    for batch in (0, 1, 1, 2, 2):  # as after failures
+        before = state.read(batch)
+        state.write(before.unionByName(spark.createDataFrame([(batch, before.count())], "k long, n long")), batch)
+    assert sorted(map(tuple, state.read().collect())) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_ingest_keeps_late_rows(spark, tmp_path):
+    rows = spark.read.parquet(f"{SMALL}/events.parquet")
+    order = rows.select("event_id").collect()
+    for k in range(6):  # more files than a batch takes, the newest first, with rows that repeat
+        part = rows.where(F.col("event_id") >= order[-1].event_id * (5 - k) // 6)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    found = streams.ingest_stream(spark, str(tmp_path))
+    assert found.count() == found.select("id").distinct().count() == rows.count()
+
+
 def test_lsh_recall(spark):
     nodes = World(spark, MIDDLE).nodes
     exact = {(r.theory_a, r.theory_b): r.n_pairs for r in similarity.link_theories(nodes).collect()}
@@ -137,7 +179,7 @@ def test_partial_rescore_is_a_full_one(world):
     verdicts = board.run_board(world)
     full = scoring.score_nodes(world.nodes, world.evidence, world.source_quality, verdicts, world.registry).select("node_id", "confidence")
     old = full.select("node_id", F.lit(-1.0).alias("confidence"), F.lit(1).cast("long").alias("scored_at"))
-    merged = refine.rescore_merge(old, world.nodes, world.evidence, world.source_quality, verdicts, world.registry, world.theories, 2)
+    merged = refine.rescore_merge(old, world, world.theories, 2)
     assert merged.select("node_id", "confidence").exceptAll(full).isEmpty() and merged.count() == full.count()
 
 
