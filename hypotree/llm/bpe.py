@@ -3,9 +3,11 @@
 Words (matches of the public split pattern) that no cache knows become rows of byte ids, padded within buckets of similar
 length. In each round every row merges its leftmost pair of the smallest rank; ranks come from a hash table of pairs, are
 kept in a second matrix and are looked up anew only beside the merge. Rows without a pair to merge leave the matrix.
+A word beyond the buckets is a row of its own, which makes in one round all merges that would follow each other anyway:
+those of the same rank from left to right, up to the first that gives rise to a pair of no higher rank.
 
 Defined results: null text is empty and has no ids; repeated rows each get their own row; an empty table gives an empty
-result; ids outside the vocabulary can't be decoded and raise. A word of n bytes takes up to n rounds over its own row.
+result; ids outside the vocabulary can't be decoded and raise. A long word takes about as many rounds as it has different ranks.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .common import slices
 from .tokens import StretchEncoder, joined
 
 NONE = np.int32(1 << 30)
-#: Widest row of each bucket; longer words make buckets by powers of two.
-WIDTHS = (4, 8, 12, 16, 24, 32, 64)
+#: Widest row of each bucket; longer words are merged alone.
+WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
 
 
 class PairTable:
@@ -120,13 +122,45 @@ class Vocabulary:
                 ranks[ok, near[ok]] = self.pairs.get(ids[ok, near[ok]], ids[ok, near[ok] + 1])
         return out
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """BPE of one word, many merges a round."""
+        ids = self.bytes_id[np.frombuffer(word, np.uint8)]
+        ranks = self.pairs.get(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == least)
+            # of a run of places next to each other every second one, from its start: the others share a token with it
+            start = np.concatenate([[True], at[1:] != at[:-1] + 1])
+            begin = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            # the pairs that each merge makes when all before it are done and none after it
+            after = np.concatenate([[False], at[1:] == at[:-1] + 2])
+            left = np.where(after, least, ids[np.maximum(at - 1, 0)])
+            right = ids[np.minimum(at + 2, len(ids) - 1)]
+            merged = np.full(len(at), least, np.int32)
+            low = (at > 0) & (self.pairs.get(left, merged) <= least) | (at + 2 < len(ids)) & (self.pairs.get(merged, right) <= least)
+            if low.any():
+                at = at[: int(np.argmax(low)) + 1]
+            ids[at] = least
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ranks = np.append(ranks, NONE)[kept][:-1]
+            ids = ids[kept]
+            at = at - np.arange(len(at))  # where the merged ids are now
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near < len(ids) - 1)]
+            ranks[near] = self.pairs.get(ids[near], ids[near + 1])
+        return ids.tolist()
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [w.encode() for w in words]
         out: list[list[int]] = [[r] if (r := self.ranks.get(w)) is not None else [] for w in raw]
         buckets: dict[int, list[int]] = {}
         for i, w in enumerate(raw):
             if not out[i] and w:
-                width = next((x for x in WIDTHS if len(w) <= x), 1 << (len(w) - 1).bit_length())
+                width = next((x for x in WIDTHS if len(w) <= x), 0)
+                if not width:
+                    out[i] = self._merge_long(w)
+                    continue
                 buckets.setdefault(width, []).append(i)
         for width, members in sorted(buckets.items()):
             step = max(1, (1 << 18) // width)  # matrices that fit the processor's cache

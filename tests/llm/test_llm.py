@@ -516,5 +516,22 @@ def test_bpe_merges_leftmost_lowest():
     words = ["".join(rng.choice(list("abcd"), int(n))) for n in rng.integers(2, 140, 300)]
     ids, sizes = vocabulary.encode_words(words)
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[ranks[w.encode()]] if w.encode() in ranks else slow(w.encode()) for w in words]
+    long = ["".join(rng.choice(list("abcd"), 600)), "a" * 700, "ab" * 333, "aab" * 250 + "c", "".join(rng.choice(list("ab"), 500, p=[0.9, 0.1]))]
+    assert [vocabulary._merge_long(w.encode()) for w in long + words] == [slow(w.encode()) for w in long + words]
+    for _ in range(40):  # vocabularies in which merging makes pairs of lower rank
+        parts = {bytes(rng.choice(list(b"abc"), int(n)).tolist()) for n in rng.integers(2, 6, 25)}
+        mixed = {bytes([b]): 1000 + b for b in range(256)} | {p: int(k) for p, k in zip(sorted(parts), rng.permutation(len(parts)))}
+        ranks, odd_words = mixed, ["".join(rng.choice(list("abc"), 60)) for _ in range(20)]
+        vocabulary = bpe.Vocabulary(mixed)
+        assert [vocabulary._merge_long(w.encode()) for w in odd_words] == [slow(w.encode()) for w in odd_words]
     with pytest.raises(ValueError):
-        vocabulary.decode(np.array([999]))
+        vocabulary.decode(np.array([99_999]))
+
+
+def test_bpe_of_a_very_long_match():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    word = "".join(np.random.default_rng(2).choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 200_000))
+    ids, sizes = bpe.loaded(RANKS)[0].encode_words([word])
+    assert ids.tolist() == tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(word) and sizes.tolist() == [len(ids)]
