@@ -1,5 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated probabilities.
 
+A document's pool is the mean of its word vectors and, for each of a few distances, the mean of the elementwise products of
+every word vector with the one so many words before it: the mean tells what words there are, the products how they follow.
+
 Fitting reads a bounded sample of labelled rows (`per_label` rows of each label in expectation, texts of at most
 `max_bytes`); scoring reads every whole text. The model has a fixed size: at most `max_words` vectors of `dim` numbers.
 
@@ -24,8 +27,8 @@ from pyspark.sql import types as T
 from .common import field, held_out, slices
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-#: Distances at which a token is compared with those before it.
-LAGS = (1, 2, 3)
+#: Distances at which a token's vector is multiplied with those before it, and how many of its numbers are.
+LAGS, BOUND = (1, 2, 3), 48
 
 
 def shape(token: str) -> str:
@@ -67,10 +70,14 @@ class Model:
     layers: list[np.ndarray] = dc_field(default_factory=list)
     temperature: float = 1.0
 
+    def width(self) -> int:
+        """The length of a document's pool."""
+        return self.vectors.shape[1] + len(LAGS) * min(BOUND, self.vectors.shape[1])
+
     def pool(self, texts: list[str], coded: _Rows | None = None) -> np.ndarray:
-        """Per text: the mean word vector, its length, shares of tokens that repeat at each lag, log of the token count."""
+        """Per text: the mean word vector, and for each lag the mean product of a word's vector with that of the word before."""
         coded = _Rows(self.words) if coded is None else coded
-        out = np.zeros((len(texts), self.vectors.shape[1] + 2 + len(LAGS)), np.float32)
+        out = np.zeros((len(texts), self.width()), np.float32)
         get, codes, counts = coded.__getitem__, [], []
         for text in texts:
             found = TOKEN.findall(text)
@@ -79,24 +86,28 @@ class Model:
         n = np.array(counts, np.int64)
         if not codes:
             return out
-        at, rows = np.array(codes, np.int32), np.array(coded.rows, np.int32)
         full = np.flatnonzero(n)
         begin = (np.cumsum(n) - n)[full]
-        dim = self.vectors.shape[1]
-        own = rows[at]
-        step = 1 << 16
-        for cut in range(0, len(at), step):  # bounded memory, also for one very long text
-            first, last = np.searchsorted(begin, cut, "right") - 1, np.searchsorted(begin, min(len(at), cut + step), "left")
-            part = np.maximum(begin[first:last] - cut, 0)
-            out[full[first:last], :dim] += np.add.reduceat(self.vectors[own[cut : cut + step]], part, axis=0)
-        out[full, :dim] /= n[full, None]
-        out[full, dim] = np.linalg.norm(out[full, :dim], axis=1)
-        place = np.arange(len(at)) - np.repeat(begin, n[full])
-        for k, lag in enumerate(LAGS):
-            same = np.zeros(len(at), np.float32)
-            same[lag:] = (at[lag:] == at[:-lag]) & (place[lag:] >= lag)
-            out[full, dim + 1 + k] = np.add.reduceat(same, begin) / n[full]
-        out[:, -1] = np.log1p(n) / 10
+        own = np.array(coded.rows, np.int32)[np.array(codes, np.int32)]
+        dim, lead = self.vectors.shape[1], max(LAGS)
+        bound = min(BOUND, dim)
+        step = 1 << 14
+        for cut in range(0, len(own), step):  # bounded memory, also for one very long text
+            end, head = min(len(own), cut + step), min(cut, lead)
+            first, last = np.searchsorted(begin, cut, "right") - 1, np.searchsorted(begin, end, "left")
+            part, to = np.maximum(begin[first:last] - cut, 0), full[first:last]
+            v = self.vectors[own[cut - head : end]]
+            out[to, :dim] += np.add.reduceat(v[head:], part, axis=0)
+            v = np.ascontiguousarray(v[:, :bound])
+            for k, lag in enumerate(LAGS):
+                before = np.zeros((end - cut, bound), np.float32)
+                skip = max(0, lag - head)
+                before[skip:] = v[head + skip - lag : len(v) - lag] * v[head + skip :]
+                for i in range(lag):  # a text's first words have none so far before them
+                    at = begin[first:last] + i - cut
+                    before[at[(at >= 0) & (at < end - cut)]] = 0
+                out[to, dim + k * bound : dim + (k + 1) * bound] += np.add.reduceat(before, part, axis=0)
+        out[full] /= n[full, None]
         return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
@@ -183,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     told, truth = sample["_text"].to_pylist(), np.array(sample["_label"].to_pylist(), np.int64)
     del sample
     model = word_vectors(told, dim, nonzero, max_words, min_count, window)
-    pooled = np.concatenate([np.zeros((0, dim + 2 + len(LAGS)), np.float32), *(model.pool(told[i : i + 200]) for i in range(0, len(told), 200))])
+    pooled = np.concatenate([np.zeros((0, model.width()), np.float32), *(model.pool(told[i : i + 200]) for i in range(0, len(told), 200))])
     return train(model, pooled, truth, hidden, epochs, seed)
 
 
