@@ -2,7 +2,9 @@
 
 One bit-sliced Bloom filter serves all languages: a cell holds a mask with a bit for each language, an n-gram's cells
 are the same for all, and the bitwise and of its cells gives every language that (probably) has the n-gram at once.
-Per language, the number of a text's n-grams that it holds, corrected for that language's false positives, decides.
+Per language, the number of a text's n-grams that it holds, corrected for that language's false positives, decides. A
+second filter of the same form holds the n-grams that are common in a language: a hit there weighs 1, one in the first
+filter alone `RARE`.
 
 Fitting reads a bounded sample (`per_lang` texts of each language in expectation, of at most `max_bytes`, and `budget`
 bytes over all). There is a layer of masks for every 64 languages. Prediction reads every whole text.
@@ -26,6 +28,8 @@ from .common import field, held_out, slices
 from .tokens import sums
 
 UNKNOWN = "und"
+#: The weight of an n-gram that a language holds, if it isn't common in it.
+RARE = 0.02
 #: Odd multipliers, one for each cell of an n-gram.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bytes other than letters become spaces; bytes of other scripts and of accents stay.
@@ -59,11 +63,27 @@ def cells(window: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """langs: the names; bit i % 64 of layer i // 64 is langs[i]. masks: layers of cells. false_rate: per language, its fill to the power of the cells read."""
+    """langs: the names; bit i % 64 of layer i // 64 is langs[i]. Of each pair, first all n-grams of a language, then its common ones.
+
+    masks: layers of cells. false_rate: per language, its fill to the power of the cells read.
+    """
 
     langs: list[str]
-    masks: np.ndarray
-    false_rate: np.ndarray
+    masks: tuple[np.ndarray, np.ndarray]
+    false_rate: tuple[np.ndarray, np.ndarray]
+
+    def holding(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each n-gram the masks of the languages that hold it, and of those in which it is common: (layers, n-grams)."""
+        at = cells(window, self.masks[0].shape[1].bit_length() - 1)
+        return tuple(np.stack([layer[at[0]] & layer[at[1]] & layer[at[2]] for layer in masks]) for masks in self.masks)
+
+    def shares(self, window: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Per language and text, the weighted share of the text's n-grams that it holds, false positives taken off."""
+        total = 0.0
+        for held, wrong, weight in zip(self.holding(window), self.false_rate, (RARE, 1 - RARE)):
+            hits = np.stack([sums((held[i // 64] >> (i % 64) & 1).astype(np.int64), n) for i in range(len(self.langs))])
+            total += weight * np.clip((hits / np.maximum(n, 1) - wrong[:, None]) / (1 - wrong[:, None]), 0, 1)
+        return total
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         out, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -71,10 +91,7 @@ class Filters:
         if not some or not self.langs:
             return out, scores
         window, n = grams([texts[i] for i in some])
-        at = cells(window, self.masks.shape[1].bit_length() - 1)
-        holds = [layer[at[0]] & layer[at[1]] & layer[at[2]] for layer in self.masks]
-        hits = np.stack([sums((holds[i // 64] >> (i % 64) & 1).astype(np.int64), n) for i in range(len(self.langs))])
-        share = np.clip((hits / np.maximum(n, 1) - self.false_rate[:, None]) / (1 - self.false_rate[:, None]), 0, 1)
+        share = self.shares(window, n)
         best = share.argmax(0)
         total = share.sum(0)
         sure = np.where(total > 0, share.max(0) / np.maximum(total, 1e-12), 1 / len(self.langs))
@@ -84,26 +101,29 @@ class Filters:
 
 
 def build(texts: list[str], langs: list[str], *, bits: int = 20, min_count: int = 2, rival: float = 0.05) -> Filters:
-    """A language gets an n-gram if it has it min_count times and at least `rival` as often, for its size, as the language that has it most."""
+    """An n-gram is common in a language that has it min_count times and at least `rival` as often, for its size, as the language that has it most."""
     names = sorted(set(langs))
     kind = np.uint8 if len(names) <= 8 else np.uint64
-    masks = np.zeros((-(-len(names) // 64), 1 << bits), kind)
+    masks = tuple(np.zeros((-(-len(names) // 64), 1 << bits), kind) for _ in range(2))
     counted = []
     for name in names:
         window, _ = grams([t for t, own in zip(texts, langs) if own == name])
         counted.append(np.unique(window, return_counts=True))
     if not names:
-        return Filters([], masks, np.zeros(0))
+        return Filters([], masks, (np.zeros(0), np.zeros(0)))
     every = np.unique(np.concatenate([w for w, _ in counted]))
     rate = np.zeros((len(names), len(every)))
     for i, (window, times) in enumerate(counted):
         rate[i, np.searchsorted(every, window)] = np.where(times >= min_count, times / max(1, times.sum()), 0)
-    taken = (rate > 0) & (rate >= rival * rate.max(0))
-    for i in range(len(names)):
-        for at in cells(every[taken[i]], bits):
-            masks[i // 64, at] |= kind(1 << i % 64)
-    fill = np.array([np.count_nonzero(masks[i // 64] >> (i % 64) & 1) for i in range(len(names))]) / (1 << bits)
-    return Filters(names, masks, fill ** len(MULTIPLIERS))
+    common = (rate > 0) & (rate >= rival * rate.max(0))
+    false_rate = []
+    for layers, held in zip(masks, ([w for w, _ in counted], [every[own] for own in common])):
+        for i, window in enumerate(held):
+            for at in cells(window, bits):
+                layers[i // 64, at] |= kind(1 << i % 64)
+        fill = np.array([np.count_nonzero(layers[i // 64] >> (i % 64) & 1) for i in range(len(names))]) / (1 << bits)
+        false_rate.append(fill ** len(MULTIPLIERS))
+    return Filters(names, masks, tuple(false_rate))
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1200, max_bytes: int = 32_768, budget: int = 64 << 20, **kw: float) -> Filters:
