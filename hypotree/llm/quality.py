@@ -86,28 +86,19 @@ class Model:
         n = np.array(counts, np.int64)
         if not codes:
             return out
-        full = np.flatnonzero(n)
-        begin = (np.cumsum(n) - n)[full]
         own = np.array(coded.rows, np.int32)[np.array(codes, np.int32)]
-        dim, lead = self.vectors.shape[1], max(LAGS)
+        dim, step, ends = self.vectors.shape[1], 1 << 14, np.cumsum(n).tolist()
         bound = min(BOUND, dim)
-        step = 1 << 14
-        for cut in range(0, len(own), step):  # bounded memory, also for one very long text
-            end, head = min(len(own), cut + step), min(cut, lead)
-            first, last = np.searchsorted(begin, cut, "right") - 1, np.searchsorted(begin, end, "left")
-            part, to = np.maximum(begin[first:last] - cut, 0), full[first:last]
-            v = self.vectors[own[cut - head : end]]
-            out[to, :dim] += np.add.reduceat(v[head:], part, axis=0)
-            v = np.ascontiguousarray(v[:, :bound])
-            for k, lag in enumerate(LAGS):
-                before = np.zeros((end - cut, bound), np.float32)
-                skip = max(0, lag - head)
-                before[skip:] = v[head + skip - lag : len(v) - lag] * v[head + skip :]
-                for i in range(lag):  # a text's first words have none so far before them
-                    at = begin[first:last] + i - cut
-                    before[at[(at >= 0) & (at < end - cut)]] = 0
-                out[to, dim + k * bound : dim + (k + 1) * bound] += np.add.reduceat(before, part, axis=0)
-        out[full] /= n[full, None]
+        for i, (end, size) in enumerate(zip(ends, counts)):
+            for cut in range(0, size, step):  # bounded memory, also for one very long text
+                head = min(cut, max(LAGS))
+                v = self.vectors[own[end - size + cut - head : min(end, end - size + cut + step)]]
+                out[i, :dim] += np.ones(len(v) - head, np.float32) @ v[head:]
+                v = v[:, :bound]
+                for k, lag in enumerate(LAGS):
+                    later = max(lag, head)
+                    out[i, dim + k * bound : dim + (k + 1) * bound] += np.einsum("td,td->d", v[later:], v[later - lag : len(v) - lag])
+        out /= np.maximum(n, 1)[:, None]
         return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
