@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: monotonically_increasing_id() puts the partition above this many bits and the row's place below.
 ROW_BITS = 33
+#: Bytes of text that a task of small models or sets works on at a time; workers keep what memory they once took.
+SLICE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, held_out, slices
+from .common import SLICE, field, held_out, slices
 from .tokens import sums
 
 UNKNOWN = "und"
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, filters: Filters, *, text: str = "text", to: str =
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             found, sure = sent.value.predict([x or "" for x in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure)], [*batch.schema.names, to, score])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import drop_tables, field, slices, write_table
+from .common import SLICE, drop_tables, field, slices, write_table
 
 #: A similarity of 4 / 5, in whole numbers.
 LEAST = (4, 5)
@@ -83,7 +83,7 @@ def frequent_shingles(docs: DataFrame, *, text: str = "text", words: int = 5, sa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found = [np.zeros(0, np.int64), *(shingle_set(x, words, known) for x in batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["h"])
 
@@ -100,9 +100,9 @@ def described(docs: DataFrame, frequent: np.ndarray, *, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (late, rank), known, seen = held.value, _WordHashes(), set()
-        for batch in slices(batches, "text"):
-            known = _WordHashes() if len(known) > 500_000 else known
-            seen = set() if len(seen) > 500_000 else seen
+        for batch in slices(batches, "text", SLICE):
+            known = _WordHashes() if len(known) > 200_000 else known
+            seen = set() if len(seen) > 200_000 else seen
             fps, sigs, sizes, bits, parts = [], [], [], [], ([], [])
             for x in batch.column("text").to_pylist():
                 fps.append(simhash.fingerprint(simhash.shingle_hashes(x, 3)))
@@ -256,11 +256,11 @@ def similar(pairs: DataFrame, docs: DataFrame, names: DataFrame, *, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sets = _WordHashes(), {}
-        for batch in slices(slices(batches, "x"), "y"):
+        for batch in slices(slices(batches, "x", SLICE), "y", SLICE):
             keep = []
             columns = [batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]
             for a, b, x, y in zip(*columns):
-                if len(sets) > 256 or len(known) > 500_000:
+                if len(sets) > 256 or len(known) > 200_000:
                     known, sets = _WordHashes(), {}
                 one, two = (sets[k] if k in sets else sets.setdefault(k, shingle_set(t, words, known)) for k, t in ((a, x), (b, y)))
                 both = len(np.intersect1d(one, two, assume_unique=True))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, held_out, slices
+from .common import SLICE, field, held_out, slices
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Distances at which a token's vector is multiplied with those before it, and how many of its numbers are.
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     coded = _Rows(model.words)
-    for batch in slices(batches, text):
+    for batch in slices(batches, text, SLICE):
         coded = _Rows(model.words) if len(coded) > 150_000 else coded
         yield batch, model.scores(model.pool([x or "" for x in batch.column(text).to_pylist()], coded))
 
