@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -90,6 +90,15 @@ def with_running_total(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return rows.withColumn(name, F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "_part", "left").withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("long")).drop("_before")
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema), sent in batches of about SLICE bytes: 10,000 rows of text at a time, as by default, take up to 64 MB on both sides.
+
+    The setting is the session's, is read when the job is planned, and changes no result.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most about max_bytes of `column` (one longer value makes a slice of its own)."""
     import numpy as np

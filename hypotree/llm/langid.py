@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, field, held_out, slices
+from .common import SLICE, field, held_out, map_texts, slices
 from .tokens import sums
 
 UNKNOWN = "und"
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, filters: Filters, *, text: str = "text", to: str =
             found, sure = sent.value.predict([x or "" for x in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure)], [*batch.schema.names, to, score])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def keep_known(docs: DataFrame, filters: Filters, *, text: str = "text", least: float = 0.0) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import SLICE, drop_tables, field, slices, write_table
+from .common import SLICE, drop_tables, field, map_texts, slices, write_table
 
 #: A similarity of 4 / 5, in whole numbers.
 LEAST = (4, 5)
@@ -87,7 +87,7 @@ def frequent_shingles(docs: DataFrame, *, text: str = "text", words: int = 5, sa
             found = [np.zeros(0, np.int64), *(shingle_set(x, words, known) for x in batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["h"])
 
-    found = few.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") >= times)
+    found = map_texts(few, run, "h long").groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") >= times)
     return np.array([r.h for r in found.orderBy(F.desc("times"), "h").limit(most).select("h").collect()][::-1], np.int64)
 
 
@@ -127,7 +127,7 @@ def described(docs: DataFrame, frequent: np.ndarray, *, key: str = "doc_id", tex
             columns = [batch.column("doc_id"), batch.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), *lists]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ROWS.split(", ")])
 
-    return _named(docs, key, text).mapInArrow(run, ROWS)
+    return map_texts(_named(docs, key, text), run, ROWS)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,8 @@ def similar(pairs: DataFrame, docs: DataFrame, names: DataFrame, *, text: str =
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = held.select(F.col("sig").alias("a"), F.col("text").alias("x")), held.select(F.col("sig").alias("b"), F.col("text").alias("y"))
-    found = write_table(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "nearcopies-similar")
+    texts = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    found = write_table(map_texts(texts, run, "a long, b long"), "nearcopies-similar")
     drop_tables(need, held)
     return found
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, field, held_out, slices
+from .common import SLICE, field, held_out, map_texts, slices
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Distances at which a token's vector is multiplied with those before it, and how many of its numbers are.
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score
         for batch, values in _scored(batches, sent.value, text):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, to])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def keep_good(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:

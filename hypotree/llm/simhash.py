@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, field, slices, write_table
+from .common import drop_tables, field, map_texts, slices, write_table
 
 BITS = 64
 
@@ -58,7 +58,8 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
             found = np.array([fingerprint(shingle_hashes(x or b"", words)) for x in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return map_texts(texts, run, "doc_id long, fp long")
 
 
 def covering_masks(radius: int, level: int = 0, bits: int = BITS) -> list[int]:
