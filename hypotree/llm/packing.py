@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, write_table
+from .common import SLICE, map_texts, slices, write_table
 from .tokens import shared_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,8 +37,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
     """One row for each piece: doc_id, piece, start, length, ids_crc32, and with_ids also the ids as little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer)
-        for batch in slices(batches, "text"):
+        encoder = shared_encoder(tokenizer, max_entries=200_000, max_chars=4_000_000)
+        for batch in slices(batches, "text", SLICE):
             ids, sizes = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
             ends = np.cumsum(sizes)
             raw = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(rows[0])])
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return map_texts(chosen, run, PIECES + (", ids binary" if with_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
