@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkstore, hilbert, langid, ordermh, packing, quality, simhash, topk, warc
+from . import bpe, chunkstore, fim, hilbert, langid, ordermh, packing, quality, simhash, topk, warc
 from .common import held_out, table
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
@@ -74,8 +74,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select(
+        "doc_id", F.col("n_code_points").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_hilbert, op3_topk, op4_warc, op5_chunkstore, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_hilbert, op3_topk, op4_warc, op5_chunkstore, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe, op13_fim)}
 
 
 #: Vectors that take no part are left out; the rest as whole numbers.
@@ -95,6 +103,20 @@ told AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTI
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM told"""
 
 
+_FIM = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+drawn AS (
+    SELECT *, CAST('0x' || s[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || s[9:16] AS BIGINT) % (n + 1) AS c2,
+        CAST('0x' || s[17:24] AS BIGINT) % 100 AS d3, CAST('0x' || s[25:32] AS BIGINT) % 100 AS d4 FROM texts),
+told AS (
+    SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d3 >= 90 THEN 'plain' WHEN d4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1) AS z FROM told)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || z || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || z || '<M>' || m END) AS output_sha256,
+    sha256(text) AS restored_sha256 FROM parts"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force."""
-    return {"op3_topk": _TOP_K, "op4_warc": _WARC}
+    return {"op3_topk": _TOP_K, "op4_warc": _WARC, "op13_fim": _FIM}
