@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkstore, fim, hilbert, langid, ordermh, packing, quality, simhash, topk, warc
+from . import align, bpe, chunkstore, fim, hilbert, langid, ordermh, packing, quality, simhash, topk, warc
 from .common import held_out, table
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.align(docs, public_tokenizers.path(JSON_VOCABULARY), public_tokenizers.path(PIECES), digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_shared")
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select(
@@ -83,7 +90,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_hilbert, op3_topk, op4_warc, op5_chunkstore, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe, op13_fim)}
+    return {f.__name__: f for f in (op1_quality, op2_hilbert, op3_topk, op4_warc, op5_chunkstore, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe, op11_align, op13_fim)}
 
 
 #: Vectors that take no part are left out; the rest as whole numbers.
