@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chunkstore, fim, hilbert, langid, ordermh, packing, quality, simhash, topk, warc
+from . import align, bpe, chunkstore, fim, hilbert, langid, ordermh, packing, pii, quality, simhash, topk, warc
 from .common import held_out, table
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
@@ -81,6 +81,13 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_shared")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]  # noqa: B023
+    base, spans = pii.written(F.col("base")), pii.written(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), F.size("added").alias("n_added"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select(
@@ -90,7 +97,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_hilbert, op3_topk, op4_warc, op5_chunkstore, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe, op11_align, op13_fim)}
+    return {f.__name__: f for f in (op1_quality, op2_hilbert, op3_topk, op4_warc, op5_chunkstore, op6_langid, op7_simhash, op8_packing, op9_ordermh, op10_bpe, op11_align, op12_pii, op13_fim)}
 
 
 #: Vectors that take no part are left out; the rest as whole numbers.
