@@ -6,7 +6,8 @@ task's group, and a tile's cosines are one matrix product. Only pairs that count
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 
 from hypotree import defaults as D
 from hypotree.functions.expressions import cosine, dot
+from hypotree.sources.sinks import checkpointed
 
 PAIRS = "a long, b long, cos double"
 
@@ -50,8 +52,10 @@ def _tiles(left: DataFrame, right: DataFrame, keep: Callable[..., np.ndarray], b
 
 
 def _vectors(df: DataFrame, group: str | None = None) -> DataFrame:
-    """Vectors that are null or hold nulls take no part."""
-    return df.where("embedding is not null and not exists(embedding, x -> x is null)").select("id", (F.col(group) if group else F.lit(0)).cast("long").alias("g"), F.col("embedding").alias("v"))
+    """Vectors that are null, empty or hold nulls, NaN or infinite values take no part."""
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usual = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~odd
+    return df.where(usual).select("id", (F.col(group) if group else F.lit(0)).cast("long").alias("g"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def _row_best(cos: np.ndarray, k: int) -> np.ndarray:
@@ -113,14 +117,116 @@ def link_theories(nodes: DataFrame, tau: float = D.TAU_LINK) -> DataFrame:
     return _between_theories(similar_nodes(nodes, tau), nodes)
 
 
-def link_lsh(nodes: DataFrame, tau: float = D.TAU_LINK, tables: int = 8, length: float = 2.0) -> DataFrame:
-    """link_theories() by random projections: unit vectors with cos >= tau lie within sqrt(2 - 2 tau); found pairs are compared exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = nodes.where("embedding is not null").select("id", "theory_id", F.transform("embedding", lambda x: x / F.sqrt(dot(F.col("embedding"), F.col("embedding")))).alias("u"))
-    rows = unit.withColumn("features", array_to_vector("u"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=11).fit(rows)
-    near = model.approxSimilarityJoin(rows, rows, (2 - 2 * tau) ** 0.5 + 1e-9, "dist").where("datasetA.theory_id < datasetB.theory_id")
-    pairs = near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.round(dot(F.col("datasetA.u"), F.col("datasetB.u")), 9).alias("cos")).where(F.col("cos") >= tau)
-    return _between_theories(pairs, nodes)
+class Lists(NamedTuple):
+    """An index of unit vectors: their centroids' lists, and how many lists each vector looks into."""
+
+    centroids: np.ndarray
+    probes: int
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest lists of each row, the nearest first, ties to the lower number."""
+        return np.argsort(-np.round(x @ self.centroids.T, 9), axis=1, kind="stable")[:, :n]
+
+
+def _centroids(x: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means from evenly chosen rows; a centroid that loses all its rows stays where it was."""
+    c = x[np.linspace(0, len(x) - 1, n).astype(int)]
+    for _ in range(rounds):
+        own = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), c)
+    return c
+
+
+def fit_lists(nodes: DataFrame, tau: float, *, recall: float = 0.97, list_size: int = 128, max_lists: int = 2048, sample: int = 20_000, asked: int = 512) -> Lists:
+    """Lists for pairs with cos >= tau, fit on a sample of at most `sample` vectors, the first by a hash of their ids.
+
+    As many lists as hold about list_size vectors each, at most max_lists. Probes: the least number with which, of the true pairs between
+    `asked` of the sample and the sample, a share of `recall` is found. Vectors without clusters need nearly all lists; then nothing is saved.
+    """
+    rows = _vectors(nodes)
+    n = rows.count()
+    if not n:
+        return Lists(np.zeros((1, 1)), 1)
+    taken = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    x = _units(taken)
+    lists = int(np.clip(n // list_size, 1, min(max_lists, len(x))))
+    index = Lists(_centroids(x, lists), lists)
+    own = index.nearest(x, 1)[:, 0]
+    some = np.linspace(0, len(x) - 1, min(asked, len(x))).astype(int)
+    true = np.argwhere(x[some] @ x.T >= tau)
+    true = true[some[true[:, 0]] != true[:, 1]]
+    if not len(true):
+        return index._replace(probes=1)
+    a, b = some[true[:, 0]], true[:, 1]
+    near = x @ index.centroids.T
+    place = lambda i, j: (near[i] > near[i, own[j]][:, None]).sum(1)
+    needed = np.concatenate([np.minimum(place(a[k : k + 65_536], b[k : k + 65_536]), place(b[k : k + 65_536], a[k : k + 65_536])) for k in range(0, len(a), 65_536)])
+    return index._replace(probes=int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1)
+
+
+def _list_links(nodes: DataFrame, index: Lists, tau: float, block: int) -> DataFrame:
+    """(theory_a, theory_b, max_cos, n_pairs, compared): a tile's links by pairs of theories, and, in one row of each tile, its comparisons.
+
+    A vector is a member of its nearest list and asks in the lists that it probes; a list's members and askers are dealt to blocks of bounded
+    size, so that a list which holds a third of all vectors is many tiles. A pair that meets in two lists counts in the lower one.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(index)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = shared.value.nearest(_units(pa.Table.from_batches([batch])), shared.value.probes).astype(np.int32)
+                width = np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(width), pa.array(near.ravel()))], ["id", "g", "v", "lists"])
+
+    rows = _vectors(nodes, "theory_id").mapInArrow(place, "id long, g long, v array<double>, lists array<int>")
+    rows = checkpointed(rows)
+    asked = rows.select(F.posexplode("lists").alias("k", "list")).groupBy("list").agg(F.count_if(F.col("k") == 0).alias("members"), F.count("*").alias("askers"))
+    parts = lambda column: F.greatest(F.lit(1), F.ceil(F.col(column) / block)).cast("int")
+    sizes = F.broadcast(asked.select("list", parts("members").alias("n"), parts("askers").alias("m")))  # a row for each list
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.withColumn("list", F.col("lists")[0]).join(sizes, "list").select("list", dealt("n").alias("i"), each("m").alias("j"), "id", "g", "v", "lists")
+    askers = rows.withColumn("list", F.explode("lists")).join(sizes, "list").select("list", dealt("m").alias("j"), each("n").alias("i"), "id", "g", "v", F.col("lists")[0].alias("own"))
+
+    def tile(b: pa.Table, a: pa.Table) -> pa.Table:
+        found: dict[str, np.ndarray] = {"theory_a": np.zeros(0, np.int64), "theory_b": np.zeros(0, np.int64), "max_cos": np.zeros(0), "n_pairs": np.zeros(0, np.int64)}
+        if a.num_rows and b.num_rows:
+            cos = np.round(_units(a) @ _units(b).T, 9)
+            x, y = np.nonzero(cos >= tau)
+            at, own = b["list"][0].as_py(), a["own"].to_numpy()[x]
+            ids, others = a["id"].to_numpy()[x], b["id"].to_numpy()[y]
+            probes = np.asarray(b["lists"].combine_chunks().flatten()).reshape(b.num_rows, -1)[y]
+            again = (probes == own[:, None]).any(1)  # the pair meets in the list `own` too
+            good = np.where(again, (own > at) | ((own == at) & (ids < others)), True)
+            g, h, c = a["g"].to_numpy()[x][good], b["g"].to_numpy()[y][good], cos[x, y][good]
+            good = g != h
+            pair = np.stack([np.minimum(g, h), np.maximum(g, h)], 1)[good]
+            if len(pair):
+                told, where, count = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
+                top = np.full(len(told), -2.0)
+                np.maximum.at(top, where.ravel(), c[good])
+                found = {"theory_a": told[:, 0], "theory_b": told[:, 1], "max_cos": top, "n_pairs": count}
+        columns = [pa.concat_arrays([pa.array(v), pa.nulls(1, pa.array(v).type)]) for v in found.values()]
+        compared = np.zeros(len(columns[0]), np.int64)
+        compared[-1] = a.num_rows * b.num_rows
+        return pa.table([*columns, pa.array(compared)], [*found, "compared"])
+
+    return members.groupBy("list", "i", "j").cogroup(askers.groupBy("list", "i", "j")).applyInArrow(tile, "theory_a long, theory_b long, max_cos double, n_pairs long, compared long")
+
+
+def link_lsh(nodes: DataFrame, tau: float = D.TAU_LINK, *, index: Lists | None = None, block: int = 2048) -> DataFrame:
+    """link_theories() by an index of lists, in which each vector is compared with those in the lists near it only. Null theories are in no pair.
+
+    Every row is indexed; which pairs are missed depends on the lists alone, and fit_lists() chooses how many are looked into by the recall on its sample.
+    """
+    found = _list_links(nodes, index or fit_lists(nodes, tau), tau, block)
+    return found.where("theory_a is not null").groupBy("theory_a", "theory_b").agg(F.max("max_cos").alias("max_cos"), F.sum("n_pairs").alias("n_pairs"))
+
+
+def comparisons(nodes: DataFrame, tau: float, index: Lists, *, block: int = 2048) -> int:
+    """How many pairs link_lsh() with that index compares."""
+    return _list_links(nodes, index, tau, block).agg(F.sum("compared")).first()[0] or 0

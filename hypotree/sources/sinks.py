@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +28,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df as a written table: short lineage, safe when executors are lost."""
     path = new_folder(df.sparkSession, "checkpoint")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def counting(df: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """checkpointed(df), and aggregates over its rows that are worked out while it is written."""
+    seen = Observation()
+    found = checkpointed(df.observe(seen, *[c.alias(k) for k, c in counts.items()]))
+    return found, seen.get
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of checkpointed() that nothing reads any more."""
+    for one in tables:
+        if path := one.__dict__.get("_written"):
+            spark = one.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def newest_folder(spark: SparkSession, path: str, below: int) -> str | None:
