@@ -13,6 +13,7 @@ their own and count as documents of their own; null ids are kept; extra columns
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SLICE, map_texts, slices, write_table
-from .tokens import StretchEncoder, byte_letters, sums, tokenizer_encoder
+from .tokens import CUT, StretchEncoder, byte_letters, sums, tokenizer_encoder
 
 #: Pairs of ids that are looked up in a broadcast table: the most frequent ones, never more than this.
 HOT_PAIRS = 300_000
@@ -79,7 +80,7 @@ def row_products(a: Csr, b: Csr, block: int = 1 << 20) -> Iterator[tuple[np.ndar
 
 
 class _Pair:
-    """The two tokenizers of a Python worker, with the bytes of every token."""
+    """The two tokenizers of a Python worker, the bytes of every token, and what is known of stretches of text."""
 
     def __init__(self, tokenizer: str, model: str) -> None:
         import sentencepiece
@@ -90,23 +91,33 @@ class _Pair:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(octet[c] for c in token) if all(c in octet for c in token) else token.encode()
-        self.encoder: StretchEncoder = tokenizer_encoder(tokenizer, max_entries=200_000, max_chars=4_000_000)
+        self.encoder: StretchEncoder = tokenizer_encoder(tokenizer, max_entries=150_000, max_chars=3_000_000)
         self.encoder.added = {}  # their strings are plain text here
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.bytes_b = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size())]
+        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        self.bytes_b = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        #: Neither tokenizer joins a character that isn't white space with a space after it, so texts may be cut there.
+        self.may_cut = not any(INNER.search(x) for x in pieces) and len(sp.encode("a")) == 1
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         #: What is written for a token in a list of groups: a's id and what comes after it, then b's.
         self.written = [f"{i}{mark}" for n, marks in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for mark in marks for i in range(n)]
+        self.known = Stretches(self)
 
-    def tokens_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.encoder.encode([" " + t for t in texts])
+    def cut(self, spaced: str) -> list[str]:
+        if not self.may_cut:
+            return [spaced]
+        return CUT.split(spaced) if AFTER_SPACE.search(spaced) or "\0" in spaced else spaced.replace(" ", "\0 ").split("\0")[1:]
 
-    def tokens_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = self.sp.encode(texts, num_threads=1)
+    def tokens_b(self, spaced: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.sp.encode([s[1:] for s in spaced], num_threads=1)
+        lists = [x or self.sp.encode("a ")[1:] for x in lists]  # a space alone, which the model doesn't add to nothing
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
+#: A piece that goes on after a space, white space before a space.
+INNER, AFTER_SPACE = re.compile("[^▁]▁"), re.compile(r"\s ")
+
 _PAIRS: dict[tuple[str, str], _Pair] = {}
 
 
@@ -117,42 +128,35 @@ def _pair(tokenizer: str, model: str) -> _Pair:
 
 
 def _sound(texts: list[bytes], ids: np.ndarray, sizes: np.ndarray, token_bytes: list[bytes]) -> np.ndarray:
-    """For each text whether its tokens, joined, are a space and the text."""
-    names = list(map(token_bytes.__getitem__, ids.tolist()))
-    if b"".join(names) == b" " + b" ".join(texts):  # then all are, or two deviate and make up for it
-        lengths = sums(np.fromiter(map(len, names), np.int64, len(names)), sizes)
-        if np.array_equal(lengths, np.fromiter(map(len, texts), np.int64, len(texts)) + 1):
-            return np.ones(len(texts), bool)
-    ends = np.cumsum(sizes).tolist()
-    return np.array([b"".join(names[e - n : e]) == b" " + t for t, e, n in zip(texts, ends, sizes.tolist())], bool)
+    """For each text whether its tokens, joined, are its bytes."""
+    names, ends = list(map(token_bytes.__getitem__, ids.tolist())), np.cumsum(sizes).tolist()
+    return np.array([b"".join(names[e - n : e]) == t for t, e, n in zip(texts, ends, sizes.tolist())], bool)
 
 
 class Aligned:
-    """Some texts aligned together; texts without tokens are left out, `kept` has the places of the others.
+    """Some texts aligned together, each a space and what comes after it; texts that a tokenizer changes are left out, `kept` has the places of the others.
 
     ids_a, ids_b: token ids of all kept texts; first_a, first_b: where each text's begin (and the last end); group_a, group_b: each token's
     group, of n_groups, numbered over all texts.
     """
 
-    def __init__(self, texts: list[str], pair: _Pair) -> None:
+    def __init__(self, spaced: list[str], pair: _Pair) -> None:
         self.pair = pair
-        some = np.array([bool(t) for t in texts], bool)
-        self.kept = np.flatnonzero(some)
-        texts = [t for t in texts if t]
-        raw = [t.encode() for t in texts]
-        (a, na), (b, nb) = pair.tokens_a(texts), pair.tokens_b(texts)
+        raw = [t.encode() for t in spaced]
+        (a, na), (b, nb) = pair.encoder.encode(spaced), pair.tokens_b(spaced)
         good = _sound(raw, a, na, pair.bytes_a) & _sound(raw, b, nb, pair.bytes_b)
+        self.kept = np.flatnonzero(good)
         if not good.all():
-            self.kept, a, b, na, nb = self.kept[good], a[np.repeat(good, na)], b[np.repeat(good, nb)], na[good], nb[good]
+            a, b, na, nb = a[np.repeat(good, na)], b[np.repeat(good, nb)], na[good], nb[good]
         self.ids_a, self.ids_b = a.astype(np.int64), b.astype(np.int64)
         self.first_a, self.first_b = (np.concatenate([[0], np.cumsum(n)]) for n in (na, nb))
         self.ends_a, self.ends_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
         ends = np.zeros(int(self.ends_a[-1]) + 1 if len(a) else 1, np.uint8)
         ends[self.ends_a] = 1
         ends[self.ends_b] += 2
-        common = np.flatnonzero(ends == 3)
-        self.n_groups = len(common)
-        self.group_a, self.group_b = np.searchsorted(common, self.ends_a), np.searchsorted(common, self.ends_b)
+        last_a, last_b = (ends[x] == 3 for x in (self.ends_a, self.ends_b))  # tokens that end a group
+        self.last_a, self.last_b, self.n_groups = last_a, last_b, int(last_a.sum())
+        self.group_a, self.group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(token of a, token of b, bytes that they share) in blocks."""
@@ -166,47 +170,101 @@ class Aligned:
         """Each text's groups, as `a1,a2|b1;a3|b2,b3`."""
         size_a, size_b = (np.bincount(g, minlength=self.n_groups) for g in (self.group_a, self.group_b))
         before_a, before_b = np.cumsum(size_a), np.cumsum(size_b) - size_b
-        last_a, last_b = (np.concatenate([g[1:] != g[:-1], [True]]) if len(g) else np.zeros(0, bool) for g in (self.group_a, self.group_b))
         n, m = len(self.pair.bytes_a), len(self.pair.bytes_b)
         codes = np.empty(len(self.ids_a) + len(self.ids_b), np.int64)
-        codes[np.arange(len(self.ids_a)) + before_b[self.group_a]] = self.ids_a + n * last_a
-        codes[np.arange(len(self.ids_b)) + before_a[self.group_b]] = 2 * n + self.ids_b + m * last_b
-        first = (self.first_a + self.first_b).tolist()
+        codes[np.arange(len(self.ids_a)) + before_b[self.group_a]] = self.ids_a + n * self.last_a
+        codes[np.arange(len(self.ids_b)) + before_a[self.group_b]] = 2 * n + self.ids_b + m * self.last_b
+        names, first = list(map(self.pair.written.__getitem__, codes.tolist())), (self.first_a + self.first_b).tolist()
         for k in range(len(self.kept)):
-            yield "".join(map(self.pair.written.__getitem__, codes[first[k] : first[k + 1]].tolist()))[:-1]
+            yield "".join(names[first[k] : first[k + 1]])[:-1]
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
 
 
-def _summaries(texts: list[str], pair: _Pair, digest: bool) -> list[pa.Array]:
-    """Columns for texts: the counts, groups, and the different id pairs with how often each is linked."""
-    found, n = Aligned(texts, pair), len(texts)
-    docs, size_b = len(found.kept), len(pair.bytes_b)
-    span = len(pair.bytes_a) * size_b
-    keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    links = np.zeros(docs, np.int64)
-    for x, y, _ in found.links():
-        doc = np.searchsorted(found.first_a, x, "right") - 1
-        links += np.bincount(doc, minlength=docs)
-        key, count = np.unique(doc * span + found.ids_a[x] * size_b + found.ids_b[y], return_counts=True)
-        keys.append(key)
-        times.append(count)
-    key, count = np.concatenate(keys), np.concatenate(times)
-    if len(keys) > 2:  # a text may go on in the next block
-        key, where = np.unique(key, return_inverse=True)
-        count = np.bincount(where, count, len(key)).astype(np.int64)
-    values = np.zeros((len(_COUNTS), n), np.int64)
-    a, b = np.diff(found.first_a), np.diff(found.first_b)
-    groups = np.searchsorted(found.group_a, np.arange(found.n_groups))  # a group's first token of a
-    per_group = np.bincount(np.searchsorted(found.first_a, groups, "right") - 1, minlength=docs) if docs else np.zeros(0, np.int64)
-    values[:, found.kept] = [a, b, per_group, links, sums(found.shared_groups(), a)]
+def _roomy(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n entries in its last axis at least."""
+    while x.shape[-1] < n:
+        x = np.concatenate([x, np.zeros_like(x)], axis=-1)
+    return x
+
+
+class Stretches(dict):
+    """Numbers stretches of text in the order they come; for each number its counts, groups and linked pairs. Emptied beyond a bound, which changes only the speed."""
+
+    def __init__(self, pair: _Pair, most: int = 400_000, chars: int = 8_000_000) -> None:
+        super().__init__()
+        self.pair, self.most, self.chars = pair, most, chars
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.pending: list[str] = []
+        self.groups: list[str] = []
+        self.held = self.used = 0
+        self.counts, self.good = np.zeros((len(_COUNTS), 1 << 14), np.int64), np.zeros(1 << 14, bool)
+        self.pairs, self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = code = len(self)
+        self.pending.append(stretch)
+        self.held += len(stretch)
+        return code
+
+    def learn(self) -> None:
+        """Aligns the stretches that came since the last time."""
+        new, self.pending = self.pending, []
+        if not new:
+            return
+        n, known = len(self), len(self) - len(new)
+        found, size_b = Aligned(new, self.pair), len(self.pair.bytes_b)
+        at = known + found.kept
+        texts = [""] * len(new)
+        for k, text in zip(found.kept.tolist(), found.group_texts()):
+            texts[k] = text
+        self.groups += texts
+        self.counts, self.good, self.begin, self.size = (_roomy(x, n) for x in (self.counts, self.good, self.begin, self.size))
+        a, b = np.diff(found.first_a), np.diff(found.first_b)
+        of = np.repeat(np.arange(len(at)), a)  # the stretch of each token of a
+        links = np.zeros(len(at), np.int64)
+        for x, y, _ in found.links():
+            links += np.bincount(of[x], minlength=len(at))
+            self.pairs = _roomy(self.pairs, self.used + len(x))
+            self.pairs[self.used : self.used + len(x)] = found.ids_a[x] * size_b + found.ids_b[y]
+            self.used += len(x)
+        self.good[at] = True
+        self.size[at] = links
+        self.begin[at] = self.used - int(links.sum()) + np.cumsum(links) - links
+        self.counts[:, at] = [a, b, sums(found.last_a.astype(np.int64), a), links, sums(found.shared_groups(), a)]
+
+    def linked(self, codes: np.ndarray) -> np.ndarray:
+        """The linked pairs of all codes, joined."""
+        size = self.size[codes]
+        return self.pairs[np.arange(int(size.sum())) + np.repeat(self.begin[codes] - (np.cumsum(size) - size), size)]
+
+
+def _summaries(texts: list[str | None], pair: _Pair, digest: bool) -> list[pa.Array]:
+    """Columns for texts: the counts, groups, and the different id pairs with how often each is linked.
+
+    Stretches end where tokens of both kinds end, so a text's links and groups are those of its stretches, which are worked out once each.
+    """
+    known, n = pair.known, len(texts)
+    if len(known) > known.most or known.held > known.chars:
+        known.reset()
+    codes = [np.fromiter(map(known.__getitem__, pair.cut(" " + t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    known.learn()
+    sizes = np.fromiter(map(len, codes), np.int64, n)
+    every = np.concatenate([np.zeros(0, np.int64), *codes])
+    good = sums((~known.good[every]).astype(np.int64), sizes) == 0
+    every, sizes = every[np.repeat(good, sizes)], np.where(good, sizes, 0)
+    values = [sums(c[every], sizes) for c in known.counts]
     told = [""] * n
-    for k, text in zip(found.kept.tolist(), found.group_texts()):
+    for k in np.flatnonzero(sizes).tolist():
+        text = ";".join(map(known.groups.__getitem__, codes[k].tolist()))
         told[k] = hashlib.sha256(text.encode()).hexdigest() if digest else text
-    held = np.zeros(n, np.int64)
-    held[found.kept] = np.bincount(key // span, minlength=docs) if docs else 0
-    offsets = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
+    span = len(pair.bytes_a) * len(pair.bytes_b)
+    key, count = np.unique(np.repeat(np.arange(n), values[3]) * span + known.linked(every), return_counts=True)
+    offsets = pa.array(np.searchsorted(key, np.arange(n + 1) * span).astype(np.int32))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (key % span, count.astype(np.int32))]
     return [*map(pa.array, values), pa.array(told, pa.string()), *lists]
 
@@ -236,11 +294,13 @@ def token_links(docs: DataFrame, tokenizer: str, model: str, *, key: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(tokenizer, model)
         for part in slices(batches, text, SLICE):
-            found = Aligned(part.column(text).to_pylist(), pair)
+            texts = part.column(text).to_pylist()
+            some = np.flatnonzero([bool(t) for t in texts])
+            found = Aligned([" " + texts[k] for k in some.tolist()], pair)
             for x, y, n in found.links():
                 doc = np.searchsorted(found.first_a, x, "right") - 1
                 columns = (x - found.first_a[doc], y - found.first_b[doc], found.ids_a[x], found.ids_b[y], n)
-                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(found.kept[doc])), *map(pa.array, columns)], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(some[found.kept[doc]])), *map(pa.array, columns)], schema.fieldNames())
 
     return map_texts(docs.select(key, text), run, schema)
 
