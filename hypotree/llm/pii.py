@@ -209,8 +209,8 @@ class _Hashes(dict):
 def occurrences(docs: DataFrame, grams: DataFrame, *, text: str = "text", log_words: int = 18) -> DataFrame:
     """(gram, n): how often each gram (one token or two in a row) of the given ones occurs in all texts.
 
-    The grams go to the tasks as bits of a Bloom filter of fixed size (2^log_words words of 64 bits); what passes it is counted in the task, then
-    by Spark, and a join leaves the given grams only.
+    The grams go to the tasks as bits of a Bloom filter of fixed size (2^log_words words of 64 bits); what passes it is counted in the task, over all
+    its texts, then by Spark, and a join leaves the given grams only.
     """
     n_words = 1 << log_words
     place = F.shiftrightunsigned("gram", 6).bitwiseAND(n_words - 1)
@@ -219,8 +219,12 @@ def occurrences(docs: DataFrame, grams: DataFrame, *, text: str = "text", log_wo
     words[marked["word"].to_numpy()] = marked["bits"].to_numpy()
     shared = grams.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        gram, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return gram, np.bincount(where, np.concatenate([p[1] for p in parts]), len(gram)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = shared.value, _Hashes()
+        bits, known, parts, held = shared.value, _Hashes(), [], 0
         for part in slices(batches, text, SLICE):
             if len(known) > 500_000:
                 known.clear()
@@ -237,11 +241,22 @@ def occurrences(docs: DataFrame, grams: DataFrame, *, text: str = "text", log_wo
             two = one[:-1] * np.uint64(_FIRST) + one[1:] * np.uint64(_SECOND) + np.uint64(_PLUS)
             every = np.concatenate([one[one != 0], two[inner]])
             passed = every[(bits[(every >> np.uint64(6)) & np.uint64(n_words - 1)] >> (every & np.uint64(63))) & np.uint64(1) == 1]
-            gram, n = np.unique(passed, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
+            parts.append(np.unique(passed, return_counts=True))
+            held += len(parts[-1][0])
+            if held > 1 << 20:
+                parts = [added(parts)]
+                held = len(parts[0][0])
+                if held > 1 << 19:  # they differ, and go on to Spark
+                    yield told(parts.pop())
+                    held = 0
+        if parts:
+            yield told(added(parts))
+
+    def told(counts: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts[0].view(np.int64)), pa.array(counts[1].astype(np.int64))], ["gram", "n"])
 
-    counted = map_texts(docs.select(text), run, "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n")).join(grams, "gram", "left_semi")
+    counted = map_texts(docs.select(text), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return counted.join(grams.distinct(), "gram")  # an inner join, which Spark leaves after the sums
 
 
 def _spread(big: DataFrame, small: DataFrame, on: list[str], by: Column, ways: int = 16) -> DataFrame:
@@ -262,7 +277,7 @@ def graph(docs: DataFrame, found: DataFrame, *, text: str = "text", support: int
     beside = each.select("value", F.posexplode("context").alias("slot", "gram")).where("gram is not null")
     edges = write_table(beside.groupBy("slot", "gram", "value").agg(F.count("*").alias("n")), "pii-beside")
     patterns = write_table(edges.groupBy("slot", "gram").agg(F.count("*").alias("instances"), F.sum("n").alias("n")).where(F.col("instances") >= support), "pii-patterns")
-    often = occurrences(docs, patterns.select("gram").distinct(), text=text).withColumnRenamed("n", "all")
+    often = occurrences(docs, patterns.select("gram"), text=text).withColumnRenamed("n", "all")
     told = patterns.join(often, "gram", "left").select("slot", "gram", (F.col("instances") + F.greatest(F.coalesce("all", F.lit(0)) - F.col("n"), F.lit(0))).alias("fillers"))
     kept = _spread(edges.select("slot", "gram", "value"), told, ["slot", "gram"], F.col("value"))
     return write_table(_spread(kept, values, ["value"], F.col("gram")), "pii-graph")
