@@ -15,7 +15,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null for vectors of zeros or of different lengths."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def title(text: Column) -> Column:

@@ -18,13 +18,24 @@ def dispatch(nodes: DataFrame, registry: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("node_id")).crossJoin(F.broadcast(registry.select("lens_no", "lens")))
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows (node_id, lens_no, lens, severity, concern_at, fail_at) as verdicts: severity of six digits, verdict, rationale."""
+    rows = rows.withColumn("severity", F.round("severity", 6))
+    told = verdict(F.col("severity"), F.col("concern_at"), F.col("fail_at"))
+    why = F.when(F.col("severity").isNull(), "no evidence to measure").otherwise(F.format_string("severity %.3f, concern at %.2f, fail at %.2f", "severity", "concern_at", "fail_at"))
+    return rows.select("node_id", "lens_no", "lens", told.alias("verdict"), "severity", why.alias("rationale"))
+
+
 def judge(items: DataFrame, found: DataFrame, registry: DataFrame) -> DataFrame:
     """items (node_id, lens_no, lens) with verdict, severity (six digits) and rationale, from found (node_id, lens, severity)."""
     rules = F.broadcast(registry.select("lens_no", "concern_at", "fail_at"))
-    joined = items.join(found, ["node_id", "lens"], "left").join(rules, "lens_no").withColumn("severity", F.round("severity", 6))
-    told = verdict(F.col("severity"), F.col("concern_at"), F.col("fail_at"))
-    why = F.when(F.col("severity").isNull(), "no evidence to measure").otherwise(F.format_string("severity %.3f, concern at %.2f, fail at %.2f", "severity", "concern_at", "fail_at"))
-    return joined.select("node_id", "lens_no", "lens", told.alias("verdict"), "severity", why.alias("rationale"))
+    return _judged(items.join(found, ["node_id", "lens"], "left").join(rules, "lens_no"))
+
+
+def judge_facts(facts: DataFrame, registry: DataFrame, names: list[str]) -> DataFrame:
+    """Verdicts of the named lenses from statistics.node_facts(): a node's row becomes one for each lens, without a shuffle."""
+    found = facts.select("node_id", F.inline(F.array(*[F.struct(F.lit(n).alias("lens"), F.col(n).alias("severity")) for n in names])))
+    return _judged(found.join(F.broadcast(registry.select("lens_no", "lens", "concern_at", "fail_at")), "lens"))
 
 
 def one_lens(world: World, name: str, lens: Lens | None = None, registry: DataFrame | None = None) -> DataFrame:
@@ -35,10 +46,20 @@ def one_lens(world: World, name: str, lens: Lens | None = None, registry: DataFr
 
 
 def run_board(world: World, lenses: dict[str, Lens] | None = None, registry: DataFrame | None = None) -> DataFrame:
-    """A verdict of every registered lens on every node. lenses: by name, the seven if not given; register own ones in both."""
-    registry = world.registry if registry is None else registry
-    found = [f(world).select("node_id", F.lit(name).alias("lens"), "severity") for name, f in (lenses or BUILT_IN).items()]
-    return judge(dispatch(world.nodes, registry), reduce(DataFrame.unionByName, found), registry)
+    """A verdict of every registered lens on every node. lenses: by name, the seven if not given; register own ones in both.
+
+    The built-in lenses come from one row of statistics a node; others are run each by itself.
+    """
+    registry, lenses = world.registry if registry is None else registry, BUILT_IN if lenses is None else lenses
+    built_in = [name for name, f in lenses.items() if BUILT_IN.get(name) is f]
+    told = judge_facts(world.facts, registry, built_in) if built_in else None
+    if built_in == list(BUILT_IN) == list(lenses) and registry is world.registry:
+        return told
+    rest = registry.where(~F.col("lens").isin(built_in))
+    found = [f(world).select("node_id", F.lit(name).alias("lens"), "severity") for name, f in lenses.items() if name not in built_in]
+    none = world.facts.select("node_id", F.lit("").alias("lens"), F.lit(None).cast("double").alias("severity")).limit(0)
+    others = judge(dispatch(world.node_rows, rest), reduce(DataFrame.unionByName, found, none), rest)
+    return others if told is None else told.unionByName(others)
 
 
 def register_lens(lenses: dict[str, Lens], registry: DataFrame, name: str, fn: Lens, concern_at: float, fail_at: float, weight: float = 1.0) -> tuple[dict[str, Lens], DataFrame]:

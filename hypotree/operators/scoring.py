@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from hypotree import defaults as D
 from hypotree.operators.board import board_summary
+from hypotree.operators.ranges import in_ranges, with_earlier, within
 from hypotree.operators.similarity import closest_earlier
 from hypotree.operators.tree import prune
 
@@ -53,11 +54,26 @@ def theory_confidence(nodes: DataFrame, scores: DataFrame, floor: float = D.PRUN
 
 
 def rank_hypotheses(nodes: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per theory: rank, dense rank and the margin to the next node."""
+    """Per theory: rank, dense rank and the margin to the next node, by confidence and then id.
+
+    Equal confidences are counted first, then placed in ranges, so neither a large theory nor a frequent confidence meets in one task.
+    """
     joined = nodes.select(F.col("id").alias("node_id"), "theory_id").join(scores.select("node_id", "confidence"), "node_id")
-    by = Window.partitionBy("theory_id").orderBy(F.desc("confidence"))
-    then = Window.partitionBy("theory_id").orderBy(F.desc("confidence"), "node_id")
-    return joined.select("theory_id", "node_id", "confidence", F.rank().over(by).alias("rank"), F.dense_rank().over(by).alias("dense_rank"), F.round(F.col("confidence") - F.lead("confidence").over(then), 6).alias("margin"))
+    levels = joined.groupBy("theory_id", "confidence").agg(F.count("*").alias("n"), F.max("node_id").alias("last_id"))
+    best = F.desc_nulls_last("confidence")
+    rows = with_earlier(in_ranges(levels, "theory_id", best), "theory_id", before=(F.sum("n"), "sum"), levels=(F.count("*"), "sum"))
+    inside = within("theory_id").orderBy(best)
+    ahead = F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.coalesce("before", F.lit(0))
+    tops = rows.groupBy("theory_id", "part").agg(F.max("confidence").alias("top"))  # a row for each range of a theory
+    following = tops.select("theory_id", "part", F.lead("top").over(Window.partitionBy("theory_id").orderBy("part")).alias("top"))
+    placed = rows.join(following, ["theory_id", "part"]).select(
+        "theory_id", "confidence", "last_id", (ahead + 1).cast("int").alias("rank"), (F.row_number().over(inside) + F.coalesce("levels", F.lit(0))).cast("int").alias("dense_rank"),
+        F.coalesce(F.lead("confidence").over(inside), "top").alias("next"),
+    )
+    same = (F.col("theory_id") == F.col("t")) & F.col("confidence").eqNullSafe(F.col("c"))
+    told = joined.join(placed.withColumnsRenamed({"theory_id": "t", "confidence": "c"}), same)
+    margin = F.round(F.col("confidence") - F.when(F.col("node_id") == F.col("last_id"), F.col("next")).otherwise(F.col("confidence")), 6)
+    return told.select("theory_id", "node_id", "confidence", "rank", "dense_rank", margin.alias("margin"))
 
 
 def confidence_history(evidence: DataFrame, source_quality: DataFrame, step: str = "hour") -> DataFrame:

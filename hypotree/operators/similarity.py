@@ -2,6 +2,9 @@
 
 Exact joins compare blocks: rows of either side are dealt to blocks of bounded size, each pair of blocks is a tile, one
 task's group, and a tile's cosines are one matrix product. Only pairs that count leave a tile. Neither side is broadcast.
+
+Vectors that are null, empty or hold nulls, NaN or infinite values take no part; vectors of different lengths are in no pair.
+A vector of zeros has a cosine of 0 with every other.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ def _units(table: pa.Table) -> np.ndarray:
 def _tiles(left: DataFrame, right: DataFrame, keep: Callable[..., np.ndarray], block: int) -> DataFrame:
     """(a, b, cos): left and right are (id, g, v). keep(cos, left groups, right groups, left ids, right ids): the mask of pairs to give out."""
     parts = [max(1, -(-df.count() // block)) for df in (left, right)]
-    deal = lambda df, own, other, n, m: df.select(F.col("id").alias("id"), F.col("g").alias("g"), F.col("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    deal = lambda df, own, other, n, m: df.select(F.col("id").alias("id"), F.col("g").alias("g"), F.col("v").alias("v"), F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
     rows, columns = deal(left, "i", "j", *parts), deal(right, "j", "i", parts[1], parts[0])
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -48,11 +51,11 @@ def _tiles(left: DataFrame, right: DataFrame, keep: Callable[..., np.ndarray], b
         x, y = np.nonzero(keep(cos, *(t["g"].to_numpy() for t in (a, b)), *(t["id"].to_numpy() for t in (a, b))))
         return pa.table({"a": a["id"].to_numpy()[x], "b": b["id"].to_numpy()[y], "cos": cos[x, y]})
 
-    return rows.groupBy("i", "j").cogroup(columns.groupBy("i", "j")).applyInArrow(tile, PAIRS)
+    return rows.groupBy("i", "j", "d").cogroup(columns.groupBy("i", "j", "d")).applyInArrow(tile, PAIRS)
 
 
 def _vectors(df: DataFrame, group: str | None = None) -> DataFrame:
-    """Vectors that are null, empty or hold nulls, NaN or infinite values take no part."""
+    """(id, g, v) of the vectors that take part."""
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usual = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~odd
     return df.where(usual).select("id", (F.col(group) if group else F.lit(0)).cast("long").alias("g"), F.col("embedding").cast("array<double>").alias("v"))
@@ -106,6 +109,26 @@ def closest_earlier(nodes: DataFrame, *, block: int = 2048) -> DataFrame:
     return _tiles(v, v, keep, block).groupBy("a").agg(F.max("cos").alias("cos"))
 
 
+def best_in_groups(rows: DataFrame, nodes: DataFrame, group: str, tau: float, *, block: int = 2048) -> DataFrame:
+    """(a, b, cos): for each row a and each group of nodes the node b of the highest cos, at least tau, ties to the smaller id.
+
+    A tile gives one node for each of its rows and groups; what the tiles give of a row and group is compared by Spark.
+    """
+
+    def keep(cos: np.ndarray, g: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        order = np.lexsort((b, h))
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        out, every = np.zeros(cos.shape, bool), np.arange(len(a))
+        for one in np.split(order, first[1:]):
+            best = one[cos[:, one].argmax(1)]
+            out[every, best] = cos[every, best] >= tau
+        return out
+
+    found = _tiles(_vectors(rows), _vectors(nodes, group), keep, block)
+    named = found.join(nodes.select(F.col("id").alias("b"), F.col(group).alias("_group")), "b")
+    return named.groupBy("a", "_group").agg(F.max(F.struct("cos", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"), "m.cos")
+
+
 def _between_theories(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = nodes.select("id", "theory_id")
     named = pairs.join(own.select(F.col("id").alias("a"), F.col("theory_id").alias("theory_a")), "a").join(own.select(F.col("id").alias("b"), F.col("theory_id").alias("theory_b")), "b")
@@ -143,13 +166,14 @@ def _centroids(x: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
 def fit_lists(nodes: DataFrame, tau: float, *, recall: float = 0.97, list_size: int = 128, max_lists: int = 2048, sample: int = 20_000, asked: int = 512) -> Lists:
     """Lists for pairs with cos >= tau, fit on a sample of at most `sample` vectors, the first by a hash of their ids.
 
-    As many lists as hold about list_size vectors each, at most max_lists. Probes: the least number with which, of the true pairs between
+    As many lists as hold about list_size vectors each, at most max_lists; for vectors of the most frequent length. Probes: the least number with which, of the true pairs between
     `asked` of the sample and the sample, a share of `recall` is found. Vectors without clusters need nearly all lists; then nothing is saved.
     """
     rows = _vectors(nodes)
-    n = rows.count()
-    if not n:
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    if not lengths:
         return Lists(np.zeros((1, 1)), 1)
+    n, rows = lengths[0].n, rows.where(F.size("v") == lengths[0].d)
     taken = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     x = _units(taken)
     lists = int(np.clip(n // list_size, 1, min(max_lists, len(x))))
@@ -167,13 +191,13 @@ def fit_lists(nodes: DataFrame, tau: float, *, recall: float = 0.97, list_size:
     return index._replace(probes=int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1)
 
 
-def _list_links(nodes: DataFrame, index: Lists, tau: float, block: int) -> DataFrame:
-    """(theory_a, theory_b, max_cos, n_pairs, compared): a tile's links by pairs of theories, and, in one row of each tile, its comparisons.
+def _list_links(vectors: DataFrame, index: Lists, tau: float, block: int) -> DataFrame:
+    """(theory_a, theory_b, max_cos, n_pairs, compared) over vectors (id, g, v) of the index's length: a tile's links by pairs of theories, and, in one row of each tile, its comparisons.
 
     A vector is a member of its nearest list and asks in the lists that it probes; a list's members and askers are dealt to blocks of bounded
     size, so that a list which holds a third of all vectors is many tiles. A pair that meets in two lists counts in the lower one.
     """
-    shared = nodes.sparkSession.sparkContext.broadcast(index)
+    shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,15 +206,16 @@ def _list_links(nodes: DataFrame, index: Lists, tau: float, block: int) -> DataF
                 width = np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(width), pa.array(near.ravel()))], ["id", "g", "v", "lists"])
 
-    rows = _vectors(nodes, "theory_id").mapInArrow(place, "id long, g long, v array<double>, lists array<int>")
+    rows = vectors.mapInArrow(place, "id long, g long, v array<double>, lists array<int>")
     rows = checkpointed(rows)
     asked = rows.select(F.posexplode("lists").alias("k", "list")).groupBy("list").agg(F.count_if(F.col("k") == 0).alias("members"), F.count("*").alias("askers"))
     parts = lambda column: F.greatest(F.lit(1), F.ceil(F.col(column) / block)).cast("int")
     sizes = F.broadcast(asked.select("list", parts("members").alias("n"), parts("askers").alias("m")))  # a row for each list
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.withColumn("list", F.col("lists")[0]).join(sizes, "list").select("list", dealt("n").alias("i"), each("m").alias("j"), "id", "g", "v", "lists")
-    askers = rows.withColumn("list", F.explode("lists")).join(sizes, "list").select("list", dealt("m").alias("j"), each("n").alias("i"), "id", "g", "v", F.col("lists")[0].alias("own"))
+    new = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  # columns of their own, as both sides come from the same rows
+    members = rows.withColumn("list", F.col("lists")[0]).join(sizes, "list").select(*new("list"), dealt("n").alias("i"), each("m").alias("j"), *new("id", "g", "v", "lists"))
+    askers = rows.withColumn("list", F.explode("lists")).join(sizes, "list").select(*new("list"), dealt("m").alias("j"), each("n").alias("i"), *new("id", "g", "v"), F.col("lists")[0].alias("own"))
 
     def tile(b: pa.Table, a: pa.Table) -> pa.Table:
         found: dict[str, np.ndarray] = {"theory_a": np.zeros(0, np.int64), "theory_b": np.zeros(0, np.int64), "max_cos": np.zeros(0), "n_pairs": np.zeros(0, np.int64)}
@@ -223,10 +248,17 @@ def link_lsh(nodes: DataFrame, tau: float = D.TAU_LINK, *, index: Lists | None =
 
     Every row is indexed; which pairs are missed depends on the lists alone, and fit_lists() chooses how many are looked into by the recall on its sample.
     """
-    found = _list_links(nodes, index or fit_lists(nodes, tau), tau, block)
-    return found.where("theory_a is not null").groupBy("theory_a", "theory_b").agg(F.max("max_cos").alias("max_cos"), F.sum("n_pairs").alias("n_pairs"))
+    index = index or fit_lists(nodes, tau)
+    rows, here = _vectors(nodes.where("theory_id is not null"), "theory_id"), F.size("v") == index.centroids.shape[1]
+    found = _list_links(rows.where(here), index, tau, block).where("theory_a is not null").drop("compared")
+    rest = rows.where(~here)
+    if not rest.isEmpty():  # vectors of other lengths than the index's, each compared with all of its length
+        pairs = _tiles(rest, rest, lambda c, g, h, *_: (c >= tau) & (g[:, None] < h[None, :]), block)
+        found = found.unionByName(_between_theories(pairs, nodes))
+    return found.groupBy("theory_a", "theory_b").agg(F.max("max_cos").alias("max_cos"), F.sum("n_pairs").alias("n_pairs"))
 
 
 def comparisons(nodes: DataFrame, tau: float, index: Lists, *, block: int = 2048) -> int:
     """How many pairs link_lsh() with that index compares."""
-    return _list_links(nodes, index, tau, block).agg(F.sum("compared")).first()[0] or 0
+    rows = _vectors(nodes.where("theory_id is not null"), "theory_id").where(F.size("v") == index.centroids.shape[1])
+    return _list_links(rows, index, tau, block).agg(F.sum("compared")).first()[0] or 0

@@ -101,22 +101,22 @@ def expand_level(open_nodes: DataFrame, candidates: DataFrame, branch: int = D.B
 def expand_to_budget(roots: DataFrame, events: DataFrame, depth: int = D.DEPTH, branch: int = D.BRANCH, tau: float = D.TAU) -> DataFrame:
     """Grows trees from roots (id, theory_id, embedding) to the budgets; events become nodes: theory_id, depth, parent_id, node_id, event_id, cos.
 
-    Level by level: each open node's supporting events, without those the theory has; an event goes to the parent of the
-    highest cos (then the lower parent id); each parent takes its best `branch`. Levels are checkpointed.
+    Level by level: each event that the theory hasn't used goes to the open node of the highest cos (then the lower id), of those
+    with at least tau; each node takes the best `branch` of what goes to it. Levels are written tables. An event leaves a tile with
+    its best node of each theory only.
     """
-    from hypotree.operators.similarity import link_evidence
+    from hypotree.operators.similarity import best_in_groups
     from hypotree.sources.sinks import checkpointed
 
     level = roots.select("id", "theory_id", "embedding").where("embedding is not null")
     grown = level.select("theory_id", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent_id"), F.col("id").alias("node_id"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("cos"))
     grown = checkpointed(grown)
     for k in range(1, depth + 1):
-        found = link_evidence(level, events, tau).where("stance = 1").select("node_id", "event_id", "cos").join(level.select(F.col("id").alias("node_id"), "theory_id"), "node_id")
-        used = grown.where("event_id is not null").select("theory_id", "event_id")
-        free = found.join(used, ["theory_id", "event_id"], "left_anti")
-        owner = Window.partitionBy("theory_id", "event_id").orderBy(F.desc("cos"), "node_id")
+        chosen = best_in_groups(events, level, "theory_id", tau).where("cos > 0").select(F.col("a").alias("event_id"), F.col("b").alias("node_id"), "cos")
+        owned = chosen.join(level.select(F.col("id").alias("node_id"), "theory_id"), "node_id")
+        free = owned.join(grown.where("event_id is not null").select("theory_id", "event_id"), ["theory_id", "event_id"], "left_anti")
         best = Window.partitionBy("node_id").orderBy(F.desc("cos"), "event_id")
-        taken = free.withColumn("o", F.row_number().over(owner)).where("o = 1").withColumn("n", F.row_number().over(best)).where(F.col("n") <= branch)
+        taken = free.withColumn("n", F.row_number().over(best)).where(F.col("n") <= branch)
         # a grown node's id: unique for theory and event, above all given ids
         new = taken.select("theory_id", F.lit(k).alias("depth"), F.col("node_id").alias("parent_id"), (F.lit(1_000_000_000_000) * (F.col("theory_id") + 1) + F.col("event_id")).alias("node_id"), "event_id", "cos")
         new = checkpointed(new)

@@ -89,6 +89,20 @@ def _lens(n: int) -> str:
     return f"SELECT node_id, lens, verdict, severity FROM verdicts WHERE lens_no = {n}"
 
 
+def _expanded(depth: int) -> str:
+    """Levels of expansion, one after another."""
+    grown = ["g0 AS MATERIALIZED (SELECT theory_id, 0 AS depth, NULL::BIGINT AS parent_id, id AS node_id, NULL::BIGINT AS event_id, NULL::DOUBLE AS cos, embedding FROM nodes WHERE parent_id IS NULL)"]
+    for k in range(1, depth + 1):
+        used = " UNION ALL ".join(f"SELECT theory_id, event_id FROM g{j}" for j in range(k))
+        cos = _COS.format(a="p.embedding", b="w.embedding")
+        grown.append(f"""f{k} AS MATERIALIZED (SELECT p.theory_id, p.node_id, w.id AS event_id, w.embedding, round({cos}, 9) AS cos FROM g{k - 1} p, world w WHERE w.embedding IS NOT NULL AND round({cos}, 9) >= {D.TAU}),
+        o{k} AS (SELECT *, row_number() OVER (PARTITION BY theory_id, event_id ORDER BY cos DESC, node_id) AS o FROM f{k} WHERE (theory_id, event_id) NOT IN (SELECT (theory_id, event_id) FROM ({used}) WHERE event_id IS NOT NULL)),
+        t{k} AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY cos DESC, event_id) AS n FROM o{k} WHERE o = 1),
+        g{k} AS MATERIALIZED (SELECT theory_id, {k} AS depth, node_id AS parent_id, 1000000000000 * (theory_id + 1) + event_id AS node_id, event_id, cos, embedding FROM t{k} WHERE n <= {D.BRANCH})""")
+    every = " UNION ALL ".join(f"SELECT theory_id, depth, parent_id, node_id, event_id, round(cos, 6) AS cos FROM g{k}" for k in range(depth + 1))
+    return f", {', '.join(grown)} {every}"
+
+
 def _feed(step: int) -> str:
     """Windows of an hour that begin every `step` minutes; closed ones end at or before the newest time less an hour."""
     shift = ", ".join(str(k) for k in range(60 // step))
@@ -141,6 +155,14 @@ _QUERIES: dict[str, str] = {
         UNION ALL SELECT 'unreachable', id FROM part WHERE id NOT IN (SELECT id FROM steps)""",
     "tree_paths": "SELECT id, theory_id, path, row_number() OVER (PARTITION BY theory_id ORDER BY path)::INT AS position FROM walk",
     "subtree_rollup": "SELECT a AS id, count(*) AS size, max(score) AS max_score, round(avg(score), 6) AS mean_score FROM (SELECT id, unnest(chain) AS a FROM walk) JOIN nodes USING (id) GROUP BY a",
+    "key_audit": """SELECT kind, node_id FROM (
+        WITH RECURSIVE moved AS MATERIALIZED (SELECT id, theory_id, CASE WHEN id % 35 = 0 THEN id WHEN id % 17 = 0 AND parent_id IS NOT NULL THEN -1 WHEN id % 13 = 0 AND parent_id IS NOT NULL THEN (id + 5) % 25 ELSE parent_id END AS parent_id FROM nodes),
+        above(id, up) AS (SELECT id, parent_id FROM moved WHERE parent_id IS NOT NULL UNION SELECT a.id, m.parent_id FROM above a JOIN moved m ON m.id = a.up WHERE m.parent_id IS NOT NULL)
+        SELECT 'cycle' AS kind, id AS node_id FROM above WHERE id = up
+        UNION ALL SELECT 'repeated', id FROM moved WHERE id % 55 = 0
+        UNION ALL SELECT 'no_parent', m.id FROM moved m LEFT JOIN moved p ON p.id = m.parent_id WHERE m.parent_id IS NOT NULL AND p.id IS NULL
+        UNION ALL SELECT 'other_theory', m.id FROM moved m JOIN moved p ON p.id = m.parent_id WHERE p.theory_id <> m.theory_id)""",
+    "expand_to_budget": _expanded(D.DEPTH),
     "branch_stats": """SELECT w.theory_id, w.depth, count(*) AS n_nodes, count(*) FILTER (WHERE k.n IS NULL) AS leaves, round(avg(coalesce(k.n, 0)), 6) AS mean_children, max(coalesce(k.n, 0)) AS max_children, round(avg(n.score), 6) AS mean_score
         FROM walk w JOIN nodes n USING (id) LEFT JOIN kids k USING (id) GROUP BY w.theory_id, w.depth""",
     "lens_dispatch": "SELECT id AS node_id, lens_no, lens FROM nodes CROSS JOIN registry",

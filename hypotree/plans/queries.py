@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hypotree import defaults as D
-from hypotree.operators import board, embed, lenses, refine, requests, scoring, similarity, tree
+from hypotree.operators import board, embed, lenses, refine, requests, scoring, similarity, statistics, tree
 from hypotree.sources import tables as S
 from hypotree.sources.tables import World
 from hypotree.streaming import streams
@@ -31,8 +31,8 @@ def query(f: Callable[[World], DataFrame]) -> Callable[[World], DataFrame]:
     return f
 
 
-def _scores(w: World, evidence: DataFrame | None = None) -> DataFrame:
-    return scoring.score_nodes(w.nodes, w.evidence if evidence is None else evidence, w.source_quality, board.run_board(w), w.registry)
+def _scores(w: World) -> DataFrame:
+    return scoring.confidence(board.board_summary(board.run_board(w), w.registry), w.facts.select("node_id", "plausibility"), scoring.novelty(w.nodes))
 
 
 def _scored_theories(w: World) -> DataFrame:
@@ -184,7 +184,7 @@ def link_theories_lsh(w: World) -> DataFrame:
 
 @query
 def link_evidence(w: World) -> DataFrame:
-    return w.evidence
+    return similarity.link_evidence(w.nodes, w.events)
 
 
 # tree
@@ -238,6 +238,15 @@ def subtree_rollup(w: World) -> DataFrame:
     return tree.subtree_rollup(w.nodes)
 
 
+@query
+def key_audit(w: World) -> DataFrame:
+    """Nodes whose keys were made unsound: parents swapped into cycles, missing, of another theory, and repeated rows."""
+    parent = F.col("parent_id")
+    moved = F.when(F.col("id") % 35 == 0, F.col("id")).when((F.col("id") % 17 == 0) & parent.isNotNull(), -1).when((F.col("id") % 13 == 0) & parent.isNotNull(), (F.col("id") + 5) % 25).otherwise(parent)
+    nodes = w.node_rows.withColumn("parent_id", moved)
+    return tree.key_audit(nodes.unionByName(nodes.where("id % 55 = 0")))
+
+
 @query
 def branch_stats(w: World) -> DataFrame:
     return tree.branch_stats(w.nodes)
@@ -350,10 +359,14 @@ def affected_theories(w: World) -> DataFrame:
 
 @query
 def rescore_merge(w: World) -> DataFrame:
-    """Theories with new evidence are scored anew; the rest would keep the plausibility-only score it had."""
-    state = scoring.plausibility(w.nodes, w.evidence, w.source_quality).select("node_id", F.round("plausibility", 6).alias("confidence"), F.lit(1).cast("long").alias("scored_at"))
-    fresh = refine.new_evidence(w.evidence, refine.last_scored(w, D.CUT))
-    return refine.rescore_merge(state, w, refine.affected_theories(w.theories, w.nodes, fresh), 2)
+    """Theories with new evidence are scored anew; the rest would keep the plausibility-only score it had.
+
+    The statistics that the last scoring would have kept, of the evidence that it saw, are added to those of the new evidence.
+    """
+    seen, late = w.evidence.where(F.col("observed_at") <= F.lit(D.CUT).cast("timestamp")), refine.new_evidence(w.evidence, refine.last_scored(w, D.CUT))
+    kept, fresh = (statistics.of_evidence(part, w.node_rows, w.planted) for part in (seen, late))
+    state = w.facts.select("node_id", F.round("plausibility", 6).alias("confidence"), F.lit(1).cast("long").alias("scored_at"))
+    return refine.rescore_merge(state, w, refine.affected_theories(w.theories, w.node_rows, late), 2, statistics.added(kept, fresh))
 
 
 @query
@@ -439,5 +452,5 @@ def flagship(spark: SparkSession, path: str) -> DataFrame:
     """Every node with its confidence, worst lens and rank: the whole board over all evidence."""
     w = World(spark, path)
     verdicts = board.run_board(w)
-    scores = scoring.score_nodes(w.nodes, w.evidence, w.source_quality, verdicts, w.registry)
+    scores = _scores(w)
     return _tidy(scoring.rank_hypotheses(w.nodes, scores).join(board.worst_lens(verdicts), "node_id", "left"))

@@ -40,24 +40,28 @@ def counting(df: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, dict[
     return found, seen.get
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system for a path, so that any kind of shared folder works, and the path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _at(spark, path)
+    return files.exists(target)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of checkpointed() that nothing reads any more."""
     for one in tables:
         if path := one.__dict__.get("_written"):
-            spark = one.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def newest_folder(spark: SparkSession, path: str, below: int) -> str | None:
-    """Of the folders of path that are named by numbers, the complete one of the highest number below the given one."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(top):
-        return None
-    names = [x.getPath().getName() for x in files.listStatus(top)]
-    done = [int(n) for n in names if n.isdigit() and int(n) < below and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return f"{path}/{max(done)}" if done else None
+            files, target = _at(one.sparkSession, path)
+            files.delete(target, True)
 
 
 def write_events(events: DataFrame, path: str) -> None:

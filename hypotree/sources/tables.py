@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cached_property, reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql.window import Window
 
 from hypotree import defaults as D
 from hypotree.functions.expressions import text_hash, title
+from hypotree.sources.sinks import checkpointed
+
+if TYPE_CHECKING:
+    from hypotree.operators.statistics import Statistics
 
 
 def raw(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -58,13 +63,43 @@ class World:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        """Read by all lenses and scores, so it is kept; a lost part is worked out again."""
+        """Read by many, so it is written once."""
         from hypotree.operators.similarity import link_evidence
 
-        return link_evidence(self.nodes, self.events, D.TAU).persist()
+        return checkpointed(link_evidence(self.nodes, self.events, D.TAU))
+
+    @cached_property
+    def node_rows(self) -> DataFrame:
+        """Nodes without their vectors and texts: id, theory_id, parent_id, lang, score."""
+        return checkpointed(self.nodes.select("id", "theory_id", "parent_id", "lang", "score"))
+
+    @cached_property
+    def event_rows(self) -> DataFrame:
+        """Events without their vectors and texts: id, source, lang and the hash of the normalised text."""
+        return checkpointed(self.events.select("id", "source", "lang", text_hash(F.col("body")).alias("hash")))
+
+    @cached_property
+    def planted(self) -> DataFrame:
+        from hypotree.operators.statistics import planted_events
+
+        return planted_events(self.event_rows)
+
+    @cached_property
+    def statistics(self) -> Statistics:
+        """Of all evidence."""
+        from hypotree.operators.statistics import of_evidence
+
+        return of_evidence(self.evidence, self.node_rows, self.planted)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """statistics.node_facts() of all nodes: a row each, written once."""
+        from hypotree.operators.statistics import node_facts
+
+        return checkpointed(node_facts(self.node_rows, self.statistics, self.source_quality, self.class_priors))
 
     def _prior(self, by: str) -> DataFrame:
-        told = self.events.select("id", by).join(self.labels, F.col("id") == F.col("doc_id"), "left")
+        told = self.event_rows.select("id", by).join(self.labels, F.col("id") == F.col("doc_id"), "left")
         return told.groupBy(by).agg(((F.count_if(F.col("quality") == 1) + 1) / (F.count("quality") + 2)).alias("r"))
 
     @cached_property
@@ -72,12 +107,6 @@ class World:
         """(source, r): the smoothed share of good ones among its labelled world events."""
         return self._prior("source")
 
-    def narrowed(self, nodes: DataFrame, evidence: DataFrame) -> World:
-        """This world with other nodes and evidence; all else is shared."""
-        found = World(self.spark, self.path)
-        found.__dict__.update(self.__dict__, nodes=nodes, evidence=evidence)
-        return found
-
     @cached_property
     def class_priors(self) -> DataFrame:
         """(lang, p): the same by reference class."""

@@ -1,23 +1,29 @@
 """Streams: ingest with deduplication, windowed feeds, running evidence state, and refinement per micro-batch.
 
-All run over what is there and end (availableNow); sinks and checkpoints lie in the shared folder. A batch that is run
-again after a failure reads the newest complete state before its own number, found in the file system, and writes to the
-same folder of its own, so state depends on batch ids only.
+All run over what is there and end (availableNow); sinks and checkpoints lie in the shared folder. State is kept as parts: a
+batch writes a folder of its own, which holds what it adds and which a second run of it replaces, so what a batch writes
+follows the batch and depends on its number only. Parts are folded together eight at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hypotree import defaults as D
-from hypotree.operators.similarity import link_evidence
 from hypotree.operators.refine import affected_theories, rescored
-from hypotree.sources.sinks import new_folder, newest_folder
-from hypotree.sources.tables import World, raw, upsert
+from hypotree.operators.scoring import novelty
+from hypotree.operators.similarity import link_evidence
+from hypotree.operators.statistics import SUMS, Statistics, of_evidence
+from hypotree.sources.sinks import checkpointed, complete, dropped, exists, new_folder
+from hypotree.sources.tables import World, raw
+
+#: Parts that are folded into one, and runs of parts in the same way.
+FOLD = 8
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -32,89 +38,179 @@ def _finish(writer) -> None:
     query.awaitTermination()
 
 
-def ingest_stream(spark: SparkSession, path: str) -> DataFrame:
+class Parts:
+    """A table to which each batch adds a part. Folder 0/n is batch n's; folder k/n holds the FOLD^k parts from n on, folded.
+
+    A reader takes the largest complete folders, a few for each power of FOLD; a row is written again once for each power.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, schema: T.StructType | str, fold: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+        self.spark, self.fold, self.path = spark, fold, new_folder(spark, label)
+        self.schema = spark.createDataFrame([], schema).schema
+        self.end = 0
+
+    def _folders(self, first: int, before: int, below: int = 64) -> list[str]:
+        """Complete folders of the parts from first on, up to before, of levels under `below`."""
+        out, at = [], first
+        while at < before:
+            level = max(k for k in range(below) if k == 0 or at % FOLD**k == 0 and at + FOLD**k <= before)
+            while level and not complete(self.spark, f"{self.path}/{level}/{at}"):
+                level -= 1
+            if level or complete(self.spark, f"{self.path}/0/{at}"):
+                out.append(f"{self.path}/{level}/{at}")
+            at += FOLD**level
+        return out
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The table after the batches below that number (all, if not given)."""
+        return self.fold(self._read(self._folders(0, self.end if before is None else before)))
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        kinds = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
+        df.select(*kinds).write.mode("overwrite").parquet(f"{self.path}/0/{batch}")
+        self.end = max(self.end, batch + 1)
+        level = max(k for k in range(64) if (batch + 1) % FOLD**k == 0)
+        if level:
+            first = batch + 1 - FOLD**level
+            self.fold(self._read(self._folders(first, batch + 1, level))).select(*kinds).write.mode("overwrite").parquet(f"{self.path}/{level}/{first}")
+
+
+def summed(*keys: str) -> Callable[[DataFrame], DataFrame]:
+    """A fold that adds up all columns but the keys."""
+    return lambda df: df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in df.columns if c not in keys])
+
+
+def latest(key: str, order: str) -> Callable[[DataFrame], DataFrame]:
+    """A fold that keeps, of the rows of a key, the one of the highest `order`."""
+    return lambda df: df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+
+
+class SeenIds:
+    """The ids that earlier batches had, in folders by range of ids, so that a batch reads only those ranges that its own ids lie in."""
+
+    def __init__(self, spark: SparkSession, span: int = 1 << 16) -> None:
+        self.spark, self.span, self.path = spark, span, new_folder(spark, "seen")
+
+    def earlier(self, buckets: list[int], batch: int) -> DataFrame:
+        """(id) of the given ranges, of batches below that number."""
+        folders = [f for f in (f"{self.path}/bucket={b}" for b in buckets) if exists(self.spark, f)]
+        if not folders:
+            return self.spark.createDataFrame([], "id long")
+        return self.spark.read.schema("id long, bucket long, batch long").option("basePath", self.path).parquet(*folders).where(F.col("batch") < batch).select("id")
+
+    def unseen(self, rows: DataFrame, batch: int) -> DataFrame:
+        """rows, one for each id, without those whose id an earlier batch had; their ids count as seen from now on. Null ids always pass."""
+        bucket = F.expr(f"id div {self.span}")
+        own = [r.b for r in rows.where("id is not null").select(bucket.alias("b")).distinct().collect()]  # ranges, of which a batch has few
+        fresh = checkpointed(rows.join(self.earlier(own, batch), "id", "left_anti"))
+        ids = fresh.where("id is not null").select("id", bucket.alias("bucket"), F.lit(batch).cast("long").alias("batch")).repartition("bucket", F.pmod("id", F.lit(4)))
+        ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(self.path)
+        return fresh
+
+
+def ingest_stream(spark: SparkSession, path: str, span: int = 1 << 16) -> DataFrame:
     """The table that a deduplicating ingest of the stream leaves: each batch adds the rows whose id no earlier batch had.
 
-    There is no watermark, so late rows are kept however late; of a batch's rows that repeat an id the latest stays. Batch
-    n owns the partition batch=n, which a second run of it replaces.
+    There is no watermark, so late rows are kept however late; of a batch's rows that repeat an id the latest stays.
     """
-    out, stream = new_folder(spark, "ingest"), event_stream(spark, path)
+    stream = event_stream(spark, path)
+    rows, seen = Parts(spark, "ingest", stream.schema), SeenIds(spark, span)
 
     def add(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy("id").agg(F.max_by(F.struct(*batch.columns), F.struct("observed_at", "event_type")).alias("r")).select("r.*")
-        if newest_folder(spark, f"{out}/rows", number):
-            earlier = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(*[f"{out}/rows/{k}" for k in range(number)])
-            fresh = fresh.join(earlier.select("id"), "id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/rows/{number}")
+        one_each = batch.groupBy("id").agg(F.max_by(F.struct(*batch.columns), F.struct("observed_at", "event_type")).alias("r")).select("r.*")
+        fresh = seen.unseen(one_each, number)
+        rows.write(fresh, number)
+        dropped(fresh)
 
-    _finish(stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/state"))
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
+    _finish(stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{rows.path}-state"))
+    return rows.read()
 
 
-def feed_windows(spark: SparkSession, path: str, size: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """(start, event_type, n): counts of windows that the watermark has closed."""
-    out = new_folder(spark, "feed")
-    stream = event_stream(spark, path).withWatermark("observed_at", delay)
-    counts = stream.groupBy(F.window("observed_at", size, slide or size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
-    _finish(counts.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-state"))
-    return spark.read.parquet(out)
+class Feed(NamedTuple):
+    """windows: (start, event_type, n) of closed windows. changes: (batch, start, event_type, n, correction): what each batch made known: windows
+    as they close, and, as corrections, windows closed before that late rows added to. The last of a window's changes is its count.
+    """
 
+    windows: DataFrame
+    changes: DataFrame
 
-class BatchState:
-    """A table that each batch replaces: batch n reads the newest complete folder below n and writes folder n."""
 
-    def __init__(self, spark: SparkSession, label: str, schema: T.StructType) -> None:
-        self.spark, self.schema, self.path = spark, schema, new_folder(spark, label)
+def feed(spark: SparkSession, path: str, size: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> Feed:
+    """Counts of the stream by window. A window is closed when the newest time, less the delay, has passed its end; rows later than that still count."""
+    kinds = "start timestamp, end timestamp, event_type string, n long"
+    counts = Parts(spark, "feed-counts", kinds, summed("start", "end", "event_type"))
+    times = Parts(spark, "feed-times", "newest timestamp", lambda df: df.agg(F.max("newest").alias("newest")))
+    changes = Parts(spark, "feed-changes", "batch long, start timestamp, event_type string, n long, correction boolean")
 
-    def read(self, before: int = 1 << 62) -> DataFrame:
-        found = newest_folder(self.spark, self.path, before)
-        return self.spark.createDataFrame([], self.schema) if found is None else self.spark.read.schema(self.schema).parquet(found)
+    def closed(rows: DataFrame, newest: DataFrame, name: str) -> DataFrame:
+        """rows with whether they are closed by that time; newest is one row."""
+        passed = F.timestamp_micros(F.floor(F.unix_micros("newest") / 1000).cast("long") * 1000) - F.expr(f"interval {delay}")  # in milliseconds, as watermarks are
+        return rows.crossJoin(F.broadcast(newest)).withColumn(name, F.coalesce(F.col("end") <= passed, F.lit(False))).drop("newest")
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{batch}")
+    def add(batch: DataFrame, number: int) -> None:
+        window = F.window("observed_at", size, slide or size)
+        part = batch.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
+        counts.write(part, number)
+        times.write(batch.agg(F.max("observed_at").alias("newest")), number)
+        before, now = times.read(number), times.read(number + 1)
+        touched = counts._read([f"{counts.path}/0/{number}"]).select("start", "event_type", F.lit(True).alias("touched"))
+        rows = closed(closed(counts.read(number + 1), before, "was"), now, "is").join(touched, ["start", "event_type"], "left").where("is and (touched or not was)")
+        changes.write(rows.select(F.lit(number).alias("batch"), "start", "event_type", "n", F.col("was").alias("correction")), number)
+
+    _finish(event_stream(spark, path).where("observed_at is not null").writeStream.foreachBatch(add).option("checkpointLocation", f"{counts.path}-state"))
+    return Feed(closed(counts.read(), times.read(), "is").where("is").select("start", "event_type", "n"), changes.read())
+
+
+def feed_windows(spark: SparkSession, path: str, size: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """(start, event_type, n) of closed windows; every row counts, in whatever order files arrive."""
+    return feed(spark, path, size, slide, delay).windows
 
 
 def evidence_state(world: World) -> DataFrame:
-    """(node_id, n_support, n_contra, s, c): running sums, kept by the stream's own state, over evidence of arriving events."""
-    spark = world.spark
+    """(node_id, n_support, n_contra, s, c): sums over the evidence of arriving events; a batch writes the sums of its own."""
     links = world.evidence.select(F.col("event_id").alias("id"), "node_id", "cos", "stance")
-    joined = event_stream(spark, world.path).join(links, "id")
-    sums = joined.groupBy("node_id").agg(F.count_if(F.col("stance") == 1).alias("n_support"), F.count_if(F.col("stance") == -1).alias("n_contra"), F.sum(F.when(F.col("stance") == 1, F.col("cos")).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("stance") == -1, -F.col("cos")).otherwise(0.0)).alias("c"))
-    state = BatchState(spark, "evidence-state", sums.schema)
+    total = lambda stance: F.sum(F.when(F.col("stance") == stance, F.abs("cos")).otherwise(0.0))
+    state = Parts(world.spark, "evidence-state", "node_id long, n_support long, n_contra long, s double, c double", summed("node_id"))
 
-    def upsert_batch(batch: DataFrame, number: int) -> None:
-        kept = state.read(number).join(batch.select("node_id"), "node_id", "left_anti")
-        state.write(kept.unionByName(batch), number)
+    def add(batch: DataFrame, number: int) -> None:
+        counts = [F.count_if(F.col("stance") == 1).alias("n_support"), F.count_if(F.col("stance") == -1).alias("n_contra")]
+        state.write(batch.select("id").join(links, "id").groupBy("node_id").agg(*counts, total(1).alias("s"), total(-1).alias("c")), number)
 
-    _finish(sums.writeStream.outputMode("update").foreachBatch(upsert_batch).option("checkpointLocation", f"{state.path}-state"))
+    _finish(event_stream(world.spark, world.path).writeStream.foreachBatch(add).option("checkpointLocation", f"{state.path}-state"))
     return state.read()
 
 
 def refine_stream(world: World, embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node_id, resilience, plausibility, novelty, confidence) after all micro-batches, as scoring.score_nodes() over all events.
+    """(node_id, resilience, plausibility, novelty, confidence) after all micro-batches, as by the whole board over all events.
 
-    Each batch links its events to the nodes and adds that evidence, finds the theories it bears on, scores their nodes
-    anew over all evidence so far, and merges. embedder: gives events (id, title, body) without a vector one, as (id,
-    embedding); without it they bring no evidence.
+    Each batch links its new events to the nodes, adds the sums of that evidence to the statistics so far, and scores the nodes of the
+    theories that it bears on from the statistics. embedder: gives events (id, title, body) without a vector one, as (id, embedding);
+    without it they bring no evidence.
     """
     spark, nodes = world.spark, world.nodes
-    empty = link_evidence(nodes.limit(0), world.events.limit(0), D.TAU)
-    evidence = BatchState(spark, "refine-evidence", empty.schema)
-    kinds = [("node_id", T.LongType()), *((c, T.DoubleType()) for c in ("resilience", "plausibility", "novelty", "confidence")), ("scored_at", T.LongType())]
-    state = BatchState(spark, "refine-state", T.StructType([T.StructField(*k) for k in kinds]))
+    sums = Parts(spark, "refine-sums", "node_id long, source string, n long, n_support long, s double, c double, planted double", summed("node_id", "source"))
+    overlap = Parts(spark, "refine-overlap", "node_id long, both long, against long", summed("node_id"))
+    assert [f.name for f in sums.schema][2:] == list(SUMS)
+    scores = Parts(spark, "refine-scores", "node_id long, resilience double, plausibility double, novelty double, confidence double, scored_at long", latest("node_id", "scored_at"))
+    seen, novel = SeenIds(spark), checkpointed(novelty(nodes))
 
     def refine(batch: DataFrame, number: int) -> None:
-        arrived = world.events.join(batch.select("id"), "id", "left_semi")
+        new = seen.unseen(batch.select("id").distinct(), number)
+        arrived = world.events.join(new, "id", "left_semi")
         if embedder is not None:
             made = embedder(arrived.where("embedding is null").select("id", "title", "body")).select("id", F.col("embedding").alias("made"))
             arrived = arrived.join(made, "id", "left").withColumn("embedding", F.coalesce("embedding", "made")).drop("made")
-        old = evidence.read(number)
-        fresh = link_evidence(nodes, arrived, D.TAU).join(old.select("node_id", "event_id"), ["node_id", "event_id"], "left_anti").select(empty.columns)
-        evidence.write(old.unionByName(fresh), number)
-        every = evidence.read(number + 1)
-        added = every.join(old.select("node_id", "event_id"), ["node_id", "event_id"], "left_anti")
-        scored = rescored(world, every, affected_theories(world.theories, nodes, added))
-        state.write(upsert(state.read(number), scored.withColumn("scored_at", F.lit(number).cast("long")), ["node_id"], "scored_at"), number)
-
-    _finish(event_stream(spark, world.path).writeStream.foreachBatch(refine).option("checkpointLocation", f"{state.path}-state"))
-    return state.read().drop("scored_at")
+        fresh = checkpointed(link_evidence(nodes, arrived, D.TAU))
+        part = of_evidence(fresh, world.node_rows, world.planted)
+        sums.write(part.sums, number)
+        overlap.write(part.overlap, number)
+        stats = Statistics(sums.read(number + 1), overlap.read(number + 1))
+        scored = rescored(world, stats, affected_theories(world.theories, world.node_rows, fresh), novel)
+        scores.write(scored.withColumn("scored_at", F.lit(number)), number)
+        dropped(new, fresh)
+
+    _finish(event_stream(spark, world.path).writeStream.foreachBatch(refine).option("checkpointLocation", f"{scores.path}-state"))
+    return scores.read().drop("scored_at")
