@@ -9,13 +9,15 @@ A vector of zeros has a cosine of 0 with every other.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from hypotree import defaults as D
@@ -38,53 +40,206 @@ def _units(table: pa.Table) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def _tiles(left: DataFrame, right: DataFrame, keep: Callable[..., np.ndarray], block: int) -> DataFrame:
-    """(a, b, cos): left and right are (id, g, v). keep(cos, left groups, right groups, left ids, right ids): the mask of pairs to give out."""
-    parts = [max(1, -(-df.count() // block)) for df in (left, right)]
-    deal = lambda df, own, other, n, m: df.select(F.col("id").alias("id"), F.col("g").alias("g"), F.col("v").alias("v"), F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
-    rows, columns = deal(left, "i", "j", *parts), deal(right, "j", "i", parts[1], parts[0])
+class Lists(NamedTuple):
+    """An index of unit vectors: their centroids' lists, and how many lists each vector looks into."""
 
-    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
-        cos = np.round(_units(a) @ _units(b).T, 9)
-        x, y = np.nonzero(keep(cos, *(t["g"].to_numpy() for t in (a, b)), *(t["id"].to_numpy() for t in (a, b))))
-        return pa.table({"a": a["id"].to_numpy()[x], "b": b["id"].to_numpy()[y], "cos": cos[x, y]})
+    centroids: np.ndarray
+    probes: int
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest lists of each row, the nearest first, ties to the lower number."""
+        return np.argsort(-np.round(x @ self.centroids.T, 9), axis=1, kind="stable")[:, :n]
+
+
+def _centroids(x: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means from evenly chosen rows; a centroid that loses all its rows stays where it was."""
+    c = x[np.linspace(0, len(x) - 1, n).astype(int)]
+    for _ in range(rounds):
+        own = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), c)
+    return c
 
-    return rows.groupBy("i", "j", "d").cogroup(columns.groupBy("i", "j", "d")).applyInArrow(tile, PAIRS)
 
+def fit_lists(nodes: DataFrame, tau: float, *, recall: float = 0.97, list_size: int = 128, max_lists: int = 2048, sample: int = 20_000, asked: int = 512) -> Lists:
+    """Lists for pairs with cos >= tau, fit on a sample of at most `sample` vectors, the first by a hash of their ids.
 
-def _vectors(df: DataFrame, group: str | None = None) -> DataFrame:
-    """(id, g, v) of the vectors that take part."""
+    As many lists as hold about list_size vectors each, at most max_lists; for vectors of the most frequent length. Probes: the least number with which, of the true pairs between
+    `asked` of the sample and the sample, a share of `recall` is found. Vectors without clusters need nearly all lists; then nothing is saved.
+    """
+    rows = _vectors(nodes)
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    if not lengths:
+        return Lists(np.zeros((1, 1)), 1)
+    n, rows = lengths[0].n, rows.where(F.size("v") == lengths[0].d)
+    taken = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    x = _units(taken)
+    lists = int(np.clip(n // list_size, 1, min(max_lists, len(x))))
+    index = Lists(_centroids(x, lists), lists)
+    if not asked:
+        return index
+    own = index.nearest(x, 1)[:, 0]
+    some = np.linspace(0, len(x) - 1, min(asked, len(x))).astype(int)
+    true = np.argwhere(x[some] @ x.T >= tau)
+    true = true[some[true[:, 0]] != true[:, 1]]
+    if not len(true):
+        return index._replace(probes=1)
+    a, b = some[true[:, 0]], true[:, 1]
+    near = x @ index.centroids.T
+    place = lambda i, j: (near[i] > near[i, own[j]][:, None]).sum(1)
+    needed = np.concatenate([np.minimum(place(a[k : k + 65_536], b[k : k + 65_536]), place(b[k : k + 65_536], a[k : k + 65_536])) for k in range(0, len(a), 65_536)])
+    return index._replace(probes=int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1)
+
+
+def _vectors(df: DataFrame, group: str | None = None, *more: str) -> DataFrame:
+    """(id, g, v, *more) of the vectors that take part."""
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usual = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~odd
-    return df.where(usual).select("id", (F.col(group) if group else F.lit(0)).cast("long").alias("g"), F.col("embedding").cast("array<double>").alias("v"))
+    return df.where(usual).select("id", (F.col(group) if group else F.lit(0)).cast("long").alias("g"), F.col("embedding").cast("array<double>").alias("v"), *more)
+
+
+def _none(kinds: dict[str, pa.DataType]) -> pa.Table:
+    return pa.table({k: pa.array([], v) for k, v in kinds.items()})
+
+
+def _compared(a: pa.Table, b: pa.Table, keep: Callable[..., np.ndarray], carry: Sequence[str]) -> pa.Table:
+    """The pairs of two blocks that keep() marks."""
+    if not a.num_rows or not b.num_rows:
+        return _none({"a": pa.int64(), "b": pa.int64(), "cos": pa.float64()} | {c: b.schema.field(c).type for c in carry})
+    cos = np.round(_units(a) @ _units(b).T, 9)
+    x, y = np.nonzero(keep(cos, *(t["g"].to_numpy() for t in (a, b)), *(t["id"].to_numpy() for t in (a, b))))
+    other = pa.array(y)
+    return pa.table({"a": a["id"].to_numpy()[x], "b": b["id"].to_numpy()[y], "cos": cos[x, y]} | {c: b[c].combine_chunks().take(other) for c in carry})
+
+
+Reach = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _row_best(cos: np.ndarray, k: int) -> np.ndarray:
-    """The mask of values that are among the k highest of their row, all ties included."""
+def list_tiles(index: Lists, left: dict[int, float], right: dict[int, float], reach: Reach) -> np.ndarray:
+    """Which lists of the left side (rows) may hold a pair that counts with which of the right: by bounds of the lowest and highest cos of a pair.
+
+    left, right: for each list that has vectors the largest angle of one to its centroid. Two vectors are at least as far apart as the
+    centroids, less both angles, and at most as far as with both added.
+    """
+    n = len(index.centroids)
+    apart = np.arccos(np.clip(index.centroids @ index.centroids.T, -1, 1))
+    wide = [np.array([side.get(k, 0.0) for k in range(n)]) for side in (left, right)]
+    both = wide[0][:, None] + wide[1][None, :]
+    low, high = np.cos(np.minimum(apart + both, np.pi)), np.cos(np.maximum(apart - both, 0.0))
+    there = [np.isin(np.arange(n), list(side)) for side in (left, right)]
+    return reach(low - 1e-8, high + 1e-8) & there[0][:, None] & there[1][None, :]
+
+
+def _in_lists(rows: DataFrame, index: Lists) -> DataFrame:
+    """rows with their nearest list and the angle to its centroid; -1 for vectors of another length than the index's."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+    schema = T.StructType([*rows.schema, T.StructField("list", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value.centroids
+        for batch in batches:
+            own = np.asarray(pa.compute.list_value_length(batch.column("v"))) == c.shape[1]
+            lists, angles = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            if own.any():
+                near = _units(pa.Table.from_batches([batch]).filter(pa.array(own))) @ c.T
+                lists[own] = near.argmax(1)
+                angles[own] = np.arccos(np.clip(near.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists), pa.array(angles)], schema.fieldNames())
+
+    return checkpointed(rows.mapInArrow(place, schema))
+
+
+def _by_lists(left: DataFrame, right: DataFrame, index: Lists, reach: Reach, block: int) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides dealt to tiles (i, j) of lists near enough to each other; None if that leaves most of all pairs."""
+    sides = [_in_lists(x, index) for x in (left, right)]
+    told = [x.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect() for x in sides]  # a row for each list
+    size, angle = ([{r.list: r[c] for r in t} for t in told] for c in ("n", "angle"))
+    allowed = list_tiles(index, *angle, reach)
+    full = [np.array([s.get(k, 0) for k in range(len(allowed))], float) for s in size]
+    if full[0] @ allowed @ full[1] > 0.5 * full[0].sum() * full[1].sum():
+        return None
+    parts = [{k: -(-n // block) for k, n in s.items()} for s in size]
+    meets = [[(k, [int(m) for m in np.flatnonzero(side[k])] if k >= 0 else [-1]) for k in own] for own, side in ((size[0], allowed), (size[1], allowed.T))]
+    spark, out = left.sparkSession, []
+    for x, own, other, (mine, theirs) in zip(sides, parts, reversed(parts), (("i", "j"), ("j", "i"))):
+        k = 0 if mine == "i" else 1
+        rows = [(p, own[p], [(q, other[q]) for q in qs if q in other]) for p, qs in meets[k]]
+        plan = spark.createDataFrame(rows, "list int, parts int, tiles array<struct<q: int, n: int>>")  # a row for each list
+        dealt = x.join(F.broadcast(plan), "list").withColumn("r", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("t", F.explode("tiles")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("t.n") - 1)))
+        name = lambda p, r: F.concat_ws(".", p, r)
+        out.append(dealt.select(*[F.col(c).alias(c) for c in x.columns if c not in ("list", "angle")], F.size("v").alias("d"), name("list", "r").alias(mine), name("t.q", "s").alias(theirs)))
+    return out[0], out[1]
+
+
+def _tiles(left: DataFrame, right: DataFrame, tile: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int, *, reach: Reach | None = None, tau: float = 0.0) -> DataFrame:
+    """What tile() makes of each pair of blocks of left and right, which are (id, g, v) and further columns.
+
+    reach(lowest, highest cos): whether a tile can have pairs that count; with it large sides are dealt to blocks by nearness, and tiles that
+    can't are left out, if that saves half of all pairs or more.
+    """
+    n = dict(left.select(F.lit(0).alias("side")).union(right.select(F.lit(1).alias("side"))).groupBy("side").count().collect())
+    sizes = [n.get(k, 0) for k in (0, 1)]
+    dealt = None
+    if reach is not None and max(sizes) > 2 * block:
+        dealt = _by_lists(left, right, fit_lists(right.withColumn("embedding", F.col("v")), tau, list_size=max(32, block // 8), max_lists=512, asked=0), reach, block)
+    if dealt is None:
+        parts = [max(1, -(-k // block)) for k in sizes]
+        deal = lambda df, own, other, n, m: df.select(*[F.col(c).alias(c) for c in df.columns], F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+        dealt = deal(left, "i", "j", *parts), deal(right, "j", "i", parts[1], parts[0])
+    rows, columns = dealt
+    return rows.groupBy("i", "j", "d").cogroup(columns.groupBy("i", "j", "d")).applyInArrow(tile, schema)
+
+
+def _pair_tiles(left: DataFrame, right: DataFrame, keep: Callable[..., np.ndarray], block: int, *, carry: Sequence[str] = (), **kw: object) -> DataFrame:
+    """(a, b, cos, *carry) of the pairs that keep(cos, left groups, right groups, left ids, right ids) marks; carry: columns of right."""
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in right.schema if f.name in carry)
+    return _tiles(left, right, lambda a, b: _compared(a, b, keep, carry), PAIRS + kinds, block, **kw)
+
+
+LINKS = "theory_a long, theory_b long, max_cos double, n_pairs long"
+
+
+def _linked(g: np.ndarray, h: np.ndarray, cos: np.ndarray) -> dict[str, np.ndarray]:
+    """Pairs of different theories, the smaller first, with the highest cos and the number of their pairs of nodes."""
+    apart = g != h
+    pair = np.stack([np.minimum(g, h), np.maximum(g, h)], 1)[apart]
+    told, where, count = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
+    top = np.full(len(told), -2.0)
+    np.maximum.at(top, where.ravel(), cos[apart])
+    return {"theory_a": told[:, 0], "theory_b": told[:, 1], "max_cos": top, "n_pairs": count}
+
+
+def _row_best(cos: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
+    """The mask of the k highest values of each row, ties to the smaller id."""
     if cos.shape[1] <= k:
         return np.ones(cos.shape, bool)
-    return cos >= np.partition(cos, cos.shape[1] - k, axis=1)[:, [cos.shape[1] - k]]
+    least = np.partition(cos, cos.shape[1] - k, axis=1)[:, [cos.shape[1] - k]]
+    out, tied = cos > least, cos == least
+    order = np.argsort(ids, kind="stable")
+    room = k - out.sum(1, keepdims=True)
+    out[:, order] |= tied[:, order] & (np.cumsum(tied[:, order], axis=1) <= room)
+    return out
 
 
 def link_evidence(nodes: DataFrame, events: DataFrame, tau: float = D.TAU, block: int = 2048) -> DataFrame:
     """(node_id, event_id, cos, stance, observed_at, source) for |cos| >= tau; cos has nine digits."""
-    pairs = _tiles(_vectors(nodes), _vectors(events), lambda c, *_: np.abs(c) >= tau, block)
-    about = events.select(F.col("id").alias("event_id"), "observed_at", "source")
-    return pairs.select(F.col("a").alias("node_id"), F.col("b").alias("event_id"), "cos", F.when(F.col("cos") > 0, 1).otherwise(-1).alias("stance")).join(about, "event_id").select("node_id", "event_id", "cos", "stance", "observed_at", "source")
+    either = lambda low, high: (high >= tau) | (low <= -tau)
+    pairs = _pair_tiles(_vectors(nodes), _vectors(events, None, "observed_at", "source"), lambda c, *_: np.abs(c) >= tau, block, reach=either, carry=("observed_at", "source"), tau=tau)
+    return pairs.select(F.col("a").alias("node_id"), F.col("b").alias("event_id"), "cos", F.when(F.col("cos") > 0, 1).otherwise(-1).alias("stance"), "observed_at", "source")
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = D.K, *, other_group: str | None = None, block: int = 2048) -> DataFrame:
     """(a, rank, b, cos): for each query the k corpus rows of highest cos, ties to the smaller id; other_group: only rows of another group."""
 
-    def keep(cos: np.ndarray, g: np.ndarray, h: np.ndarray, *_: np.ndarray) -> np.ndarray:
+    def keep(cos: np.ndarray, g: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if other_group is None:
-            return _row_best(cos, k)
+            return _row_best(cos, k, b)
         open_ = g[:, None] != h[None, :]
-        return open_ & _row_best(np.where(open_, cos, -2.0), k)
+        return open_ & _row_best(np.where(open_, cos, -2.0), k, b)
 
-    pairs = _tiles(_vectors(queries, other_group), _vectors(corpus, other_group), keep, block)
+    pairs = _pair_tiles(_vectors(queries, other_group), _vectors(corpus, other_group), keep, block)
     best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "rank", "b", "cos")
 
@@ -92,7 +247,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = D.K, *, other_group:
 def similar_nodes(nodes: DataFrame, tau: float, *, block: int = 2048) -> DataFrame:
     """(a, b, cos): pairs of nodes of two theories, a's before b's, with cos >= tau."""
     v = _vectors(nodes, "theory_id")
-    return _tiles(v, v, lambda c, g, h, *_: (c >= tau) & (g[:, None] < h[None, :]), block)
+    return _pair_tiles(v, v, lambda c, g, h, *_: (c >= tau) & (g[:, None] < h[None, :]), block, reach=lambda low, high: high >= tau, tau=tau)
 
 
 def closest_earlier(nodes: DataFrame, *, block: int = 2048) -> DataFrame:
@@ -106,7 +261,7 @@ def closest_earlier(nodes: DataFrame, *, block: int = 2048) -> DataFrame:
         return out
 
     v = _vectors(nodes, "theory_id")
-    return _tiles(v, v, keep, block).groupBy("a").agg(F.max("cos").alias("cos"))
+    return _pair_tiles(v, v, keep, block).groupBy("a").agg(F.max("cos").alias("cos"))
 
 
 def best_in_groups(rows: DataFrame, nodes: DataFrame, group: str, tau: float, *, block: int = 2048) -> DataFrame:
@@ -124,71 +279,28 @@ def best_in_groups(rows: DataFrame, nodes: DataFrame, group: str, tau: float, *,
             out[every, best] = cos[every, best] >= tau
         return out
 
-    found = _tiles(_vectors(rows), _vectors(nodes, group), keep, block)
+    found = _pair_tiles(_vectors(rows), _vectors(nodes, group), keep, block)
     named = found.join(nodes.select(F.col("id").alias("b"), F.col(group).alias("_group")), "b")
     return named.groupBy("a", "_group").agg(F.max(F.struct("cos", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"), "m.cos")
 
 
-def _between_theories(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    own = nodes.select("id", "theory_id")
-    named = pairs.join(own.select(F.col("id").alias("a"), F.col("theory_id").alias("theory_a")), "a").join(own.select(F.col("id").alias("b"), F.col("theory_id").alias("theory_b")), "b")
-    return named.groupBy("theory_a", "theory_b").agg(F.max("cos").alias("max_cos"), F.count("*").alias("n_pairs"))
-
-
-def link_theories(nodes: DataFrame, tau: float = D.TAU_LINK) -> DataFrame:
-    """(theory_a, theory_b, max_cos, n_pairs) over node pairs of two theories with cos >= tau."""
-    return _between_theories(similar_nodes(nodes, tau), nodes)
-
-
-class Lists(NamedTuple):
-    """An index of unit vectors: their centroids' lists, and how many lists each vector looks into."""
+def link_theories(nodes: DataFrame, tau: float = D.TAU_LINK, *, block: int = 2048) -> DataFrame:
+    """(theory_a, theory_b, max_cos, n_pairs) over node pairs of two theories with cos >= tau. A tile gives a row for each pair of theories."""
+    v = _vectors(nodes.where("theory_id is not null"), "theory_id")
 
-    centroids: np.ndarray
-    probes: int
-
-    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest lists of each row, the nearest first, ties to the lower number."""
-        return np.argsort(-np.round(x @ self.centroids.T, 9), axis=1, kind="stable")[:, :n]
-
-
-def _centroids(x: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from evenly chosen rows; a centroid that loses all its rows stays where it was."""
-    c = x[np.linspace(0, len(x) - 1, n).astype(int)]
-    for _ in range(rounds):
-        own = np.argmax(x @ c.T, axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
-        length = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), c)
-    return c
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return _none({"theory_a": pa.int64(), "theory_b": pa.int64(), "max_cos": pa.float64(), "n_pairs": pa.int64()})
+        cos = np.round(_units(a) @ _units(b).T, 9)
+        g, h = (t["g"].to_numpy() for t in (a, b))
+        x, y = np.nonzero((cos >= tau) & (g[:, None] < h[None, :]))
+        return pa.table(_linked(g[x], h[y], cos[x, y]))
 
+    return _together(_tiles(v, v, tile, LINKS, block, reach=lambda low, high: high >= tau, tau=tau))
 
-def fit_lists(nodes: DataFrame, tau: float, *, recall: float = 0.97, list_size: int = 128, max_lists: int = 2048, sample: int = 20_000, asked: int = 512) -> Lists:
-    """Lists for pairs with cos >= tau, fit on a sample of at most `sample` vectors, the first by a hash of their ids.
 
-    As many lists as hold about list_size vectors each, at most max_lists; for vectors of the most frequent length. Probes: the least number with which, of the true pairs between
-    `asked` of the sample and the sample, a share of `recall` is found. Vectors without clusters need nearly all lists; then nothing is saved.
-    """
-    rows = _vectors(nodes)
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not lengths:
-        return Lists(np.zeros((1, 1)), 1)
-    n, rows = lengths[0].n, rows.where(F.size("v") == lengths[0].d)
-    taken = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    x = _units(taken)
-    lists = int(np.clip(n // list_size, 1, min(max_lists, len(x))))
-    index = Lists(_centroids(x, lists), lists)
-    own = index.nearest(x, 1)[:, 0]
-    some = np.linspace(0, len(x) - 1, min(asked, len(x))).astype(int)
-    true = np.argwhere(x[some] @ x.T >= tau)
-    true = true[some[true[:, 0]] != true[:, 1]]
-    if not len(true):
-        return index._replace(probes=1)
-    a, b = some[true[:, 0]], true[:, 1]
-    near = x @ index.centroids.T
-    place = lambda i, j: (near[i] > near[i, own[j]][:, None]).sum(1)
-    needed = np.concatenate([np.minimum(place(a[k : k + 65_536], b[k : k + 65_536]), place(b[k : k + 65_536], a[k : k + 65_536])) for k in range(0, len(a), 65_536)])
-    return index._replace(probes=int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1)
+def _together(links: DataFrame) -> DataFrame:
+    return links.groupBy("theory_a", "theory_b").agg(F.max("max_cos").alias("max_cos"), F.sum("n_pairs").alias("n_pairs"))
 
 
 def _list_links(vectors: DataFrame, index: Lists, tau: float, block: int) -> DataFrame:
@@ -227,20 +339,13 @@ def _list_links(vectors: DataFrame, index: Lists, tau: float, block: int) -> Dat
             probes = np.asarray(b["lists"].combine_chunks().flatten()).reshape(b.num_rows, -1)[y]
             again = (probes == own[:, None]).any(1)  # the pair meets in the list `own` too
             good = np.where(again, (own > at) | ((own == at) & (ids < others)), True)
-            g, h, c = a["g"].to_numpy()[x][good], b["g"].to_numpy()[y][good], cos[x, y][good]
-            good = g != h
-            pair = np.stack([np.minimum(g, h), np.maximum(g, h)], 1)[good]
-            if len(pair):
-                told, where, count = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
-                top = np.full(len(told), -2.0)
-                np.maximum.at(top, where.ravel(), c[good])
-                found = {"theory_a": told[:, 0], "theory_b": told[:, 1], "max_cos": top, "n_pairs": count}
+            found = _linked(a["g"].to_numpy()[x][good], b["g"].to_numpy()[y][good], cos[x, y][good])
         columns = [pa.concat_arrays([pa.array(v), pa.nulls(1, pa.array(v).type)]) for v in found.values()]
         compared = np.zeros(len(columns[0]), np.int64)
         compared[-1] = a.num_rows * b.num_rows
         return pa.table([*columns, pa.array(compared)], [*found, "compared"])
 
-    return members.groupBy("list", "i", "j").cogroup(askers.groupBy("list", "i", "j")).applyInArrow(tile, "theory_a long, theory_b long, max_cos double, n_pairs long, compared long")
+    return members.groupBy("list", "i", "j").cogroup(askers.groupBy("list", "i", "j")).applyInArrow(tile, LINKS + ", compared long")
 
 
 def link_lsh(nodes: DataFrame, tau: float = D.TAU_LINK, *, index: Lists | None = None, block: int = 2048) -> DataFrame:
@@ -253,9 +358,8 @@ def link_lsh(nodes: DataFrame, tau: float = D.TAU_LINK, *, index: Lists | None =
     found = _list_links(rows.where(here), index, tau, block).where("theory_a is not null").drop("compared")
     rest = rows.where(~here)
     if not rest.isEmpty():  # vectors of other lengths than the index's, each compared with all of its length
-        pairs = _tiles(rest, rest, lambda c, g, h, *_: (c >= tau) & (g[:, None] < h[None, :]), block)
-        found = found.unionByName(_between_theories(pairs, nodes))
-    return found.groupBy("theory_a", "theory_b").agg(F.max("max_cos").alias("max_cos"), F.sum("n_pairs").alias("n_pairs"))
+        found = found.unionByName(link_theories(rest.select("id", F.col("g").alias("theory_id"), F.col("v").alias("embedding")), tau, block=block))
+    return _together(found)
 
 
 def comparisons(nodes: DataFrame, tau: float, index: Lists, *, block: int = 2048) -> int:

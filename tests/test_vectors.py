@@ -81,3 +81,24 @@ def test_odd_vectors(spark):
     pairs = nodes.alias("x").join(nodes.alias("y"), F.expr("x.id + 1 = y.id")).select(F.col("x.id").alias("a"), F.col("x.embedding").alias("va"), F.col("y.embedding").alias("vb"))
     told = {r.a: r.cos for r in similarity.with_distances(pairs, "va", "vb").collect()}
     assert told[1] == pytest.approx(0.9 / np.hypot(0.9, 0.1)) and all(told[a] is None or np.isnan(told[a]) for a in (2, 3, 4, 5, 6, 7, 8, 9))
+
+
+def test_tiles_out_of_reach_are_left_out(spark, monkeypatch):
+    """Exact, with the pairs compared counted: by nearness far fewer than all."""
+    nodes = _clustered(spark, 6000, 40, 32, hot=0.3, noise=0.02)
+    compared = []
+    allowed = similarity.list_tiles
+    monkeypatch.setattr(similarity, "list_tiles", lambda *a: (out := allowed(*a), compared.append(out.mean()))[0])
+    pruned = _pairs(similarity.link_theories(nodes, 0.8, block=256))
+    assert compared and compared[0] < 0.3  # the share of tiles that remain
+    assert pruned == _pairs(similarity.link_theories(nodes, 0.8, block=8192))
+    events = nodes.select("id", "embedding", F.lit("s").alias("source"), F.lit(None).cast("timestamp").alias("observed_at"))
+    some = nodes.where("id % 50 = 0")
+    one, many = (similarity.link_evidence(some, events, 0.8, block=b) for b in (8192, 256))
+    assert one.count() == many.count() > 0 and one.exceptAll(many).isEmpty()
+
+
+def test_ties_are_bounded_in_a_tile():
+    cos = np.array([[1.0, 1.0, 1.0, 0.5], [0.1, 0.9, 0.1, 0.1]])
+    ids = np.array([9, 3, 5, 1])
+    assert similarity._row_best(cos, 2, ids).tolist() == [[False, True, True, False], [False, True, False, True]]
