@@ -151,9 +151,39 @@ def _in_lists(rows: DataFrame, index: Lists) -> DataFrame:
     return checkpointed(rows.mapInArrow(place, schema))
 
 
-def _by_lists(left: DataFrame, right: DataFrame, index: Lists, reach: Reach, block: int) -> tuple[DataFrame, DataFrame] | None:
-    """Both sides dealt to tiles (i, j) of lists near enough to each other; None if that leaves most of all pairs."""
+def _floors(left: DataFrame, right: DataFrame, lists: int, best: Callable[..., np.ndarray], k: int, block: int) -> np.ndarray:
+    """For each list of left the least, over its rows, of the k-th best cos that a row has among some of its own list on the right: each row has k as good or better ones."""
+    sizes = right.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))  # a row for each list
+    few = right.join(F.broadcast(sizes), "list").where(F.pmod(F.xxhash64("id"), F.col("m")) == 0)  # about a block of each list
+    salted = left.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
+    copies = few.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    deal = lambda df: df.select(*[F.col(c).alias(c) for c in ("list", "s", "id", "g", "v")], F.size("v").alias("d"))
+
+    def kth(a: pa.Table, b: pa.Table) -> pa.Table:
+        least = pa.array([], pa.float64())
+        if a.num_rows:
+            found = np.full(a.num_rows, -2.0)
+            if b.num_rows:
+                cos = np.round(_units(a) @ _units(b).T, 9)
+                mask = best(cos, *(t["g"].to_numpy() for t in (a, b)), *(t["id"].to_numpy() for t in (a, b)))
+                found = np.where(mask.sum(1) >= k, np.where(mask, cos, 2.0).min(1), -2.0)
+            least = pa.array([found.min()])
+        return pa.table({"list": a["list"][: len(least)] if a.num_rows else pa.array([], pa.int32()), "least": least})
+
+    found = deal(salted).groupBy("list", "s", "d").cogroup(deal(copies).groupBy("list", "s", "d")).applyInArrow(kth, "list int, least double")
+    out = np.full(lists, -2.0)
+    for r in found.groupBy("list").agg(F.min("least").alias("least")).collect():  # a row for each list
+        if r.list >= 0:
+            out[r.list] = r.least
+    return out
+
+
+def _by_lists(left: DataFrame, right: DataFrame, index: Lists, reach: Reach | None, block: int, best: tuple[Callable[..., np.ndarray], int] | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides dealt to tiles (i, j) of lists near enough to each other; None if that leaves most of all pairs. best: in place of reach, the mask of a row's k best, and k."""
     sides = [_in_lists(x, index) for x in (left, right)]
+    if best is not None:
+        least = _floors(*sides, len(index.centroids), *best, block)
+        reach = lambda low, high: high >= least[:, None]
     told = [x.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect() for x in sides]  # a row for each list
     size, angle = ([{r.list: r[c] for r in t} for t in told] for c in ("n", "angle"))
     allowed = list_tiles(index, *angle, reach)
@@ -173,17 +203,17 @@ def _by_lists(left: DataFrame, right: DataFrame, index: Lists, reach: Reach, blo
     return out[0], out[1]
 
 
-def _tiles(left: DataFrame, right: DataFrame, tile: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int, *, reach: Reach | None = None, tau: float = 0.0) -> DataFrame:
+def _tiles(left: DataFrame, right: DataFrame, tile: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int, *, reach: Reach | None = None, best: tuple[Callable[..., np.ndarray], int] | None = None, tau: float = 0.0) -> DataFrame:
     """What tile() makes of each pair of blocks of left and right, which are (id, g, v) and further columns.
 
     reach(lowest, highest cos): whether a tile can have pairs that count; with it large sides are dealt to blocks by nearness, and tiles that
-    can't are left out, if that saves half of all pairs or more.
+    can't are left out, if that saves half of all pairs or more. best: the same for a row's k best, as by a first look into its own list.
     """
     n = dict(left.select(F.lit(0).alias("side")).union(right.select(F.lit(1).alias("side"))).groupBy("side").count().collect())
     sizes = [n.get(k, 0) for k in (0, 1)]
     dealt = None
-    if reach is not None and max(sizes) > 2 * block:
-        dealt = _by_lists(left, right, fit_lists(right.withColumn("embedding", F.col("v")), tau, list_size=max(32, block // 8), max_lists=512, asked=0), reach, block)
+    if (reach is not None or best is not None) and max(sizes) > 2 * block:
+        dealt = _by_lists(left, right, fit_lists(right.withColumn("embedding", F.col("v")), tau, list_size=max(32, block // 8), max_lists=512, asked=0), reach, block, best)
     if dealt is None:
         parts = [max(1, -(-k // block)) for k in sizes]
         deal = lambda df, own, other, n, m: df.select(*[F.col(c).alias(c) for c in df.columns], F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
@@ -239,7 +269,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = D.K, *, other_group:
         open_ = g[:, None] != h[None, :]
         return open_ & _row_best(np.where(open_, cos, -2.0), k, b)
 
-    pairs = _pair_tiles(_vectors(queries, other_group), _vectors(corpus, other_group), keep, block)
+    pairs = _pair_tiles(_vectors(queries, other_group), _vectors(corpus, other_group), keep, block, best=(keep, k))
     best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "rank", "b", "cos")
 
@@ -251,7 +281,11 @@ def similar_nodes(nodes: DataFrame, tau: float, *, block: int = 2048) -> DataFra
 
 
 def closest_earlier(nodes: DataFrame, *, block: int = 2048) -> DataFrame:
-    """(a, cos): the highest cos, above 0, of each node to the nodes of its theory with smaller ids. A tile gives one value a row."""
+    """(a, cos): the highest cos, above 0, of each node to the nodes of its theory with smaller ids.
+
+    Only nodes of one theory meet: a large theory is dealt to tiles of its own, small ones share buckets of about `block` nodes.
+    A tile gives one value a row.
+    """
 
     def keep(cos: np.ndarray, g: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         open_ = np.where((g[:, None] == h[None, :]) & (b[None, :] < a[:, None]) & (cos > 0), cos, -2.0)
@@ -260,8 +294,17 @@ def closest_earlier(nodes: DataFrame, *, block: int = 2048) -> DataFrame:
         out[np.arange(len(a)), best] = open_[np.arange(len(a)), best] > 0
         return out
 
-    v = _vectors(nodes, "theory_id")
-    return _pair_tiles(v, v, keep, block).groupBy("a").agg(F.max("cos").alias("cos"))
+    v = _vectors(nodes.where("theory_id is not null"), "theory_id")
+    sizes = v.groupBy("g").agg(F.count("*").alias("n"))
+    buckets = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // block)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    own = v.join(sizes.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g")).withColumn("parts", parts).withColumn("large", F.col("parts") > 1)
+    own = own.withColumn("of", F.when(F.col("large"), F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(buckets)))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    deal = lambda mine, other: own.select(*[F.col(c).alias(c) for c in ("id", "g", "v", "large", "of")], F.size("v").alias("d"), F.col("own").alias(mine), every.alias(other))
+    key = ("large", "of", "i", "j", "d")
+    found = deal("i", "j").groupBy(*key).cogroup(deal("j", "i").groupBy(*key)).applyInArrow(lambda a, b: _compared(a, b, keep, ()), PAIRS)
+    return found.groupBy("a").agg(F.max("cos").alias("cos"))
 
 
 def best_in_groups(rows: DataFrame, nodes: DataFrame, group: str, tau: float, *, block: int = 2048) -> DataFrame:

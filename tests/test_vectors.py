@@ -102,3 +102,25 @@ def test_ties_are_bounded_in_a_tile():
     cos = np.array([[1.0, 1.0, 1.0, 0.5], [0.1, 0.9, 0.1, 0.1]])
     ids = np.array([9, 3, 5, 1])
     assert similarity._row_best(cos, 2, ids).tolist() == [[False, True, True, False], [False, True, False, True]]
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_closest_earlier_within_theories(spark, block):
+    rng = np.random.default_rng(4)
+    rows = [(i, 0 if i % 3 == 0 else i % 40, rng.normal(size=4).tolist()) for i in range(240)]
+    found = {r.a: r.cos for r in similarity.closest_earlier(spark.createDataFrame(rows, NODES), block=block).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows}
+    want = {i: max((float(unit[i] @ unit[j]) for j, s, _ in rows if s == t and j < i), default=-1.0) for i, t, _ in rows}
+    assert found == pytest.approx({i: c for i, c in want.items() if c > 0}, abs=2e-9)
+
+
+def test_nearest_leaves_tiles_out_and_stays_exact(spark, monkeypatch):
+    nodes = _clustered(spark, 5000, 40, 16, hot=0.3, noise=0.02)
+    compared = []
+    allowed = similarity.list_tiles
+    monkeypatch.setattr(similarity, "list_tiles", lambda *a: (out := allowed(*a), compared.append(out.mean()))[0])
+    some = nodes.where("id % 25 = 0")
+    for other in (None, "theory_id"):
+        one, many = (similarity.nearest(some, nodes, 4, other_group=other, block=b) for b in (8192, 200))
+        assert many.count() == 4 * 200 and one.exceptAll(many).isEmpty()
+    assert len(compared) == 2 and max(compared) < 0.4
