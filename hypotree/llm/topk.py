@@ -92,7 +92,7 @@ def search(corpus: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
     shards = -(-counts[0] // min(shard_rows[1], max(shard_rows[0], counts[0] // 64))) or 1
     blocks = -(-counts[1] // min(block_rows[1], max(block_rows[0], counts[1] // 16))) or 1
     named = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), is_query.alias("is_query"), F.monotonically_increasing_id().alias("uid"))
-    hashed = F.xxhash64("vec_id")
+    hashed = F.xxhash64("uid")  # rows of one id are dealt to many tiles
     right = named.select(F.col("vec_id").alias("id"), F.col("vector").alias("v"), F.pmod(hashed, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     left = named.where("is_query").select(F.col("vec_id").alias("id"), "uid", F.col("vector").alias("v"), F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
 
