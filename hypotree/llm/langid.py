@@ -85,19 +85,20 @@ class Filters:
             total += weight * np.clip((hits / np.maximum(n, 1) - wrong[:, None]) / (1 - wrong[:, None]), 0, 1)
         return total
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        out, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Per text the language, its share of all languages' hit rates, and its own hit rate, which doesn't depend on how many others there are."""
+        out, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         some = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))]
         if not some or not self.langs:
-            return out, scores
+            return out, scores, rates
         window, n = grams([texts[i] for i in some])
         share = self.shares(window, n)
         best = share.argmax(0)
         total = share.sum(0)
         sure = np.where(total > 0, share.max(0) / np.maximum(total, 1e-12), 1 / len(self.langs))
         for k, i in enumerate(some):
-            out[i], scores[i] = self.langs[best[k]], sure[k]
-        return out, scores
+            out[i], scores[i], rates[i] = self.langs[best[k]], sure[k], share[best[k], k]
+        return out, scores, rates
 
 
 def build(texts: list[str], langs: list[str], *, bits: int = 20, min_count: int = 2, rival: float = 0.05) -> Filters:
@@ -111,13 +112,13 @@ def build(texts: list[str], langs: list[str], *, bits: int = 20, min_count: int
         counted.append(np.unique(window, return_counts=True))
     if not names:
         return Filters([], masks, (np.zeros(0), np.zeros(0)))
-    every = np.unique(np.concatenate([w for w, _ in counted]))
-    rate = np.zeros((len(names), len(every)))
-    for i, (window, times) in enumerate(counted):
-        rate[i, np.searchsorted(every, window)] = np.where(times >= min_count, times / max(1, times.sum()), 0)
-    common = (rate > 0) & (rate >= rival * rate.max(0))
+    every, at = np.unique(np.concatenate([w for w, _ in counted]), return_inverse=True)
+    rate = np.concatenate([np.where(times >= min_count, times / max(1, times.sum()), 0) for _, times in counted])
+    most = np.zeros(len(every))
+    np.maximum.at(most, at, rate)
+    is_common = np.split((rate > 0) & (rate >= rival * most[at]), np.cumsum([len(w) for w, _ in counted])[:-1])
     false_rate = []
-    for layers, held in zip(masks, ([w for w, _ in counted], [every[own] for own in common])):
+    for layers, held in zip(masks, ([w for w, _ in counted], [w[own] for (w, _), own in zip(counted, is_common)])):
         for i, window in enumerate(held):
             for at in cells(window, bits):
                 layers[i // 64, at] |= kind(1 << i % 64)
@@ -138,20 +139,20 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     return build(sample["t"].to_pylist(), sample["l"].to_pylist(), **kw)
 
 
-def identify(docs: DataFrame, filters: Filters, *, text: str = "text", to: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its share of the languages' corrected hit rates, in place of columns of those names. The filters are of fixed size."""
-    sent, docs = docs.sparkSession.sparkContext.broadcast(filters), docs.drop(to, score)
-    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.StringType()), T.StructField(score, T.DoubleType())])
+def identify(docs: DataFrame, filters: Filters, *, text: str = "text", to: str = "lang_pred", score: str = "score", rate: str = "hit_rate") -> DataFrame:
+    """docs with the predicted language, its share of the languages' corrected hit rates, and its own rate, in place of columns of those names. The filters are of fixed size."""
+    sent, docs = docs.sparkSession.sparkContext.broadcast(filters), docs.drop(to, score, rate)
+    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(rate, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, SLICE):
-            found, sure = sent.value.predict([x or "" for x in batch.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure)], [*batch.schema.names, to, score])
+            found, sure, own = sent.value.predict([x or "" for x in batch.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure), pa.array(own)], [*batch.schema.names, to, score, rate])
 
     return map_texts(docs, run, schema)
 
 
 def keep_known(docs: DataFrame, filters: Filters, *, text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows in one of the learned languages with a score of at least `least`, with the columns of docs."""
-    to, score = field(docs.schema, "_lang"), field(docs.schema, "_sure")
-    return identify(docs, filters, text=text, to=to, score=score).where((F.col(to) != UNKNOWN) & (F.col(score) >= least)).drop(to, score)
+    """The rows in one of the learned languages with a hit rate of at least `least`, with the columns of docs."""
+    to, score, rate = (field(docs.schema, name) for name in ("_lang", "_sure", "_rate"))
+    return identify(docs, filters, text=text, to=to, score=score, rate=rate).where((F.col(to) != UNKNOWN) & (F.col(rate) >= least)).drop(to, score, rate)

@@ -333,10 +333,26 @@ def test_more_languages_than_a_mask_has_bits():
     told = [(" ".join(rng.choice(own, 40)), f"l{i:03}") for i, own in enumerate(words) for _ in range(4)]
     filters = langid.build([t for t, _ in told], [x for _, x in told])
     assert filters.masks[0].shape[0] == 3
-    found, _ = filters.predict([" ".join(rng.choice(own, 40)) for own in words])
+    found, *_ = filters.predict([" ".join(rng.choice(own, 40)) for own in words])
     assert found == [f"l{i:03}" for i in range(150)]
 
 
+def test_related_languages_keep_clear_texts():
+    """Forty languages that share most words: the share among rivals falls, the hit rate by which the stage decides doesn't."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 8)))
+    common = [word() for _ in range(150)]
+    own = {f"l{i:02d}": common + [word() for _ in range(60)] for i in range(40)}
+    rows = [(" ".join(rng.choice(words, 60)), name) for name, words in own.items() for _ in range(30)]
+    filters = langid.build(*map(list, zip(*rows)))
+    asked = [(" ".join(rng.choice(words, 60)), name) for name, words in own.items()]
+    found, scores, rates = filters.predict([t for t, _ in asked])
+    assert [n for _, n in asked] == found
+    assert scores.max() < 0.3 and rates.min() > 0.5
+    _, _, strange = filters.predict([" ".join(word() for _ in range(60))])
+    assert strange[0] < 0.3
+
+
 def test_filters_hold_all_their_ngrams():
     texts, langs = ["alpha beta gamma", "alpha beta gamma", "alpha once", "delta epsilon", "delta epsilon"], ["a", "a", "a", "b", "b"]
     filters = langid.build(texts, langs)
@@ -362,7 +378,7 @@ def test_langid_is_as_by_sets(spark):
     for own in rate.values():
         for g, x in own.items():
             most[g] = max(most[g], x)
-    found, scores = filters.predict([r.text for r in asked])
+    found, scores, _ = filters.predict([r.text for r in asked])
     for r, lang, score in zip(asked, found, scores):
         window = langid.grams([r.text])[0].tolist()
         share = [sum((g in counts[x]) * langid.RARE + (rate[x].get(g, 0) >= 0.05 * most[g] > 0) * (1 - langid.RARE) for g in window) / max(1, len(window)) for x in filters.langs]
