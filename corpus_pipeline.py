@@ -14,25 +14,44 @@ from pyspark.sql import DataFrame, SparkSession
 from hypotree.llm import langid, nearcopies, packing, quality
 from hypotree.llm.common import new_path, table
 
-#: Rows below these scores are rejected. A clean document scores near 1 for quality and has one language well ahead.
+#: Rows below these are rejected: the quality score, and the share of a text's n-grams that its language has (clean texts: above 0.5, however many languages are learned).
 LEAST_QUALITY = 0.5
 LEAST_LANGUAGE = 0.3
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of docs whose text scores at least LEAST_QUALITY, by a model of the labelled rows among them.
+
+    Null and empty texts are scored as texts without words. Repeated rows score alike and stay or go together; without labels on both sides
+    every row scores the same. An empty table gives an empty one; further columns are kept.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model, least=LEAST_QUALITY)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of docs in one of the languages learned from docs itself, with a hit rate of at least LEAST_LANGUAGE.
+
+    Texts that are null or have no letter go; of languages that fit equally the first by name counts. Repeated rows stay or go together; an
+    empty table, or one without languages, gives an empty one; further columns are kept.
+    """
     return langid.keep_known(docs, langid.fit(docs), least=LEAST_LANGUAGE)
 
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row of the smallest doc_id: five-word similarity of 0.8 or more, or fingerprints within two bits.
+
+    Null and empty texts are copies of one another; rows with a null doc_id stay; rows that repeat an id stay or go together. An empty table
+    gives an empty one; further columns are kept.
+    """
     return nearcopies.keep_first(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its sequence and place there: at most 1024 tokens a sequence, the end token included.
+
+    Null and empty texts are the end token alone; repeated rows are packed each; an empty table gives an empty one.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
