@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hypotree import defaults as D
 from hypotree.operators import board, embed, lenses, refine, requests, scoring, similarity, statistics, tree
 from hypotree.sources import tables as S
+from hypotree.sources.sinks import checkpointed
 from hypotree.sources.tables import World
 from hypotree.streaming import streams
 
@@ -365,8 +366,9 @@ def rescore_merge(w: World) -> DataFrame:
     """
     seen, late = w.evidence.where(F.col("observed_at") <= F.lit(D.CUT).cast("timestamp")), refine.new_evidence(w.evidence, refine.last_scored(w, D.CUT))
     kept, fresh = (statistics.of_evidence(part, w.node_rows, w.planted) for part in (seen, late))
+    w.statistics = statistics.Statistics(*map(checkpointed, statistics.added(kept, fresh)))
     state = w.facts.select("node_id", F.round("plausibility", 6).alias("confidence"), F.lit(1).cast("long").alias("scored_at"))
-    return refine.rescore_merge(state, w, refine.affected_theories(w.theories, w.node_rows, late), 2, statistics.added(kept, fresh))
+    return refine.rescore_merge(state, w, refine.affected_theories(w.theories, w.node_rows, late), 2)
 
 
 @query
