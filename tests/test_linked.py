@@ -53,3 +53,20 @@ def test_blocks_grow_with_their_tables():
 def test_no_rows_of_evidence(spark, monkeypatch, name):
     monkeypatch.setattr(World, "evidence", property(lambda self: pytest.fail("reads a row for each link")))
     assert queries.queries()[name](spark, SMALL).count()
+
+
+def test_history_of_links(spark, monkeypatch):
+    from hypotree.operators import scoring
+
+    w = World(spark, SMALL)
+    want = scoring.confidence_history(w.evidence, w.source_quality)
+    monkeypatch.setattr(linked, "STRIP", 16)
+    sums = linked.link_sums
+    for tiles, most in ((64, 1 << 16), (1, 37)):
+        monkeypatch.setattr(scoring, "link_sums", lambda *a: sums(*a, tiles=tiles, most=most))
+        assert _by(scoring.history_of_links(w.nodes, w.events, w.source_quality).fillna(-9.0), "node_id", "hour") == {k: v.expected for k, v in _by(want.fillna(-9.0), "node_id", "hour").items()} != {}
+
+
+def test_history_writes_no_rows_of_evidence(spark, monkeypatch):
+    monkeypatch.setattr(World, "evidence", property(lambda self: pytest.fail("reads a row for each link")))
+    assert queries.queries()["confidence_history"](spark, SMALL).count()
