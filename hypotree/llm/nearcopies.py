@@ -5,8 +5,10 @@ sets as similar as `least` share a shingle of their prefixes (the first n - ceil
 for among the sets that share one, and each is verified on the two whole texts. The sample changes only the speed.
 
 Groups are asked for, and not pairs. So each list of sets with a common prefix shingle is first compared with one of its
-members; lists whose members are linked by then are done, the others get another such round, and of what is still open
-every pair of different groups is verified, large lists by cells in one of which any two members meet.
+members; lists whose members are linked by then are done. In those still open, bitmaps tell which sets of different groups
+may be similar, and a list gives a spanning forest of these candidates, no row for each pair. The forests' components are
+blocks: each set is in one at most, and any two candidates are in the same. Within a block the whole sets are compared, and
+it gives a spanning forest of what is similar. Large lists and blocks are split into cells in one of which any two members meet.
 
 Only hashes of prefixes and the texts of pairs travel: a set is named by 64 bits of its BLAKE2 digest, a text by its
 XXH64, and sets are worked out again where they are compared. Frequent shingles are salted and copies of a set within a
@@ -19,21 +21,22 @@ of all; a group's id is its smallest non-null doc_id; repeated rows each get a r
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
 from .common import SLICE, drop_tables, field, map_texts, slices, write_table
+from .tokens import sums
 
 #: A similarity of 4 / 5, in whole numbers.
 LEAST = (4, 5)
 ROWS = "doc_id long, th long, fp long, sig long, n int, bits binary, rare array<long>, late array<long>"
-#: Bytes of a set's bitmap.
-BITMAP = 256
+#: Least and most bytes of a set's bitmap; between them it has a bit for each shingle or more.
+BITMAP, BITMAP_MOST = 256, 2048
 #: Odd multipliers: of a word's hash by its place in the shingle, and of the mixing.
 PLACES, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -65,11 +68,57 @@ def prefix_size(n: int, least: tuple[int, int] = LEAST) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    out = np.zeros(8 * BITMAP, bool)
-    out[hashes & (8 * BITMAP - 1)] = True
+    size = 8 * BITMAP
+    while size < min(len(hashes), 8 * BITMAP_MOST):
+        size *= 2
+    out = np.zeros(size, bool)
+    out[hashes & (size - 1)] = True
     return np.packbits(out).tobytes()
 
 
+class _Bitmaps:
+    """Tells of which sets the bitmaps allow the similarity; of two sizes the larger bitmap is folded to the smaller."""
+
+    def __init__(self, bits: list[bytes], n: np.ndarray, least: tuple[int, int]) -> None:
+        self.n, self.least = n.astype(np.int64), least
+        self.level = np.array([(len(x) // BITMAP).bit_length() for x in bits], np.int64)
+        self.place, self.maps = np.zeros(len(bits), np.int64), {}
+        for level in np.unique(self.level).tolist():
+            at = np.flatnonzero(self.level == level)
+            self.place[at] = np.arange(len(at))
+            own = np.frombuffer(b"".join([bits[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1)
+            self.maps[level, level] = own
+            self.maps[level, level - 1] = own[:, : own.shape[1] // 2] | own[:, own.shape[1] // 2 :]
+
+    def near(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of js whose sets may be similar to that of i."""
+        (up, down), n, level = self.least, self.n, int(self.level[i])
+        js = js[up * np.maximum(n[i], n[js]) <= down * np.minimum(n[i], n[js])]
+        kept = []
+        for other in np.unique(self.level[js]).tolist():
+            some, low = js[self.level[js] == other], min(level, other)
+            if max(level, other) - low < 2:  # else nothing is ruled out; sizes so far apart are only of another `least`
+                differ = np.bitwise_count(self.maps[other, low][self.place[some]] ^ self.maps[level, low][self.place[i]]).sum(1, dtype=np.int64)
+                some = some[(down + up) * differ <= (down - up) * (n[i] + n[some])]
+            kept.append(some)
+        return np.sort(np.concatenate(kept)) if kept else js
+
+
+def spanning(label: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges (i, j) that join all i and j that are near: no more than there are members. label: equal for those joined already.
+
+    near(i, js): those of js that are near i. Members that edges have joined are not compared again.
+    """
+    label, out = label.copy(), []
+    for i in range(len(label) - 1):
+        js = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if len(js) and len(js := near(i, js)):
+            joined, at = np.unique(label[js], return_index=True)
+            out += [(i, j) for j in js[at].tolist()]
+            label[np.isin(label, joined)] = label[i]
+    return out
+
+
 def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, th, text): th names the text."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
@@ -210,14 +259,20 @@ def star_pairs(members: DataFrame, turn: int, least: tuple[int, int] = LEAST) ->
     return pairs.where((F.col("root") != F.col("at")) & near).select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
 
 
-def all_pairs(members: DataFrame, names: DataFrame, most: int = 1024, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(a, b), a < b: the pairs of a list that are of different groups and whose bitmaps allow the similarity; cells split large lists."""
-    up, down = least
-    cells = members.groupBy("list").agg(F.count("*").alias("size"))
-    own = members.join(cells, "list").withColumn("cells", F.when(F.col("size") <= most, 1).otherwise(F.ceil(2 * F.col("size") / most)).cast("int"))
-    own = own.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int")).join(names.select("sig", "bits"), "sig")
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    dealt = dealt.select("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sig", "n", "root", "bits")
+def _cells(rows: DataFrame, by: str, size: Column, most: int) -> DataFrame:
+    """rows in cells (x, y) of each value of `by`, such that any two meet in one; own: the row's part. A value with sizes up to `most` is one cell."""
+    total = rows.groupBy(by).agg(F.sum(size).alias("size"))
+    own = rows.join(total, by).withColumn("cells", F.when(F.col("size") <= most, 1).otherwise(F.ceil(2 * F.col("size") / most)).cast("int"))
+    dealt = own.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "cells", "size")
+
+
+def candidate_forest(members: DataFrame, names: DataFrame, most: int = 1024, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(a, b), a < b: edges that join all sets of a list that are of different groups and whose bitmaps allow the similarity.
+
+    A list, or a cell of a large one, gives less edges than it has members.
+    """
+    dealt = _cells(members, "list", F.lit(1), most).join(names.select("sig", "bits"), "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,18 +282,12 @@ def all_pairs(members: DataFrame, names: DataFrame, most: int = 1024, least: tup
             bits = flat.field("bits")
             crosses = (batch.column("x").to_numpy() != batch.column("y").to_numpy()).tolist()
             for a, b, cross in zip(ends, ends[1:], crosses):
-                maps = np.frombuffer(b"".join(bits.slice(a, b - a).to_pylist()), np.uint64).reshape(b - a, -1)
-                step = max(1, 4096 // (b - a))  # so many rows against all later ones at a time
-                for at in range(0, b - a, step):
-                    i, j = np.nonzero(np.arange(at, min(at + step, b - a))[:, None] < np.arange(b - a)[None, :])
-                    i += at
-                    p, q = a + i, a + j
-                    ok = (root[p] != root[q]) & (up * np.maximum(n[p], n[q]) <= down * np.minimum(n[p], n[q]))
-                    ok &= (own[p] != own[q]) | (not cross)
-                    i, j, p, q = i[ok], j[ok], p[ok], q[ok]
-                    differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
-                    ok = (down + up) * differ <= (down - up) * (n[p].astype(np.int64) + n[q])
-                    found.append(np.sort(np.stack([sig[p[ok]], sig[q[ok]]]), axis=0))
+                order = a + np.argsort(sig[a:b])  # lists with the same members give the same edges
+                maps = _Bitmaps([bits[i].as_py() for i in order.tolist()], n[order], least)
+                group, part = root[order], own[order]
+                apart = lambda i, js: maps.near(i, js[(group[js] != group[i]) & ((part[js] != part[i]) | (not cross))])  # noqa: B023, E731
+                pairs = np.array(spanning(np.arange(b - a), apart), np.int64).reshape(-1, 2).T
+                found.append(sig[order][pairs])
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -246,13 +295,60 @@ def all_pairs(members: DataFrame, names: DataFrame, most: int = 1024, least: tup
     return lists.select("x", "y", "members").mapInArrow(run, "a long, b long").distinct()
 
 
+def _texts(need: DataFrame, docs: DataFrame, text: str, few: int) -> DataFrame:
+    """(sig, text) as a table: a text of each set of need (sig, th). The list of texts needed is broadcast only up to `few` rows."""
+    wanted = need.select("th", "sig")
+    wanted = F.broadcast(wanted) if need.count() <= few else wanted.hint("merge")
+    return write_table(_named(docs, text, text).select("th", "text").join(wanted, "th").select("sig", "text").dropDuplicates(["sig"]), "nearcopies-texts")
+
+
+def similar_forest(block: pa.Table, words: int, least: tuple[int, int]) -> pa.Table:
+    """(a, b): edges that join all sets of a cell (x, y, sig, root, own, text) whose similarity is at least `least`, less than the cell has rows."""
+    (up, down), known = least, _WordHashes()
+    sig, root, own = (block.column(c).to_numpy() for c in ("sig", "root", "own"))
+    cross = block.column("x")[0].as_py() != block.column("y")[0].as_py()
+    sets = [shingle_set(x.as_py(), words, known) for x in block.column("text")]
+    n = np.array([len(x) for x in sets], np.int64)
+    maps = _Bitmaps([bitmap(x) for x in sets], n, least)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    marked = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    each = [codes[b - k : b] for b, k in zip(ends.tolist(), n.tolist())]
+
+    def near(i: int, js: np.ndarray) -> np.ndarray:
+        js = maps.near(i, js[own[js] != own[i]] if cross else js)
+        if not len(js):
+            return js
+        marked[each[i]] = True
+        both = sums(marked[np.concatenate([each[j] for j in js.tolist()])].astype(np.int64), n[js])
+        marked[each[i]] = False
+        return js[down * both >= up * (n[i] + n[js] - both)]
+
+    edges = np.array(spanning(np.unique(root, return_inverse=True)[1], near), np.int64).reshape(-1, 2).T
+    return pa.table({"a": sig[edges[0]], "b": sig[edges[1]]})
+
+
+def similar_in_blocks(blocks: DataFrame, roots: DataFrame, docs: DataFrame, names: DataFrame, *, text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, most_bytes: int = 8 << 20, few: int = 2_000_000) -> DataFrame:
+    """(a, b): edges that join all similar sets of a block; blocks: (node, root), each set in one; roots: the groups known already.
+
+    A task's group is a cell of about most_bytes of text at most.
+    """
+    need = write_table(blocks.select(F.col("node").alias("sig"), F.col("root").alias("block")).join(names.select("sig", "th"), "sig"), "nearcopies-need")
+    held = _texts(need, docs, text, few)
+    group = roots.select(F.col("node").alias("sig"), F.col("root").alias("group"))
+    rows = need.select("sig", "block").join(group, "sig", "left").select("sig", "block", F.coalesce("group", "sig").alias("root"))
+    rows = rows.join(held.select("sig", F.octet_length("text").cast("long").alias("bytes")), "sig")
+    dealt = _cells(rows, "block", F.col("bytes"), most_bytes).join(held, "sig").select("block", "x", "y", "sig", "root", "own", "text")
+    found = write_table(dealt.groupBy("block", "x", "y").applyInArrow(lambda t: similar_forest(t, words, least), "a long, b long"), "nearcopies-similar")
+    drop_tables(need, held)
+    return found
+
+
 def similar(pairs: DataFrame, docs: DataFrame, names: DataFrame, *, text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, few: int = 2_000_000) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is at least `least`; names: (sig, n, th). The list of texts needed is broadcast only up to `few` rows."""
+    """The pairs (a, b) of sets whose similarity is at least `least`; names: (sig, n, th)."""
     up, down = least
     need = write_table(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(names.select("sig", "th"), "sig"), "nearcopies-need")
-    wanted = need.select("th", "sig")
-    wanted = F.broadcast(wanted) if need.count() <= few else wanted.hint("merge")
-    held = write_table(_named(docs, text, text).select("th", "text").join(wanted, "th").select("sig", "text").dropDuplicates(["sig"]), "nearcopies-texts")
+    held = _texts(need, docs, text, few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sets = _WordHashes(), {}
@@ -274,7 +370,7 @@ def similar(pairs: DataFrame, docs: DataFrame, names: DataFrame, *, text: str =
     return found
 
 
-def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, most: int = 128, sample: int = 20_000, stars: int = 2) -> DataFrame:
+def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, least: tuple[int, int] = LEAST, most: int = 128, sample: int = 20_000, stars: int = 1) -> DataFrame:
     """(doc_id, component_id), one row for each row of docs: documents linked by near copies, by op7's fingerprints, or both."""
     frequent = frequent_shingles(docs, text=text, words=words, sample=sample)
     rows = write_table(described(docs, frequent, key=key, text=text, words=words, least=least), "nearcopies-rows")
@@ -292,12 +388,17 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
         roots = write_table(simhash.components(edges), "nearcopies-roots")
         still = _open_members(left, names.select("sig", "n"), roots)
         drop_tables(left)
-        pairs = write_table(star_pairs(still, turn, least) if turn < stars else all_pairs(still, names, 8 * most, least), "nearcopies-pairs")
+        pairs = write_table(star_pairs(still, turn, least) if turn < stars else candidate_forest(still, names, 8 * most, least), "nearcopies-pairs")
         left = still.select("list", "sig")
         left._written = still._written
         if not pairs.isEmpty():
-            found = similar(pairs, docs, names, text=text, words=words, least=least)
-            more = write_table(edges.union(found), "nearcopies-edges")
+            if turn < stars:
+                found = similar(pairs, docs, names, text=text, words=words, least=least)
+            else:
+                blocks = write_table(simhash.components(pairs), "nearcopies-blocks")
+                found = similar_in_blocks(blocks, roots, docs, names, text=text, words=words, least=least)
+                drop_tables(blocks)
+            more = write_table(roots.where("node <> root").toDF("a", "b").union(found), "nearcopies-edges")  # groups found before are stars now
             drop_tables(edges, found)
             edges = more
         drop_tables(pairs, roots)
