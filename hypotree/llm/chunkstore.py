@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, ordered_rows, slices, with_running_total, write_table
+from .common import SLICE, drop_tables, map_texts, ordered_rows, slices, with_running_total, write_table
 from .tokens import shared_encoder
 
 #: Width of a chunk's digest in bytes.
@@ -101,7 +101,7 @@ def _made(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, numbers, seen, sha = shared_encoder(tokenizer, max_entries=1_000_000, max_chars=20_000_000), gear(), set(), hashlib.sha256
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, sizes = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
             ids = np.insert(ids, np.cumsum(sizes), end_id)
             bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -129,7 +129,7 @@ def _made(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_tokens", "root", "digests", "own"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, MADE)
+    return map_texts(rows, run, MADE)
 
 
 @dataclass
@@ -230,7 +230,7 @@ def read(store: Store, *, with_ids: bool = False) -> DataFrame:
     apart = store.own.where("touches is null").select(*columns, F.lit(None).cast(CHUNKS).alias("others"))
     joined = store.own.where("touches is not null").select(*columns).join(needs, "uid", "left").select(*columns, "others")
     schema = "uid long, doc_id long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    found = apart.union(joined).mapInArrow(lambda it: _rebuilt(it, with_ids), schema)
+    found = map_texts(apart.union(joined), lambda it: _rebuilt(it, with_ids), schema)
     return found.join(store.order.select("uid", "at", "start"), "uid").select("at", "doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
