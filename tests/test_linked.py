@@ -70,3 +70,40 @@ def test_history_of_links(spark, monkeypatch):
 def test_history_writes_no_rows_of_evidence(spark, monkeypatch):
     monkeypatch.setattr(World, "evidence", property(lambda self: pytest.fail("reads a row for each link")))
     assert queries.queries()["confidence_history"](spark, SMALL).count()
+
+
+def _best(df, k):
+    """The k best of each node, by (cos, event id)."""
+    found = {}
+    for r in df.where("stance = 1").collect():
+        found.setdefault(r.node_id, []).append((-r.cos, r.event_id))
+    return {n: sorted(x)[:k] for n, x in found.items()}
+
+
+@pytest.mark.parametrize("tiles, most", [(64, 1 << 16), (64, 37), (1, 1 << 16)])
+def test_best_links(spark, monkeypatch, tiles, most):
+    """Against the rows of evidence, with ties, repeated rows and vectors of zeros; a tile gives a node k rows at most."""
+    monkeypatch.setattr(linked, "STRIP", 16)
+    monkeypatch.setattr(linked, "WIDE", 8)
+    w = World(spark, SMALL)
+    twins = w.events.withColumn("id", -F.col("id"))
+    zero = w.events.limit(3).withColumn("id", F.col("id") + 10_000).withColumn("embedding", F.transform("embedding", lambda x: F.lit(0.0)))
+    for nodes, events in ((w.nodes, w.events), (_repeated(w)[0], w.events.unionByName(twins).unionByName(zero))):
+        for k, tau in ((1, 0.15), (3, 0.15), (4, 0.0), (1000, 0.3)):
+            found = linked.best_links(nodes, events, k, tau, tiles=tiles, most=most).collect()
+            want = _best(link_evidence(nodes, events, tau), k)
+            told = spark.createDataFrame(found, "node_id long, event_id long, cos double, stance int")
+            assert _best(told, k) == want != {}
+            if most > 37:  # one tile
+                assert len(found) <= k * nodes.count()
+
+
+def test_no_best_links_of_nothing(spark):
+    w = World(spark, SMALL)
+    for nodes, events in ((w.nodes.limit(0), w.events), (w.nodes, w.events.limit(0))):
+        assert linked.best_links(nodes, events, 3).collect() == []
+
+
+def test_expand_level_writes_no_rows_of_evidence(spark, monkeypatch):
+    monkeypatch.setattr(World, "evidence", property(lambda self: pytest.fail("reads a row for each link")))
+    assert queries.queries()["expand_level"](spark, SMALL).count()
