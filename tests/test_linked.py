@@ -104,7 +104,7 @@ def test_no_best_links_of_nothing(spark):
         assert linked.best_links(nodes, events, 3).collect() == []
 
 
-@pytest.mark.parametrize("name", ["expand_level", "render_theory_requests"])
+@pytest.mark.parametrize("name", ["expand_level", "render_theory_requests", "render_lens_requests"])
 def test_best_links_write_no_rows_of_evidence(spark, monkeypatch, name):
     monkeypatch.setattr(World, "evidence", property(lambda self: pytest.fail("reads a row for each link")))
     assert queries.queries()[name](spark, SMALL).count()
