@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,44 @@ def test_nearest_leaves_tiles_out_and_stays_exact(spark, monkeypatch):
         one, many = (similarity.nearest(some, nodes, 4, other_group=other, block=b) for b in (8192, 200))
         assert many.count() == 4 * 200 and one.exceptAll(many).isEmpty()
     assert len(compared) == 2 and max(compared) < 0.4
+
+
+@pytest.mark.parametrize("noise, block", [(0.03, 50), (1.0, 50), (0.03, 2048)])
+def test_vectors_travel_to_few_tiles(spark, monkeypatch, noise, block):
+    """However small the pieces, with lists (little noise) and without; vectors of other lengths stay apart."""
+    nodes = _clustered(spark, 3000, 30, 8, noise=noise).union(spark.createDataFrame([(9000 + i, 0, [1.0, float(i)]) for i in range(5)], NODES))
+    events = nodes.select("id", "embedding", F.lit("s").alias("source"), F.lit(None).cast("timestamp").alias("observed_at"))
+    dealt, compared, came = similarity.blocks, similarity._by_pieces, spark.sparkContext.accumulator(0)
+
+    def counted(a, b, *rest):
+        came.add(a.num_rows + b.num_rows)
+        return compared(a, b, *rest)
+
+    monkeypatch.setattr(similarity, "_by_pieces", counted)
+    monkeypatch.setattr(similarity, "blocks", lambda n, m, tiles, most: dealt(n, m, tiles, 800))
+    found = {(r.node_id, r.event_id) for r in similarity.link_evidence(nodes, events, 0.9, block=block).collect()}
+    assert 2 * 3005 <= came.value <= 2 * 5 * 3005  # four blocks of a side, or five where lists fill them unevenly
+    rows = nodes.collect()
+    want = set()
+    for own in ([r for r in rows if r.id < 9000], [r for r in rows if r.id >= 9000]):
+        x, ids = np.array([r.embedding for r in own]), [r.id for r in own]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want |= {(ids[i], ids[j]) for i, j in np.argwhere(np.abs(np.round(x @ x.T, 9)) >= 0.9)}
+    assert found == want
+
+
+def test_links_leave_a_tile_piece_by_piece():
+    """A task holds the links of one piece, not of its tile."""
+    rows, calls = pa.table({"id": range(10), "list": [0, 0, 1, 1, 1, 1, 2, 2, -1, -1]}), []
+
+    def tile(a, b):
+        calls.append((a["id"].to_pylist(), b["id"].to_pylist()))
+        return pa.table({"n": [len(calls)]})
+
+    found = similarity._by_pieces(rows, rows, tile, 6, None)
+    assert next(found)["n"].to_pylist() == [1] and len(calls) == 1
+    assert sum(1 for _ in found) == 3 and [(len(a), len(b)) for a, b in calls] == [(6, 6), (6, 4), (4, 6), (4, 4)]
+    calls.clear()
+    near = np.array([[True, False, True], [False, False, False], [False, True, False]])
+    assert sum(1 for _ in similarity._by_pieces(rows, rows, tile, 3, near)) == len(calls) == 5
+    assert sorted(calls) == [([0, 1], [0, 1, 6]), ([0, 1], [7]), ([6, 7], [2, 3, 4]), ([6, 7], [5]), ([8, 9], [8, 9])]
