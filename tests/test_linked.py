@@ -104,7 +104,22 @@ def test_no_best_links_of_nothing(spark):
         assert linked.best_links(nodes, events, 3).collect() == []
 
 
-@pytest.mark.parametrize("name", ["expand_level", "render_theory_requests", "render_lens_requests"])
+@pytest.mark.parametrize("name", ["expand_level", "render_theory_requests", "render_lens_requests", "new_evidence"])
 def test_best_links_write_no_rows_of_evidence(spark, monkeypatch, name):
     monkeypatch.setattr(World, "evidence", property(lambda self: pytest.fail("reads a row for each link")))
     assert queries.queries()[name](spark, SMALL).count()
+
+
+def test_new_links(spark):
+    """As new_evidence() of all evidence, with nodes scored at different times or never, and events without a time."""
+    from hypotree.operators import refine
+
+    w = World(spark, SMALL)
+    events = w.events.withColumn("observed_at", F.when(F.col("id") % 6 != 0, F.col("observed_at")))
+    hours = F.expr("timestamp'2024-01-01 06:00:00' + make_interval(0, 0, 0, 0, cast(id % 40 as int))")
+    scored = w.node_rows.where("id % 15 <> 0").select(F.col("id").alias("node_id"), F.when(F.col("id") % 25 != 0, hours).alias("scored_at"))
+    evidence = link_evidence(w.nodes, events)
+    want = refine.new_evidence(evidence, scored)
+    found = refine.new_links(w.nodes, events, scored)
+    assert 0 < want.count() == found.count() < evidence.count()
+    assert found.where("observed_at is null").count() and found.exceptAll(want.select(found.columns)).isEmpty()
